@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import bpe, exact_dedup, mixing, simhash
 
 QUERIES = {
+    "op2_bpe": bpe.op2_bpe,
+    "op8_simhash": simhash.op8_simhash,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op10_mixing": mixing.op10_mixing,
 }

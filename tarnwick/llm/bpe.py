@@ -1,12 +1,12 @@
 """Byte-level BPE by a pair occurrence index.
 
-A partition's texts are split into pre-tokens, and each distinct pre-token is
-encoded once. All that a step of the partition hasn't seen yet lie in one
-symbol array; the index maps each adjacent pair to all its positions. The
-active ranks (pairs that occur and merge) leave a heap in ascending order; a
-rank is applied at all its positions, and the lists of the pairs that vanish or
-appear beside them are updated. Positions that no longer hold their pair are
-skipped when their list comes up.
+A partition's texts (a bounded step of them, so that memory doesn't follow the
+partition) are cut into pieces and pre-tokens, and each distinct piece is
+encoded once. They lie in one symbol array; the index maps each adjacent pair
+to all its positions. The active ranks (pairs that occur and merge) leave a
+heap in ascending order; a rank is applied at all its positions at once, and
+the lists of the pairs that appear beside them are updated. Positions that no
+longer hold their pair are skipped when their list comes up.
 """
 
 from __future__ import annotations
@@ -14,10 +14,13 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import itertools
 import json
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -26,8 +29,10 @@ from pyspark.sql import functions as F
 #: Fixed values of byte-level BPE: the pre-token pattern, and the bytes that stand for themselves in the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-#: Pieces a worker remembers, and bytes of text it takes at a time.
-REMEMBERED, STEP = 200_000, 1 << 21
+#: Characters of text a worker encodes together.
+STEP = 12 << 20
+#: Bytes that no UTF-8 text holds: the first of those for special tokens, the end of a word, the end of a piece.
+_SPECIAL, _WORD_END, _PIECE_END = 0xF5, 0xFE, 0xFF
 
 #: A space before something else always starts a pre-token, so texts may be cut there.
 _CUT = re.compile(r" (?=\S)")
@@ -42,72 +47,85 @@ class Bpe:
         model, vocab = spec["model"], spec["model"]["vocab"]
         shown = {b: chr(b) for b in PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
         raw = {c: b for b, c in shown.items()}
-        self.first = [vocab[shown[b]] for b in range(256)]
-        self.bytes_of = {i: bytes(raw[c] for c in token) for token, i in vocab.items() if all(c in raw for c in token)}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        if len(self.special) > _WORD_END - _SPECIAL:
+            raise ValueError(f"more than {_WORD_END - _SPECIAL} special tokens")
+        self.bytes_of = {i: bytes(raw[c] for c in token) for token, i in vocab.items() if all(c in raw for c in token)}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
+        self.shown_id = {i: str(i) for i in self.bytes_of}
         self.at_special = re.compile("(" + "|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) + ")") if self.special else None
         self.pattern = regex.compile(PATTERN)
-        self.seen: dict[str, tuple[str, int, bytes]] = {}
-
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each pre-token, all merged together through one pair index."""
-        symbols: list[int] = []
-        starts = []
-        for w in words:
-            starts.append(len(symbols))
-            symbols += [self.first[b] for b in w]
-            symbols.append(-1)
-        n, merges = len(symbols), self.merges
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        index: dict[tuple[int, int], list[int]] = {}
-        for at, pair in enumerate(zip(symbols, symbols[1:])):
-            if pair in merges:
-                index.setdefault(pair, []).append(at)
-        active = [(merges[p][0], p) for p in index]
-        heapq.heapify(active)
+
+        self.first = np.full(256, -1, np.int32)
+        self.first[:_SPECIAL] = [vocab[shown[b]] for b in range(_SPECIAL)]
+        self.first[_SPECIAL : _SPECIAL + len(self.special)] = list(self.special.values())
+        pairs = [p.split(" ") if isinstance(p, str) else p for p in model["merges"]]
+        self.left, self.right, self.made = (np.array(x, np.int32) for x in zip(*((vocab[a], vocab[b], vocab[a + b]) for a, b in pairs)))
+        keys = self.left.astype(np.int64) << 32 | self.right
+        self.rank_of = np.argsort(keys, kind="stable")
+        self.keys = keys[self.rank_of]
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair; -1 where it doesn't merge or a side is no symbol."""
+        key = a.astype(np.int64) << 32 | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.rank_of[at], -1)
+
+    def merged(self, symbols: np.ndarray) -> np.ndarray:
+        """``symbols`` after all merges: -2 where a symbol went into the one before. The array begins and ends with -1, as words do."""
+        n = len(symbols)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        index: dict[int, list[np.ndarray]] = {}
+        active: list[int] = []
+
+        def put(places: np.ndarray, ranks: np.ndarray) -> None:
+            """Enter places in the lists of their pairs, and pairs that are new among the active ones."""
+            held = ranks >= 0
+            places, ranks = places[held], ranks[held]
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            for rank, own in zip(ranks[np.r_[0, cuts]].tolist() if len(ranks) else (), np.split(places, cuts)):
+                if rank in index:
+                    index[rank].append(own)
+                else:
+                    index[rank] = [own]
+                    heapq.heappush(active, rank)
+
+        put(np.arange(n - 1), self.ranks(symbols[:-1], symbols[1:]))
         while active:
-            _, pair = heapq.heappop(active)
-            places = index.pop(pair)
-            places.sort()
-            a, b = pair
-            new = merges[pair][1]
-            for at in places:
-                if symbols[at] != a or symbols[right := after[at]] != b:
-                    continue
-                symbols[at], symbols[right] = new, -2
-                after[at] = far = after[right]
-                before[far] = at
-                near = before[at]
-                for place, beside in ((near, (symbols[near], new)), (at, (new, symbols[far]))):
-                    if place >= 0 and beside in merges:
-                        if beside in index:
-                            index[beside].append(place)
-                        else:
-                            index[beside] = [place]
-                            heapq.heappush(active, (merges[beside][0], beside))
-        out = []
-        for at in starts:
-            ids = []
-            while symbols[at] != -1:
-                ids.append(symbols[at])
-                at = after[at]
-            out.append(ids)
-        return out
+            rank = heapq.heappop(active)
+            lists = index.pop(rank)
+            at = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+            a, b = self.left[rank], self.right[rank]
+            gone = after[at]
+            live = (symbols[at] == a) & (symbols[gone] == b)
+            at, gone = at[live], gone[live]
+            if a == b and len(at) > 1:  # of overlapping places every second one, from the left
+                k = np.arange(len(at))
+                starts = np.r_[True, gone[:-1] != at[1:]]
+                live = (k - np.maximum.accumulate(np.where(starts, k, 0))) % 2 == 0
+                at, gone = at[live], gone[live]
+            if not len(at):
+                continue
+            symbols[at], symbols[gone] = self.made[rank], -2
+            far = after[gone]
+            after[at] = far
+            before[far] = at
+            near = before[at]
+            place = np.concatenate((near, at))
+            put(place, self.ranks(symbols[place], symbols[np.concatenate((at, far))]))
+        return symbols
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         """The tokens' bytes; unknown ids have none."""
-        return b"".join(self.bytes_of.get(i, b"") for i in ids)
+        return b"".join([self.bytes_of.get(i, b"") for i in ids])
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of the ids, special ones included."""
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
-    def parts(self, text: str) -> Iterator[str]:
+    def pieces(self, text: str) -> Iterator[str]:
         """Pieces of a text that encode on their own; special tokens are pieces."""
         for k, part in enumerate(self.at_special.split(text) if self.at_special else [text]):
             if k % 2:
@@ -118,31 +136,38 @@ class Bpe:
                     yield head
                 yield from map(" ".__add__, rest)
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encode the pieces that aren't remembered."""
-        split = {p: [p] if p in self.special else self.pattern.findall(p) for p in pieces}
-        words = sorted({w for p, ws in split.items() for w in ws if p not in self.special})
-        ids = dict(zip(words, self.encode_words([w.encode() for w in words])))
-        for p, ws in split.items():
-            own = [self.special[p]] if p in self.special else [i for w in ws for i in ids[w]]
-            self.seen[p] = (",".join(map(str, own)), len(own), self.decode_bytes(own))
-
-    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
-        """(number of ids, SHA-256 of the ids, SHA-256 of the decoded text) of each text."""
-        pieces = [list(self.parts(t)) for t in texts]
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        self.learn(set().union(*pieces) - self.seen.keys())
-        for own in pieces:
-            found = [self.seen[p] for p in own]
-            decoded = b"".join([x[2] for x in found]).decode("utf-8", "replace").encode()
-            yield sum([x[1] for x in found]), hashlib.sha256(",".join([x[0] for x in found]).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+    def words(self, piece: str) -> str:
+        """A piece's pre-tokens, or its special token, with their ends marked."""
+        if piece in self.special:
+            return chr(0xDC00 + _SPECIAL + list(self.special).index(piece))
+        return chr(0xDC00 + _WORD_END).join(self.pattern.findall(piece))
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[list[int]]:
+        """The ids of each text; distinct pieces are encoded once, through one pair index."""
+        number: defaultdict[str, int] = defaultdict(itertools.count().__next__)
+        own = [np.fromiter(map(number.__getitem__, self.pieces(t)), np.int32) for t in texts]
+        end = chr(0xDC00 + _PIECE_END)
+        raw = (end + end.join(map(self.words, number)) + end).encode("utf-8", "surrogateescape")
+        number.clear()
+        raw = np.frombuffer(raw, np.uint8)
+        symbols = self.merged(self.first[raw])
+        kept = symbols >= 0
+        per_piece = np.add.reduceat(kept, np.flatnonzero(raw == _PIECE_END)).astype(np.int64)[:-1]
+        ids = symbols[kept]
+        start = np.cumsum(per_piece) - per_piece
+        for pieces in own:
+            n = per_piece[pieces]
+            at = np.repeat(start[pieces] - (np.cumsum(n) - n), n)
+            yield ids[at + np.arange(len(at))].tolist()
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text."""
-        pieces = list(self.parts(text))
-        self.learn(set(pieces) - self.seen.keys())
-        return [int(i) for p in pieces for i in self.seen[p][0].split(",")]
+        return next(self.encode_all([text]))
+
+    def digest(self, ids: list[int]) -> tuple[int, str, str]:
+        """(number of ids, SHA-256 of the ids, SHA-256 of the decoded text)."""
+        shown = ",".join([self.shown_id[i] for i in ids]).encode()
+        return len(ids), hashlib.sha256(shown).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest()
 
 
 @functools.lru_cache(maxsize=2)
@@ -151,25 +176,27 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def _groups(column: pa.Array) -> Iterator[list[str]]:
-    held, size = [], 0
-    for x in column:
-        held.append(x.as_py() or "")
-        size += len(held[-1])
-        if size > STEP:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def _steps(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of rows, some 12 M characters at a time."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        for i, t in zip(*batch.columns):
+            ids.append(i.as_py())
+            texts.append(t.as_py() or "")
+            size += len(texts[-1])
+            if size > STEP:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    yield ids, texts
 
 
 def _digest(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
-            rows = [r for texts in _groups(batch.column(1)) for r in bpe.digests(texts)]
-            n, ids, decoded = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for ids, texts in _steps(batches):
+            rows = [bpe.digest(x) for x in bpe.encode_all(texts)]
+            cols = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, cols, (pa.int64(), pa.string(), pa.string()))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
@@ -188,13 +215,8 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
-            for texts in _groups(batch.column(1)):
-                ids = [bpe.encode(t) for t in texts]
-                if len(bpe.seen) > REMEMBERED:
-                    bpe.seen.clear()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(0, len(ids)), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
-                batch = batch.slice(len(ids))
+        for ids, texts in _steps(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(bpe.encode_all(texts)), pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return run
 

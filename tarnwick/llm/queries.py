@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, simhash
+from . import bpe, exact_dedup, language_id, mixing, secrets, simhash
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_bpe": bpe.op2_bpe,
     "op8_simhash": simhash.op8_simhash,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op9_secrets": secrets.op9_secrets,
     "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLE = {
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op9_secrets": secrets.ORACLE,
 }

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, mixing, secrets, simhash
+from . import bpe, embedding_dedup, exact_dedup, language_id, mixing, secrets, simhash
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_bpe": bpe.op2_bpe,
+    "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
     "op8_simhash": simhash.op8_simhash,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op9_secrets": secrets.op9_secrets,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op5_embedding_dedup": embedding_dedup.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op9_secrets": secrets.ORACLE,
 }

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, exact_dedup, language_id, mixing, quality, secrets, simhash
+from . import bpe, embedding_dedup, exact_dedup, language_id, lm_scoring, mixing, quality, secrets, simhash
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_bpe": bpe.op2_bpe,
     "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
+    "op6_lm_scoring": lm_scoring.op6_lm_scoring,
     "op7_quality": quality.op7_quality,
     "op8_simhash": simhash.op8_simhash,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
@@ -18,5 +19,6 @@ QUERIES = {
 ORACLE = {
     "op5_embedding_dedup": embedding_dedup.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op6_lm_scoring": lm_scoring.ORACLE,
     "op9_secrets": secrets.ORACLE,
 }

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, exact_dedup, language_id, lm_scoring, mixing, quality, secrets, simhash
+from . import bpe, embedding_dedup, exact_dedup, html_extraction, language_id, lm_scoring, mixing, quality, secrets, simhash
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_bpe": bpe.op2_bpe,
+    "op3_html_extraction": html_extraction.op3_html_extraction,
     "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
     "op6_lm_scoring": lm_scoring.op6_lm_scoring,
     "op7_quality": quality.op7_quality,

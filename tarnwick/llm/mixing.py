@@ -72,7 +72,7 @@ def sainte_lague(votes: list[Fraction | int], seats: int) -> list[int]:
     return won
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42, block: int = BLOCK, shard_words: int = SHARD_WORDS) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42, block: int = BLOCK, shard_words: int = SHARD_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, taken, epochs, runs.
 
     ``taken`` is epochs * size plus the words in ``runs``, an array of (start,
@@ -80,7 +80,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken; a null source is a source of its own, last in rank. Repeated rows
     are documents of their own. Blocks shrink below ``block`` words where the
     least target is small, so every source comes within a block or so of its
-    target. An empty table gives no rows; extra columns aren't read.
+    target. An empty table gives no rows; of extra columns only those in
+    ``carry`` are read, and passed on.
     """
     spark = docs.sparkSession
     sized = stored(
@@ -89,6 +90,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"),
             F.xxhash64(F.lit(seed), F.col(id_col), F.length(text_col)).alias("draw"),
+            *carry,
         ),
         "mix-sizes",
     )
@@ -109,7 +111,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     dealt = (
         sized.alias("d")
         .join(F.broadcast(sources.alias("p")), F.col("d.source").eqNullSafe(F.col("p.source")))
-        .select("d.doc_id", "d.source", "d.size", "d.draw", "p.s", "p.source_size", "p.target", F.pmod(F.col("d.draw"), F.col("p.shards")).cast("int").alias("shard"))
+        .select(*(f"d.{c}" for c in ("doc_id", "source", "size", "draw", *carry)), "p.s", "p.source_size", "p.target", F.pmod(F.col("d.draw"), F.col("p.shards")).cast("int").alias("shard"))
     )
     shards: dict[int, list] = {}
     for r in dealt.groupBy("s", "shard").agg(F.sum("size").alias("w")).where("w > 0").collect():
@@ -138,7 +140,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     none = F.array().cast("array<struct<start:bigint,length:bigint>>")
     placed = placed.withColumn("runs", F.coalesce(F.when(F.col("part") > 0, pieces), none)).withColumn("epochs", F.when(F.col("size") > 0, F.coalesce("epochs", F.lit(0))).otherwise(F.lit(0)).cast("long"))
     part = F.aggregate("runs", F.lit(0).cast("long"), lambda x, r: x + r["length"])
-    return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"), "epochs", "runs")
+    return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"), "epochs", "runs", *carry)
+
+
+def apply_mix(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars", **options) -> DataFrame:
+    """The mixed corpus, with the columns of ``docs``: each document as often as the mix passes over it, and its part of a run.
+
+    A part holds the words of the run and the white space between them;
+    ``count_col``, where there is one, counts its characters. Rows of which the
+    mix takes nothing go.
+    """
+    keyed = docs.withColumn("__row", F.monotonically_increasing_id())
+    taken = mix(keyed, text_col=text_col, carry=("__row",), **options).where("taken > 0").select("__row", "epochs", "runs")
+    whole = F.array_repeat(F.lit(None).cast("struct<start:bigint,length:bigint>"), F.col("epochs").cast("int"))
+    rows = keyed.join(taken, "__row").withColumn("__run", F.explode(F.concat(whole, "runs")))
+    words, gaps = F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)), F.split(text_col, WORD, -1)
+    start, length = F.col("__run.start").cast("int"), F.col("__run.length").cast("int")
+    pieces = F.zip_with(F.slice(words, start + 1, length), F.concat(F.slice(gaps, start + 2, length - 1), F.array(F.lit(""))), lambda w, g: F.concat(w, g))
+    part = F.array_join(pieces, "")
+    rows = rows.withColumn(text_col, F.when(F.col("__run").isNull(), F.col(text_col)).otherwise(part))
+    if count_col in docs.columns:
+        rows = rows.withColumn(count_col, F.when(F.col("__run").isNull(), F.col(count_col)).otherwise(F.length(text_col).cast(docs.schema[count_col].dataType)))
+    return rows.select(*docs.columns)
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

@@ -58,6 +58,15 @@ def block_grams(texts: list[bytes | None], order: int) -> tuple[np.ndarray, np.n
     return doc, place, grams
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """64-bit numbers by byte planes, least byte first: planes of zeros all but vanish when the shuffle compresses them."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
 def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     return (keys >> np.uint64(32)).astype(np.int64) * parts >> 32
 
@@ -77,7 +86,8 @@ def _ask(order: int, parts: int):
         block = key[0].as_py()
         return pa.table(
             {"part": pa.array(some, pa.int32()), "block": pa.array([block] * len(some), pa.int64())}
-            | {name: pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()) for name, x in (("keys", keys), ("counts", counts.astype(np.int64)))}
+            # sorted keys travel as their differences
+            | {"keys": pa.array([_packed(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in zip(cuts, cuts[1:])], pa.binary()), "counts": pa.array([_packed(counts[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())}
         )
 
     return run
@@ -85,13 +95,13 @@ def _ask(order: int, parts: int):
 
 def _tell(rows: pa.Table) -> pa.Table:
     """The count table of one hash range, joined to each block's keys."""
-    keys = [np.frombuffer(x, np.uint64) for x in rows.column("keys").to_pylist()]
-    counts = np.concatenate([np.frombuffer(x, np.int64) for x in rows.column("counts").to_pylist()])
+    keys = [np.cumsum(_unpacked(x), dtype=np.uint64) for x in rows.column("keys").to_pylist()]
+    counts = np.concatenate([_unpacked(x) for x in rows.column("counts").to_pylist()]).astype(np.int64)
     table, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.zeros(len(table), np.int64)
     np.add.at(total, at, counts)
     told, cuts = total[at], np.cumsum([0, *map(len, keys)]).tolist()
-    return pa.table({"block": rows.column("block"), "part": rows.column("part"), "totals": pa.array([told[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())})
+    return pa.table({"block": rows.column("block"), "part": rows.column("part"), "totals": pa.array([_packed(told[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())})
 
 
 def _own(doc: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -105,7 +115,7 @@ def _score(order: int, alpha: float, all_tokens: int):
         doc, place, grams = block_grams(rows.column("text").to_pylist(), order)
         _, at = _distinct(place, grams, return_inverse=True)
         told = told.sort_by("part")
-        totals = np.concatenate([np.frombuffer(x, np.int64) for x in told.column("totals").to_pylist()] or [np.empty(0, np.int64)])
+        totals = np.concatenate([_unpacked(x) for x in told.column("totals").to_pylist()] or [np.empty(0, np.uint64)]).astype(np.int64)
         n_docs = rows.num_rows
         n = np.bincount(doc, minlength=n_docs)
         others = np.maximum(all_tokens - n, 1).astype(float)

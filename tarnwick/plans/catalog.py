@@ -1,10 +1,390 @@
-"""The engine's registered queries and their DuckDB counterparts."""
+"""The engine's registered queries and their DuckDB counterparts.
+
+The tables stand in for a corpus: a document is a file of the project that is
+its source, a benchmark passage (every third word of it) is a question, and the
+documents that hold the passage are its labels. In embeddings the label plays
+the part of the file.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import porter
+from ..functions import providers as pv
+from ..functions import statistics as st
+from ..functions import text as tx
+from ..operators import chunking as ch
+from ..operators import evaluation as ev
+from ..operators import labels as lb
+from ..operators import retrieval as rt
+from ..sources import corpus, manifest
+from . import oracle as sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Register a query, with its SQL where there is any."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _files(spark, sf_dir):
+    return corpus.documents_as_files(_table(spark, sf_dir, "documents"))
+
+
+def _chunks(spark, sf_dir):
+    """Documents as chunks: idx, path, name, text."""
+    return _files(spark, sf_dir).select(F.col("doc_id").alias("idx"), "path", F.col("project").alias("name"), F.col("source").alias("text"))
+
+
+def _questions(spark, sf_dir):
+    third = F.array_join(F.filter(F.split("text", " "), lambda w, i: i % 3 == 0), " ")
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), third.alias("q"))
+
+
+def _qrels(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    held = lb.containment(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), _table(spark, sf_dir, "benchmark"))
+    return held.join(corpus.documents_as_files(docs).select("doc_id", "path"), "doc_id").select(F.col("item_id").alias("qid"), "path")
+
+
+def _bm25(spark, sf_dir, k):
+    index = rt.Lexical.build(_chunks(spark, sf_dir), stem=False).persist()
+    return rt.bm25_rank(index, _questions(spark, sf_dir), k, stem=False, digits=6)
+
+
+def _dense(spark, sf_dir, k):
+    vectors = pv.hashing_vectors(_chunks(spark, sf_dir), "idx", "text")
+    return rt.dense_rank(vectors, pv.hashing_vectors(_questions(spark, sf_dir), "qid", "q"), k, digits=6)
+
+
+def _lists(spark, sf_dir):
+    """(key, qid, path, rank): the first ten of every strategy that needs no model."""
+    paths = _chunks(spark, sf_dir).select("idx", "path")
+    bm25, dense = _bm25(spark, sf_dir, rt.FUSION_DEPTH).persist(), _dense(spark, sf_dir, rt.FUSION_DEPTH).persist()
+    fused = rt.fuse([bm25, dense], rt.CAP_DEPTH).join(paths, "idx").persist()
+    capped = rt.cap(fused.withColumn("project", corpus.project_of(F.col("path"))), path="project", k=ev.DEPTH)
+    named = {"bm25": bm25.join(paths, "idx"), "dense": dense.join(paths, "idx"), "hybrid": fused, "hybrid+cap": capped}
+    out = None
+    for key, one in named.items():
+        one = one.where(F.col("rank") <= ev.DEPTH).select(F.lit(key).alias("key"), "qid", "path", "rank")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _metrics(spark, sf_dir):
+    return ev.question_metrics(_lists(spark, sf_dir), _qrels(spark, sf_dir), _questions(spark, sf_dir), ("key",))
+
+
+def _six(df: DataFrame, *skip: str) -> DataFrame:
+    return df.select(*(F.round(f"`{c}`", 6).alias(c) if t == "double" and c not in skip else F.col(f"`{c}`") for c, t in df.dtypes))
+
+
+# ---------------------------------------------------------------- sources
+
+
+@query(sql.CORPUS_INVENTORY)
+def corpus_inventory(spark, sf_dir):
+    """Files and lines of each project and of all."""
+    return manifest.project_totals(_files(spark, sf_dir))
+
+
+@query(sql.FILE_ENTRIES)
+def file_entries(spark, sf_dir):
+    """Path, project, lines and digest of each file."""
+    return _files(spark, sf_dir).select("path", corpus.project_of(F.col("path")).alias("project"), "lines", "sha256")
+
+
+@query(sql.MANIFEST_DIFF)
+def manifest_diff(spark, sf_dir):
+    """How a corpus that has lost, gained and changed files differs from its manifest."""
+    files = _files(spark, sf_dir).select("doc_id", "project", "path", "lines", "sha256")
+    expected = files.where("doc_id % 7 <> 3").drop("doc_id")
+    n = F.col("doc_id")
+    actual = files.where("doc_id % 11 <> 5").withColumn("sha256", F.when(n % 13 == 0, F.lit("changed")).otherwise(F.col("sha256"))).withColumn("lines", F.when(n % 17 == 0, F.col("lines") + 1).otherwise(F.col("lines"))).drop("doc_id")
+    return manifest.differences(expected, actual)
+
+
+@query(sql.LINE_TABLE)
+def line_table(spark, sf_dir):
+    """Each document's lines, those with letters or digits, and the first and last of them."""
+    rows = _table(spark, sf_dir, "documents").select("doc_id", tx.lines(F.coalesce("text", F.lit(""))).alias("l"))
+    worded = F.array_compact(F.transform("l", lambda x, i: F.when(x.rlike(tx.ALNUM), i + 1)))
+    return rows.select("doc_id", F.size("l").alias("n_lines"), worded.alias("w")).select("doc_id", "n_lines", F.size("w").alias("n_worded"), F.array_min("w").alias("first"), F.array_max("w").alias("last"))
+
+
+@query(sql.LABELS)
+def containment_labels(spark, sf_dir):
+    """Which documents hold which passages."""
+    return lb.containment(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+# ---------------------------------------------------------------- text
+
+
+@query(sql.TOKENS_TOPK)
+def tokens_topk(spark, sf_dir):
+    """The fifty most frequent search words."""
+    words = _table(spark, sf_dir, "documents").select(F.explode(tx.words(F.coalesce("text", F.lit("")))).alias("term"))
+    return words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(50)
+
+
+@query(sql.IDENTIFIER_PARTS)
+def identifier_parts(spark, sf_dir):
+    """Parts of identifiers of every shape."""
+    given = spark.createDataFrame([(t,) for t in sql.IDENTIFIERS], "token string")
+    return given.select("token", F.array_join(tx.identifier_parts(F.col("token")), ",").alias("parts"))
+
+
+@query()
+def stem_terms(spark, sf_dir):
+    """Stems of the distinct search words, and how many words share each."""
+    words = _table(spark, sf_dir, "documents").select(F.explode(tx.words(F.coalesce("text", F.lit("")))).alias("term")).distinct()
+    return words.select(porter.stem_udf("term").alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n_terms"))
+
+
+@query(sql.DERIVED_SEEDS)
+def derived_seeds(spark, sf_dir):
+    """The seeds of some labels."""
+    labels = spark.createDataFrame([(k,) for k in sql.SEED_LABELS], "label string")
+    return labels.select("label", st.derived_seed_column(st.SEED, F.col("label")).alias("seed"))
+
+
+# ---------------------------------------------------------------- chunks
+
+
+def _document_chunks(spark, sf_dir, chunking, suffix, budget=60):
+    files = _files(spark, sf_dir).withColumn("path", F.concat("path", F.lit(suffix))).withColumn("parts", F.split("path", "/"))
+    return ch.build_chunks(files, chunking, budget=budget)
+
+
+@query(sql.WINDOW_CHUNKS)
+def window_chunks(spark, sf_dir):
+    """Windows of the documents' lines: their bounds and tokens."""
+    rows = _document_chunks(spark, sf_dir, "window", "", 254)
+    return rows.where(~F.col("name").contains("(")).groupBy("path").agg(F.count(F.lit(1)).alias("n_windows"), F.min("start_line").alias("first"), F.max("end_line").alias("last"))
+
+
+@query()
+def merge_chunks(spark, sf_dir):
+    """Documents as Markdown, a heading before each line, merged within the budget."""
+    files = _files(spark, sf_dir).withColumn("path", F.concat("path", F.lit(".md"))).withColumn("source", F.regexp_replace("source", "(?m)^", "# part\n"))
+    chunks = ch.build_chunks(files.withColumn("parts", F.split("path", "/")), "structural_merged", budget=254)
+    return chunks.select("chunk_id", "kind", "start_line", "end_line", F.length("text").alias("n_chars"))
+
+
+@query(sql.MARKDOWN_SECTIONS)
+def markdown_sections(spark, sf_dir):
+    """Sections of a Markdown text."""
+    files = spark.createDataFrame([(sql.MARKDOWN_PATH, "demo", sql.MARKDOWN_PATH.split("/"), sql.MARKDOWN)], "path string, project string, parts array<string>, source string")
+    return ch.build_chunks(files, "structural").select("name", "kind", "start_line", "end_line")
+
+
+@query(sql.CODE_UNITS)
+def code_units(spark, sf_dir):
+    """Declarations of a Python and a Java source."""
+    rows = [(p, "demo", p.split("/"), s) for p, s in sql.SOURCES.items()]
+    return ch.build_chunks(spark.createDataFrame(rows, "path string, project string, parts array<string>, source string"), "structural").select("path", "name", "kind", "start_line", "end_line")
+
+
+@query(sql.CHUNK_SIZES)
+def chunk_size_summary(spark, sf_dir):
+    """Sizes of the documents' lines as chunks, by project."""
+    lines = _files(spark, sf_dir).select("project", "path", F.lit(1).alias("start_line"), F.col("lines").alias("end_line"))
+    return ch.size_summary(lines, "project")
+
+
+@query(sql.CHUNK_IDS)
+def chunk_id_dedupe(spark, sf_dir):
+    """Ids of documents by project and language, repeats numbered."""
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("path"), F.concat_ws("::", "source", "lang").alias("chunk_id"))
+    return ch.unique_ids(rows, order="doc_id").select("doc_id", "chunk_id")
+
+
+# ---------------------------------------------------------------- retrieval
+
+
+@query(sql.BM25_TERMS)
+def bm25_terms(spark, sf_dir):
+    """Weights of the terms that stand in five documents or more."""
+    index = rt.Lexical.build(_chunks(spark, sf_dir), stem=False)
+    df = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df >= 5")
+    return df.join(index.terms, "term").select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(sql.BM25_TOPK)
+def bm25_topk(spark, sf_dir):
+    """The ten best documents for each question by BM25."""
+    return _bm25(spark, sf_dir, 10).select("qid", "idx", "score", "rank")
+
+
+@query(sql.BM25_FILLERS)
+def bm25_fillers(spark, sf_dir):
+    """A question of one rare word: chunks without it fill the list up, by position."""
+    index = rt.Lexical.build(_chunks(spark, sf_dir), stem=False)
+    rare = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df <= 3 AND term RLIKE '^[a-z]+$'").agg(F.min("term").alias("q")).withColumn("qid", F.lit(0).cast("long"))
+    return rt.bm25_rank(index, rare, 10, stem=False, digits=6).select("idx", "rank")
+
+
+@query(sql.HASH_EMBED)
+def hash_embed(spark, sf_dir):
+    """Hashed word vectors of the documents: their largest components."""
+    v = pv.hashing_vectors(_chunks(spark, sf_dir), "idx", "text")
+    best = F.array_max("vector")
+    return v.select("idx", F.round(best, 6).alias("largest"), (F.array_position("vector", best) - 1).alias("bucket"), F.size(F.filter("vector", lambda x: x > 0)).alias("filled"))
+
+
+@query(sql.DENSE_TOPK)
+def dense_topk(spark, sf_dir):
+    """The ten nearest vectors of each vector whose id is divisible by 50."""
+    e = _table(spark, sf_dir, "embeddings")
+    vectors = e.select(F.col("vec_id").alias("idx"), F.col("embedding").alias("vector"))
+    return rt.dense_rank(vectors, vectors.where("idx % 50 = 0").withColumnRenamed("idx", "qid"), 10, digits=6).select("qid", "idx", "score", "rank")
+
+
+@query(sql.RRF_FUSION)
+def rrf_fusion(spark, sf_dir):
+    """The twenty best documents for each question, BM25 and hashed vectors fused."""
+    return rt.fuse([_bm25(spark, sf_dir, 60), _dense(spark, sf_dir, 60)], 20).select("qid", "idx", "rank")
+
+
+@query(sql.FILE_CAP)
+def file_cap(spark, sf_dir):
+    """Nearest vectors with at most two of a label before the others."""
+    e = _table(spark, sf_dir, "embeddings")
+    vectors = e.select(F.col("vec_id").alias("idx"), F.col("embedding").alias("vector"))
+    near = rt.dense_rank(vectors, vectors.where("idx % 50 = 0").withColumnRenamed("idx", "qid"), rt.CAP_DEPTH, digits=6)
+    return rt.cap(near.join(e.select(F.col("vec_id").alias("idx"), "label"), "idx"), path="label", per_file=2, k=10).select("qid", "idx", "label", "rank")
+
+
+@query(sql.RERANK_OVERLAP)
+def rerank_overlap(spark, sf_dir):
+    """The thirty best by BM25, ordered by the words they share with the question."""
+    return rt.rerank(_bm25(spark, sf_dir, rt.RERANK_DEPTH), _questions(spark, sf_dir), _chunks(spark, sf_dir), pv.OverlapReranker(), 10).select("qid", "idx", "score", "rank")
+
+
+@query()
+def search_strategies(spark, sf_dir):
+    """All six strategies, stemmed, with the offline providers."""
+    chunks = _chunks(spark, sf_dir)
+    index = rt.Index(chunks, rt.Lexical.build(chunks).persist(), pv.embed(chunks, pv.HashingEmbedder(), "text", "idx").persist(), pv.OverlapReranker())
+    questions = _questions(spark, sf_dir)
+    asked = questions.join(pv.embed(questions, pv.HashingEmbedder(), "q", "qid"), "qid").persist()
+    out = None
+    for s in rt.STRATEGIES:
+        one = index.search(asked, s).select(F.lit(s).alias("strategy"), "qid", "idx", "rank")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# ---------------------------------------------------------------- evaluation
+
+
+@query(sql.BM25_QUALITY)
+def bm25_quality(spark, sf_dir):
+    """Mean metrics of BM25 over the labelled questions."""
+    rels = _qrels(spark, sf_dir).persist()
+    ranked = _bm25(spark, sf_dir, ev.DEPTH).join(_chunks(spark, sf_dir).select("idx", "path"), "idx")
+    rows = ev.question_metrics(ranked, rels, rels.select("qid").distinct())
+    return _six(rows.agg(F.count(F.lit(1)).alias("n"), *(F.avg(f"`{m}`").alias(m.replace("@", "_at_")) for m in ("hit_rate@1", "hit_rate@5", "recall@5", "mrr", "ndcg@10"))))
+
+
+@query(sql.QUESTION_METRICS)
+def question_metrics(spark, sf_dir):
+    """The ten metrics of each question and strategy."""
+    rows = _metrics(spark, sf_dir)
+    return _six(rows.select(*(F.col(f"`{c}`").alias(c.replace("@", "_at_")) for c in rows.columns)))
+
+
+@query(sql.LEADERBOARD)
+def strategy_leaderboard(spark, sf_dir):
+    """Mean metrics of each strategy."""
+    rows = ev.long_form(_metrics(spark, sf_dir), ("key",))
+    return _six(rows.groupBy("key", "metric").agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n")))
+
+
+def _long(spark, sf_dir):
+    rows = ev.long_form(_metrics(spark, sf_dir), ("key",))
+    return rows.withColumn("ord", F.col("qid")).persist()
+
+
+def _pairs(spark):
+    return spark.createDataFrame([(label, a, b, m) for label, a, b, ms in sql.PAIRS for m in ms], "label string, a string, b string, metric string")
+
+
+@query(sql.PAIRED)
+def paired_comparison(spark, sf_dir):
+    """Strategies compared question by question, with the exact sign test."""
+    return _six(ev.paired(_long(spark, sf_dir), _pairs(spark)))
+
+
+@query(sql.SIGN_TEST)
+def sign_test(spark, sf_dir):
+    """The sign test for every split of up to forty pairs."""
+    n = spark.range(41).select(F.col("id").alias("better")).crossJoin(spark.range(41).select(F.col("id").alias("worse"))).where("better + worse <= 40")
+    return n.select("better", "worse", F.round(st.sign_test_column(F.col("better"), F.col("worse")), 9).alias("p"))
+
+
+@query(sql.BOOTSTRAP_HASH)
+def bootstrap_hash(spark, sf_dir):
+    """Bootstrap intervals with draws that any engine can repeat, of document lengths by language."""
+    values = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").select("lang", F.col("doc_id").alias("ord"), F.col("quality").cast("double").alias("value"))
+    return _six(ev.bootstrap_hash(values, ("lang",), resamples=200))
+
+
+@query()
+def bootstrap_numpy(spark, sf_dir):
+    """Bootstrap intervals of every strategy and metric, with the published draws."""
+    return ev.with_intervals(_long(spark, sf_dir))
+
+
+@query(sql.CAP_SELECTION)
+def cap_selection(spark, sf_dir):
+    """The caps' metrics on both halves, and the one chosen on the first."""
+    questions = _questions(spark, sf_dir)
+    halves = questions.select("qid", F.when(F.col("qid") % 2 == 0, "dev").otherwise("test").alias("half"))
+    paths = _chunks(spark, sf_dir).select("idx", "path", F.col("name").alias("project"))
+    fused = rt.fuse([_bm25(spark, sf_dir, 60), _dense(spark, sf_dir, 60)], rt.CAP_DEPTH).join(paths, "idx").persist()
+    lists = None
+    for c in ev.CAPS:
+        one = (fused if c is None else rt.cap(fused, path="project", per_file=c)).where(F.col("rank") <= ev.DEPTH).select(F.lit(c or 0).alias("cap"), "qid", "path", "rank")
+        lists = one if lists is None else lists.unionByName(one)
+    metrics = ev.question_metrics(lists, _qrels(spark, sf_dir), questions, ("cap",)).withColumn("per_file", F.when(F.col("cap") > 0, F.col("cap")))
+    rows = ev.choose_cap(metrics, halves)
+    return _six(rows.select("per_file", "half", "mrr", F.col("`hit_rate@5`").alias("hit_rate_at_5"), F.col("`recall@5`").alias("recall_at_5"), "chosen"))
+
+
+@query(sql.FAILURE_SHARES)
+def failure_shares(spark, sf_dir):
+    """Shares of the first five results from documentation and from other projects, on hits and misses."""
+    shares = ev.failure_shares(_lists(spark, sf_dir), _qrels(spark, sf_dir), _questions(spark, sf_dir))
+    return _six(ev.failure_summary(shares))
+
+
+@query(sql.SPLIT)
+def split_stratified(spark, sf_dir):
+    """Documents halved within each language by a seeded digest."""
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), "lang")
+    return ev.split_by_hash(rows, "lang", 7)
+
+
+@query(sql.KAPPA)
+def label_agreement_kappa(spark, sf_dir):
+    """Agreement of two columns of labels."""
+    return _six(ev.kappa(_table(spark, sf_dir, "labels"), "quality", "toxic"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import porter
@@ -21,6 +21,7 @@ from ..operators import chunking as ch
 from ..operators import evaluation as ev
 from ..operators import labels as lb
 from ..operators import retrieval as rt
+from ..session import spread
 from ..sources import corpus, manifest
 from . import oracle as sql
 
@@ -41,7 +42,7 @@ def query(oracle: str | None = None):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _files(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -21,3 +21,9 @@ def get_spark(app: str = "tarnwick", master: str | None = None, **conf: str) ->
     for k, v in {**DEFAULTS, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it comes in fewer partitions, as one small file does; larger inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

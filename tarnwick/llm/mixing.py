@@ -151,9 +151,9 @@ def apply_mix(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars
     mix takes nothing go.
     """
     keyed = docs.withColumn("__row", F.monotonically_increasing_id())
-    taken = mix(keyed, text_col=text_col, carry=("__row",), **options).where("taken > 0").select("__row", "epochs", "runs")
-    whole = F.array_repeat(F.lit(None).cast("struct<start:bigint,length:bigint>"), F.col("epochs").cast("int"))
-    rows = keyed.join(taken, "__row").withColumn("__run", F.explode(F.concat(whole, "runs")))
+    taken = mix(keyed, text_col=text_col, carry=("__row",), **options).where("taken > 0").select("__row", F.col("epochs").alias("__epochs"), F.col("runs").alias("__runs"))
+    whole = F.array_repeat(F.lit(None).cast("struct<start:bigint,length:bigint>"), F.col("__epochs").cast("int"))
+    rows = keyed.join(taken, "__row").withColumn("__run", F.explode(F.concat(whole, "__runs")))
     words, gaps = F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)), F.split(text_col, WORD, -1)
     start, length = F.col("__run.start").cast("int"), F.col("__run.length").cast("int")
     pieces = F.zip_with(F.slice(words, start + 1, length), F.concat(F.slice(gaps, start + 2, length - 1), F.array(F.lit(""))), lambda w, g: F.concat(w, g))

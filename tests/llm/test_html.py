@@ -1,0 +1,99 @@
+import html
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from tarnwick.llm import html_extraction as hx
+from tarnwick.llm.gbdt import Boosted
+from tarnwick.llm.html_dom import parse
+
+
+@pytest.fixture(scope="module")
+def model():
+    return hx.trained()
+
+
+def shown(node, depth=0):
+    yield (depth, node.tag, " ".join(node.text))
+    for c in node.children:
+        yield from shown(c, depth + 1)
+
+
+def texts(page):
+    return [t for _, tag, t in shown(parse(page)) if tag == "#text"]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("", []), ("plain", ["plain"]), ("<p>a<p>b", ["a", "b"]), ("<p><b>a<br><p>c</p>", ["a", "c"]), ("<p>a<br>b</p>", ["a b"]), ("a &amp; b&am", ["a & b&am"]), ("<script>var t='</p>';</script>x", ["x"]), ("<script>never closed <p>x", []),
+        ("<style>p{}</style><title>t</title>x", ["x"]), ("<!-- <p>no</p> -->x<!-- open", ["x"]), ("<ul><li>a<li>b<ul><li>c</ul></ul>", ["a", "b", "c"]), ("<table><tr><td>a<td>b<tr><td>c</table>", ["a", "b", "c"]), ("1 < 2 and 3 > 2", ["1 < 2 and 3 > 2"]),
+        ("<a title='x>y'>z</a>", ["z"]), ("<p title=it's>a</p><p>b</p>", ["a", "b"]), ("<P CLASS=x>A</P>", ["A"]), ("a&nbsp;\n b", ["a b"]), ("</p></div>x", ["x"]), ("<div>a<p>b</p>c</div>", ["a", "b", "c"]), ("<select><option>x</select>y", ["y"]), ("<h1>a<h2>b", ["a", "b"]),
+    ],
+)
+def test_parser(page, want):
+    assert texts(page) == want
+
+
+def test_decoding_is_the_best_consistent_choice():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        n = int(rng.integers(1, 7))
+        parent = np.array([-1, *(int(rng.integers(0, k)) for k in range(1, n))])
+        leaf = np.array([k not in parent for k in range(n)])
+        logp = np.log(rng.dirichlet((1, 1, 1), n))
+        got = hx.decode(logp, parent, leaf, np.zeros(n, bool))
+
+        def allowed(s):
+            return all(not (leaf[k] and s[k] == hx.MIXED) and (parent[k] < 0 or s[parent[k]] in (hx.MIXED, s[k])) for k in range(n))
+
+        best = max((s for s in np.ndindex(*(3,) * n) if allowed(s)), key=lambda s: sum(logp[k, s[k]] for k in range(n)))
+        assert allowed(got) and sum(logp[k, got[k]] for k in range(n)) == pytest.approx(sum(logp[k, best[k]] for k in range(n)))
+
+
+def test_trees_learn():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((2000, 4)).astype(np.float32)
+    y = (x[:, 0] > 0).astype(int) + (x[:, 0] * x[:, 1] > 0.5)
+    b = Boosted(3, rounds=30).fit(x[:1500], y[:1500])
+    assert (b.log_proba(x[1500:]).argmax(1) == y[1500:]).mean() > 0.93
+    assert np.allclose(np.exp(b.log_proba(x[:5])).sum(1), 1)
+
+
+def test_unseen_pages(model):
+    rng, hit, wrong, lost = random.Random(1234), 0, 0, 0
+    clean = lambda s: " ".join(html.unescape(re.sub(r"<[^>]*>", "", s)).split())
+    pages = [hx.sample_page(rng) for _ in range(150)]
+    for (_, marked), got in zip(pages, model.texts([re.sub("[\ue000\ue001]", "", p) for p, _ in pages])):
+        want, got = Counter(filter(None, map(clean, marked))), Counter(got)
+        size = lambda c: sum(len(k) * n for k, n in c.items())
+        hit, wrong, lost = hit + size(want & got), wrong + size(got - want), lost + size(want - got)
+    assert hit / (hit + wrong) > 0.98 and hit / (hit + lost) > 0.98
+
+
+PAGE = """<html><head><title>t</title></head><body><div class="cookie-notice">We use cookies. <button>OK</button></div>
+<header class="site-header"><a href="/">Home</a></header><nav><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul></nav>
+<div class="content"><h1>The title of it</h1><p>First words of the text, and more of them follow here.</p><div class="ad">Buy this now, it is cheap.</div><p>Second words, with a <a href="/l">link</a> in them &amp; a sign.</p></div>
+<aside class="sidebar"><h3>Related</h3><ul><li><a href="/c">C</a></li></ul></aside>
+<section id="comments" class="comments"><h2>Comments</h2><div class="comment"><b>Ann</b><p>I liked reading this a lot, thank you.</p></div></section>
+<form class="newsletter"><p>Join us.</p><label>mail</label><input></form><footer>&copy; all of it</footer></body></html>"""
+
+
+def test_a_page(model):
+    assert model.texts([PAGE]) == [["The title of it", "First words of the text, and more of them follow here.", "Second words, with a link in them & a sign."]]
+
+
+def test_in_spark(spark, sf_dir):
+    df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x"), (None, "u", "", "x"), (3, "u", "<nav><a href=/>only</a></nav>", "x"), (1, "u", PAGE, "x")], "page_id bigint, url string, html string, blocks string")
+    got = {(r["page_id"], r["url"]): r["blocks"] for r in hx.extract(df).collect()}
+    assert len(got[1, "u"]) == 3 and got[2, None] == got[None, "u"] == got[3, "u"] == []
+    assert hx.extract(df.limit(0)).count() == 0 and hx.extract(df).count() == 5
+    # the tables' pages hold their main text in one article element
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    for r in hx.op3_html_extraction(spark, sf_dir).collect():
+        article = re.search(r"<article>(.*?)</article>", pages[r["page_id"]], re.S)[1]
+        want = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
+        assert r["text"] == "\n\n".join(filter(None, want)) and r["n_chars"] == len(r["text"])

@@ -250,11 +250,11 @@ SELECT doc_id, CASE WHEN n > 0 THEN id || '#' || n ELSE id END AS chunk_id FROM
 # ---------------------------------------------------------------- retrieval
 
 BM25_TERMS = f"WITH {_LEXICAL} SELECT term, df::BIGINT AS df, round(idf, 6) AS idf FROM terms WHERE df >= 5"
-BM25_TOPK = f"WITH {_BM25} SELECT qid, idx, score, rank FROM bm25 WHERE rank <= 10"
+BM25_TOPK = f"WITH {_BM25} SELECT qid, idx, score, rank::INT AS rank FROM bm25 WHERE rank <= 10"
 BM25_FILLERS = f"""
 WITH {_LEXICAL}, rare AS (SELECT min(term) AS term FROM terms WHERE df <= 3 AND regexp_full_match(term, '[a-z]+')),
 sc AS (SELECT idx, round(sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM rare JOIN terms USING (term) JOIN post USING (term) JOIN lens USING (idx), av GROUP BY ALL)
-SELECT idx, rank FROM (SELECT idx, row_number() OVER (ORDER BY coalesce(score, 0) DESC, idx) AS rank FROM lens LEFT JOIN sc USING (idx)) WHERE rank <= 10
+SELECT idx, rank::INT AS rank FROM (SELECT idx, row_number() OVER (ORDER BY coalesce(score, 0) DESC, idx) AS rank FROM lens LEFT JOIN sc USING (idx)) WHERE rank <= 10
 """
 HASH_EMBED = f"""
 WITH {_buckets("dv", "doc_id", "coalesce(text, '')", "documents")},
@@ -264,19 +264,19 @@ SELECT doc_id AS idx, round(coalesce(largest, 0), 6) AS largest, coalesce(bucket
 _NEAR = """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 near AS (SELECT a.vec_id AS qid, b.vec_id AS idx, b.label, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a, e b WHERE a.vec_id % 50 = 0),
 top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, idx) AS rank FROM near)"""
-DENSE_TOPK = f"WITH {_NEAR} SELECT qid, idx, score, rank FROM top WHERE rank <= 10"
-RRF_FUSION = f"WITH {_FUSED} SELECT qid, idx, rank FROM fused WHERE rank <= 20"
+DENSE_TOPK = f"WITH {_NEAR} SELECT qid, idx, score, rank::INT AS rank FROM top WHERE rank <= 10"
+RRF_FUSION = f"WITH {_FUSED} SELECT qid, idx, rank::INT AS rank FROM fused WHERE rank <= 20"
 FILE_CAP = f"""
 WITH {_NEAR}, t AS (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY rank) AS nth FROM top WHERE rank <= 60),
 c AS (SELECT qid, idx, label, row_number() OVER (PARTITION BY qid ORDER BY nth > 2, rank) AS rank FROM t)
-SELECT qid, idx, label, rank FROM c WHERE rank <= 10
+SELECT qid, idx, label, rank::INT AS rank FROM c WHERE rank <= 10
 """
 _SPLIT = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '[ \t\n\r\f\v]+'), lambda w: w <> ''))"
 RERANK_OVERLAP = f"""
 WITH {_BM25}, p AS (SELECT qid, idx, rank AS before, len(list_intersect({_SPLIT.format("q")}, {_SPLIT.format("coalesce(text, '')")}))::DOUBLE AS score
    FROM bm25 JOIN q USING (qid) JOIN documents ON doc_id = idx WHERE rank <= 30),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, before) AS rank FROM p)
-SELECT qid, idx, score, rank FROM r WHERE rank <= 10
+SELECT qid, idx, score, rank::INT AS rank FROM r WHERE rank <= 10
 """
 
 # ---------------------------------------------------------------- evaluation
@@ -286,7 +286,7 @@ WITH {_BM25}, files AS ({_FILES}), {_RELS}, lists AS (SELECT 'bm25' AS key, qid,
 asked AS (SELECT DISTINCT qid FROM rels), {_metrics("key", "lists", "asked")}
 SELECT count(*) AS n, {", ".join(f"round(avg({m}), 6) AS {m}" for m in ("hit_rate_at_1", "hit_rate_at_5", "recall_at_5", "mrr", "ndcg_at_10"))} FROM m
 """
-QUESTION_METRICS = f"{_ALL} SELECT key, qid, first_hit_rank, {', '.join(f'round({m}, 6) AS {m}' for m in _NAMES)} FROM m"
+QUESTION_METRICS = f"{_ALL} SELECT key, qid, first_hit_rank::INT AS first_hit_rank, {', '.join(f'round({m}, 6) AS {m}' for m in _NAMES)} FROM m"
 LEADERBOARD = f"{_ALL}, {_LONG} SELECT key, metric, round(avg(value), 6) AS value, count(*) AS n FROM long GROUP BY ALL"
 PAIRS = (
     ("fused vs lexical", "hybrid", "bm25", ("hit_rate@1", "hit_rate@5", "mrr", "ndcg@10")),

@@ -29,7 +29,7 @@ from .gbdt import Boosted
 from .html_dom import Node, attribute_tokens, parse
 
 OUT, IN, MIXED = range(3)
-TRAIN_PAGES = 1200
+TRAIN_PAGES = 1800
 #: Characters of pages whose nodes are scored together.
 STEP = 4 << 20
 
@@ -46,6 +46,7 @@ AWAY_WORDS = {
     "comments": "comment comments commentlist responses replies discussion disqus thread respond reviews".split(),
     "share": "share sharing social follow tools actions buttons".split(),
 }
+ROLES = {"nav": "navigation", "header": "banner", "footer": "contentinfo", "side": "complementary", "notice": "alert", "form": "search"}
 PLAIN_WORDS = "row col container wrapper inner block box module grid left right center clearfix wide panel layout unit item group holder outer area region".split()
 
 FEATURES = (
@@ -273,6 +274,8 @@ def sample_page(rng: random.Random) -> tuple[str, list[str]]:
 
     def box(kind: str, tags: list[str], body: str, always: bool = False) -> str:
         tag = "div" if plain and rng.random() < 0.7 else rng.choice(tags)
+        if not plain and kind in ROLES and rng.random() < 0.08:
+            return f'<{tag} role="{ROLES[kind]}">{body}</{tag}>'
         a = attrs(AWAY_WORDS[kind]) if always or tag == "div" or rng.random() < 0.5 else ""
         return f"<{tag}{a or (attrs(AWAY_WORDS[kind]) if tag == 'div' else '')}>{body}</{tag}>"
 
@@ -359,7 +362,7 @@ def sample_page(rng: random.Random) -> tuple[str, list[str]]:
                 parts.append(f"<pre>{kept(sentence())}</pre>")
             parts.append(para(1, 1) if brief else para())
         own = False
-        for extra, chance in ((ad, 0.2), (share, 0.15), (form, 0.06), (side, 0.08), (notice, 0.04)):
+        for extra, chance in ((ad, 0.2), (share, 0.12), (form, 0.1), (side, 0.14), (notice, 0.2)):
             if rng.random() < chance:
                 parts.insert(rng.randint(1, len(parts)), extra())
         body = "".join(parts)

@@ -17,14 +17,12 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import stored
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from ..functions.text import STOPWORDS
-from ..operators.evaluation import COMPARISONS  # noqa: F401  (the reported pairs, for callers that look here)
 
 # ---------------------------------------------------------------- shared pieces
 

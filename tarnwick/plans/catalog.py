@@ -114,11 +114,12 @@ def file_entries(spark, sf_dir):
 
 @query(sql.MANIFEST_DIFF)
 def manifest_diff(spark, sf_dir):
-    """How a corpus that has lost, gained and changed files differs from its manifest."""
-    files = _files(spark, sf_dir).select("doc_id", "project", "path", "lines", "sha256")
-    expected = files.where("doc_id % 7 <> 3").drop("doc_id")
-    n = F.col("doc_id")
-    actual = files.where("doc_id % 11 <> 5").withColumn("sha256", F.when(n % 13 == 0, F.lit("changed")).otherwise(F.col("sha256"))).withColumn("lines", F.when(n % 17 == 0, F.col("lines") + 1).otherwise(F.col("lines"))).drop("doc_id")
+    """How a corpus that has lost its Spanish files, gained its French ones, and changed in two projects differs from its manifest."""
+    files = _files(spark, sf_dir).select("doc_id", "project", "path", "lines", "sha256").join(_table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    expected = files.where("lang is distinct from 'fr'").drop("doc_id", "lang")
+    changed = F.when(F.col("project") == "src3", F.lit("changed")).otherwise(F.col("sha256"))
+    longer = F.when(F.col("project") == "src5", F.col("lines") + 1).otherwise(F.col("lines"))
+    actual = files.where("lang is distinct from 'es'").withColumn("sha256", changed).withColumn("lines", longer).drop("doc_id", "lang")
     return manifest.differences(expected, actual)
 
 
@@ -223,9 +224,9 @@ def chunk_id_dedupe(spark, sf_dir):
 
 @query(sql.BM25_TERMS)
 def bm25_terms(spark, sf_dir):
-    """Weights of the terms that stand in five documents or more."""
+    """Weights of all terms."""
     index = rt.Lexical.build(_chunks(spark, sf_dir), stem=False)
-    df = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df >= 5")
+    df = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return df.join(index.terms, "term").select("term", "df", F.round("idf", 6).alias("idf"))
 
 

@@ -98,9 +98,9 @@ SELECT project, count(*) AS files, coalesce(sum(n), 0)::BIGINT AS lines FROM f G
 """
 FILE_ENTRIES = f"SELECT path, project, len({_LINES})::INT AS lines, sha256(t) AS sha256 FROM ({_FILES})"
 MANIFEST_DIFF = f"""
-WITH f AS (SELECT doc_id, project, path, len({_LINES}) AS lines, sha256(t) AS sha256 FROM ({_FILES})),
-e AS (SELECT * FROM f WHERE doc_id % 7 <> 3),
-a AS (SELECT project, path, CASE WHEN doc_id % 17 = 0 THEN lines + 1 ELSE lines END AS lines, CASE WHEN doc_id % 13 = 0 THEN 'changed' ELSE sha256 END AS sha256 FROM f WHERE doc_id % 11 <> 5),
+WITH f AS (SELECT lang, project, path, len({_LINES}) AS lines, sha256(t) AS sha256 FROM ({_FILES}) JOIN documents USING (doc_id)),
+e AS (SELECT * FROM f WHERE lang IS DISTINCT FROM 'fr'),
+a AS (SELECT project, path, CASE WHEN project = 'src5' THEN lines + 1 ELSE lines END AS lines, CASE WHEN project = 'src3' THEN 'changed' ELSE sha256 END AS sha256 FROM f WHERE lang IS DISTINCT FROM 'es'),
 j AS (SELECT coalesce(e.project, a.project) AS project, coalesce(e.path, a.path) AS path, e.lines AS el, a.lines AS al,
         CASE WHEN a.path IS NULL THEN 'missing' WHEN e.path IS NULL THEN 'not in manifest' WHEN e.sha256 <> a.sha256 THEN 'content differs' WHEN e.lines <> a.lines THEN 'line count differs' END AS problem
       FROM e FULL JOIN a ON e.project = a.project AND e.path = a.path)
@@ -248,7 +248,7 @@ SELECT doc_id, CASE WHEN n > 0 THEN id || '#' || n ELSE id END AS chunk_id FROM
 
 # ---------------------------------------------------------------- retrieval
 
-BM25_TERMS = f"WITH {_LEXICAL} SELECT term, df::BIGINT AS df, round(idf, 6) AS idf FROM terms WHERE df >= 5"
+BM25_TERMS = f"WITH {_LEXICAL} SELECT term, df::BIGINT AS df, round(idf, 6) AS idf FROM terms"
 BM25_TOPK = f"WITH {_BM25} SELECT qid, idx, score, rank::INT AS rank FROM bm25 WHERE rank <= 10"
 BM25_FILLERS = f"""
 WITH {_LEXICAL}, rare AS (SELECT min(term) AS term FROM terms WHERE df <= 3 AND regexp_full_match(term, '[a-z]+')),

@@ -21,7 +21,7 @@ from ..operators import chunking as ch
 from ..operators import evaluation as ev
 from ..operators import labels as lb
 from ..operators import retrieval as rt
-from ..session import spread
+from ..session import spread, stored
 from ..sources import corpus, manifest
 from . import oracle as sql
 
@@ -62,11 +62,12 @@ def _questions(spark, sf_dir):
 def _qrels(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     held = lb.containment(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), _table(spark, sf_dir, "benchmark"))
-    return held.join(corpus.documents_as_files(docs).select("doc_id", "path"), "doc_id").select(F.col("item_id").alias("qid"), "path")
+    paths = corpus.documents_as_files(docs).select("doc_id", "path")
+    return stored(held.join(paths, "doc_id").select(F.col("item_id").alias("qid"), "path"), "qrels")
 
 
 def _bm25(spark, sf_dir, k):
-    index = rt.Lexical.build(_chunks(spark, sf_dir), stem=False).persist()
+    index = rt.Lexical.build(_chunks(spark, sf_dir), stem=False).stored()
     return rt.bm25_rank(index, _questions(spark, sf_dir), k, stem=False, digits=6)
 
 
@@ -78,8 +79,8 @@ def _dense(spark, sf_dir, k):
 def _lists(spark, sf_dir):
     """(key, qid, path, rank): the first ten of every strategy that needs no model."""
     paths = _chunks(spark, sf_dir).select("idx", "path")
-    bm25, dense = _bm25(spark, sf_dir, rt.FUSION_DEPTH).persist(), _dense(spark, sf_dir, rt.FUSION_DEPTH).persist()
-    fused = rt.fuse([bm25, dense], rt.CAP_DEPTH).join(paths, "idx").persist()
+    bm25, dense = _bm25(spark, sf_dir, rt.FUSION_DEPTH), stored(_dense(spark, sf_dir, rt.FUSION_DEPTH), "dense")
+    fused = stored(rt.fuse([bm25, dense], rt.CAP_DEPTH).join(paths, "idx"), "fused")
     capped = rt.cap(fused.withColumn("project", corpus.project_of(F.col("path"))), path="project", k=ev.DEPTH)
     named = {"bm25": bm25.join(paths, "idx"), "dense": dense.join(paths, "idx"), "hybrid": fused, "hybrid+cap": capped}
     out = None
@@ -90,7 +91,7 @@ def _lists(spark, sf_dir):
 
 
 def _metrics(spark, sf_dir):
-    return ev.question_metrics(_lists(spark, sf_dir), _qrels(spark, sf_dir), _questions(spark, sf_dir), ("key",))
+    return ev.question_metrics(stored(_lists(spark, sf_dir), "lists"), _qrels(spark, sf_dir), _questions(spark, sf_dir), ("key",))
 
 
 def _six(df: DataFrame, *skip: str) -> DataFrame:
@@ -239,7 +240,7 @@ def bm25_topk(spark, sf_dir):
 @query(sql.BM25_FILLERS)
 def bm25_fillers(spark, sf_dir):
     """A question of one rare word: chunks without it fill the list up, by position."""
-    index = rt.Lexical.build(_chunks(spark, sf_dir), stem=False)
+    index = rt.Lexical.build(_chunks(spark, sf_dir), stem=False).stored()
     rare = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df <= 3 AND term RLIKE '^[a-z]+$'").agg(F.min("term").alias("q")).withColumn("qid", F.lit(0).cast("long"))
     return rt.bm25_rank(index, rare, 10, stem=False, digits=6).select("idx", "rank")
 
@@ -285,12 +286,12 @@ def rerank_overlap(spark, sf_dir):
 def search_strategies(spark, sf_dir):
     """All six strategies, stemmed, with the offline providers."""
     chunks = _chunks(spark, sf_dir)
-    index = rt.Index(chunks, rt.Lexical.build(chunks).persist(), pv.embed(chunks, pv.HashingEmbedder(), "text", "idx").persist(), pv.OverlapReranker())
+    index = rt.Index(chunks, rt.Lexical.build(chunks).stored(), stored(pv.embed(chunks, pv.HashingEmbedder(), "text", "idx"), "vectors"), pv.OverlapReranker())
     questions = _questions(spark, sf_dir)
-    asked = questions.join(pv.embed(questions, pv.HashingEmbedder(), "q", "qid"), "qid").persist()
+    asked = stored(questions.join(pv.embed(questions, pv.HashingEmbedder(), "q", "qid"), "qid"), "asked")
     out = None
     for s in rt.STRATEGIES:
-        one = index.search(asked, s).select(F.lit(s).alias("strategy"), "qid", "idx", "rank")
+        one = stored(index.search(asked, s).select(F.lit(s).alias("strategy"), "qid", "idx", "rank"), "found")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -301,7 +302,7 @@ def search_strategies(spark, sf_dir):
 @query(sql.BM25_QUALITY)
 def bm25_quality(spark, sf_dir):
     """Mean metrics of BM25 over the labelled questions."""
-    rels = _qrels(spark, sf_dir).persist()
+    rels = _qrels(spark, sf_dir)
     ranked = _bm25(spark, sf_dir, ev.DEPTH).join(_chunks(spark, sf_dir).select("idx", "path"), "idx")
     rows = ev.question_metrics(ranked, rels, rels.select("qid").distinct())
     return _six(rows.agg(F.count(F.lit(1)).alias("n"), *(F.avg(f"`{m}`").alias(m.replace("@", "_at_")) for m in ("hit_rate@1", "hit_rate@5", "recall@5", "mrr", "ndcg@10"))))
@@ -323,7 +324,7 @@ def strategy_leaderboard(spark, sf_dir):
 
 def _long(spark, sf_dir):
     rows = ev.long_form(_metrics(spark, sf_dir), ("key",))
-    return rows.withColumn("ord", F.col("qid")).persist()
+    return stored(rows.withColumn("ord", F.col("qid")), "values")
 
 
 def _pairs(spark):
@@ -362,12 +363,12 @@ def cap_selection(spark, sf_dir):
     questions = _questions(spark, sf_dir)
     halves = questions.select("qid", F.when(F.col("qid") % 2 == 0, "dev").otherwise("test").alias("half"))
     paths = _chunks(spark, sf_dir).select("idx", "path", F.col("name").alias("project"))
-    fused = rt.fuse([_bm25(spark, sf_dir, 60), _dense(spark, sf_dir, 60)], rt.CAP_DEPTH).join(paths, "idx").persist()
-    lists = None
+    fused = rt.fuse([_bm25(spark, sf_dir, 60), _dense(spark, sf_dir, 60)], rt.CAP_DEPTH).join(paths, "idx")
+    fused, lists = stored(fused, "fused"), None
     for c in ev.CAPS:
         one = (fused if c is None else rt.cap(fused, path="project", per_file=c)).where(F.col("rank") <= ev.DEPTH).select(F.lit(c or 0).alias("cap"), "qid", "path", "rank")
         lists = one if lists is None else lists.unionByName(one)
-    metrics = ev.question_metrics(lists, _qrels(spark, sf_dir), questions, ("cap",)).withColumn("per_file", F.when(F.col("cap") > 0, F.col("cap")))
+    metrics = ev.question_metrics(stored(lists, "lists"), _qrels(spark, sf_dir), questions, ("cap",)).withColumn("per_file", F.when(F.col("cap") > 0, F.col("cap")))
     rows = ev.choose_cap(metrics, halves)
     return _six(rows.select("per_file", "half", "mrr", F.col("`hit_rate@5`").alias("hit_rate_at_5"), F.col("`recall@5`").alias("recall_at_5"), "chosen"))
 
@@ -375,7 +376,7 @@ def cap_selection(spark, sf_dir):
 @query(sql.FAILURE_SHARES)
 def failure_shares(spark, sf_dir):
     """Shares of the first five results from documentation and from other projects, on hits and misses."""
-    shares = ev.failure_shares(_lists(spark, sf_dir), _qrels(spark, sf_dir), _questions(spark, sf_dir))
+    shares = ev.failure_shares(stored(_lists(spark, sf_dir), "lists"), _qrels(spark, sf_dir), _questions(spark, sf_dir))
     return _six(ev.failure_summary(shares))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text as tx
+from ..session import stored
 
 # What is indexed, what is skipped, and the first part of every logical path.
 TEXT_SUFFIXES = (".md", ".txt", ".yml", ".yaml", ".sql", ".dax")
@@ -68,7 +69,7 @@ def with_index(df: DataFrame, *order: str) -> DataFrame:
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__range", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
     ranged = ranged.withColumn("__at", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
-    ranged = ranged.persist()
+    ranged = stored(ranged, "ranges")
     sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))
     start = sizes.select("__range", (F.sum("n").over(Window.orderBy("__range")) - F.col("n")).alias("__start"))
     return ranged.join(F.broadcast(start), "__range").withColumn("idx", F.col("__start") + F.col("__at")).drop("__range", "__at", "__start")

@@ -56,7 +56,7 @@ def bm25(texts, query):
 @pytest.fixture(scope="module")
 def index(spark):
     chunks = spark.createDataFrame([(i, f"corpus/p/{i % 3}.py", f"n{i}", t) for i, t in enumerate(TEXTS)], "idx bigint, path string, name string, text string")
-    return rt.Index(chunks, rt.Lexical.build(chunks).persist(), pv.embed(chunks, pv.HashingEmbedder(), "text", "idx").persist(), pv.OverlapReranker())
+    return rt.Index(chunks, rt.Lexical.build(chunks).stored(), pv.embed(chunks, pv.HashingEmbedder(), "text", "idx").persist(), pv.OverlapReranker())
 
 
 def asked(spark, *queries):

@@ -3,8 +3,12 @@
 In a pass, vectors are ordered within their label by 64 concatenated random
 hashes (signs of projections), so that near vectors stand near each other, and
 each is compared with its neighbours in a window of that order. Pairs that are
-verified in any pass are united. The number of passes follows from the rows, the
-window and the recall wanted for a pair right at the threshold.
+verified in any pass are united. Each row has its own number of passes. A few
+passes show how many first bits of its signature must agree before no more rows
+than its window share them; from these and the widest angle at which its cell
+may link follows how often a pair is missed in a pass, however vectors cluster.
+A row for which comparing it with all of its label costs less than its passes
+(all rows of small labels, rows of dense topics) is compared with all of them.
 
 Dense groups would link in numbers that grow with the square of their size, so
 before the passes vectors are gathered in cells: a few passes of the same order
@@ -13,8 +17,8 @@ half the threshold's angle of its leader. All members of a cell are then
 linked, by the triangle inequality for angles, and are counted, not listed. The
 passes run over leaders. Where two leaders are so near that all their members
 must link, sizes are added; where only some may, the members are compared block
-by block and counted. Windows are bounded but go on, tile by tile, as long as
-the last tile still held a link, so no number of partners is too many.
+by block and counted. Windows go on, tile by tile, as long as the last tile still
+held a link and the task lasts; the number of passes doesn't count on that.
 """
 
 from __future__ import annotations
@@ -25,18 +29,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, stored
 
 THRESHOLD = 0.93
-#: Rows in a tile (a window is the tile and those beside it), and the chance to find a pair at the threshold that sets the number of passes.
+#: Rows in a tile (a window is the tile and those beside it), and the chance to find a pair at the widest angle that sets the number of passes.
 TILE, RECALL = 64, 0.9999
 #: Passes that gather cells, and the leaders a row is compared with there.
 ROUNDS, RECENT = 3, 48
 #: Rows of a task of a pass; members of a cell in a block.
 TASK_ROWS, BLOCK = 20_000, 1024
+#: Passes that show the crowding, comparisons that cost as much as a row in a pass, and leaders in a block of those compared with all.
+PROBES, WORTH, SPAN = 8, 1024, 4096
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -52,11 +58,10 @@ def _runs(keys: list) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:]))
 
 
-def _signatures(passes: list[int], seed: int):
-    """Each row once for each pass, with the 64 signs of that pass as one sortable number."""
+def _signatures(passes: list[int] | None, seed: int, bare: bool = False):
+    """Each row once for each of ``passes`` (None: all) below its ``upto``, with the 64 signs of that pass as one sortable number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -64,21 +69,44 @@ def _signatures(passes: list[int], seed: int):
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
                 x = _matrix(part.column(part.schema.get_field_index("vec")))
-                for p in passes:
-                    if (p, dim) not in planes:
-                        planes[p, dim] = np.random.default_rng((seed, p, dim)).standard_normal((dim, 64))
-                    bits = np.packbits(x @ planes[p, dim] > 0, axis=1).view(">u8").ravel().astype(np.uint64)
+                upto = part.column(part.schema.get_field_index("upto")).to_numpy()
+                part = part.drop_columns(["upto", "vec"] if bare else ["upto"])
+                for p in range(int(upto.max())) if passes is None else passes:
+                    own = np.flatnonzero(upto > p)
+                    if not len(own):
+                        continue
+                    planes = np.random.default_rng((seed, p, dim)).standard_normal((dim, 64))
+                    bits = np.packbits(x[own] @ planes > 0, axis=1).view(">u8").ravel().astype(np.uint64)
                     sig = (bits ^ np.uint64(1 << 63)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), p), pa.int32()), pa.array(sig), *part.columns], names=["pass", "sig", *part.schema.names])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), p), pa.int32()), pa.array(sig), *part.take(pa.array(own)).columns], names=["pass", "sig", *part.schema.names])
 
     return run
 
 
-def _ordered(leaders: DataFrame, passes: list[int], seed: int, rows: int) -> DataFrame:
-    """Leaders (lead, grp, dim, r, vec) once for each pass, each task a range of the passes' orders."""
+def _ordered(leaders: DataFrame, passes: list[int] | None, seed: int, rows: int) -> DataFrame:
+    """Leaders (lead, grp, dim, r, vec, upto) once for each pass, ``rows`` in all, each task a range of the passes' orders."""
     vec = leaders.schema["vec"].dataType.simpleString()
-    signed = leaders.select("lead", "grp", "dim", "r", "vec").mapInArrow(_signatures(passes, seed), f"pass int, sig long, lead long, grp string, dim int, r double, vec {vec}")
-    return signed.repartitionByRange(max(1, rows * len(passes) // TASK_ROWS), "pass", "grp", "sig", "lead").sortWithinPartitions("pass", "grp", "sig", "lead").select("pass", "grp", "lead", "r", "vec")
+    signed = leaders.select("lead", "grp", "dim", "r", "vec", "upto").mapInArrow(_signatures(passes, seed), f"pass int, sig long, lead long, grp string, dim int, r double, vec {vec}")
+    return signed.repartitionByRange(max(1, rows // TASK_ROWS), "pass", "grp", "sig", "lead").sortWithinPartitions("pass", "grp", "sig", "lead").select("pass", "grp", "lead", "r", "vec")
+
+
+def passes_needed(leaders: DataFrame, threshold: float, window: int, recall: float, seed: int) -> DataFrame:
+    """(lead, upto): passes after which a leader met each that its cell may link with, with a chance of ``recall``.
+
+    A row's window holds all rows that share its first d bits, d being one more
+    than it shares with the nearer of the rows ``window`` before and after it.
+    """
+    probed = leaders.withColumn("upto", F.lit(PROBES)).select("lead", "grp", "dim", "angle", "vec", "upto")
+    rows = probed.mapInArrow(_signatures(list(range(PROBES)), seed, bare=True), "pass int, sig long, lead long, grp string, dim int, angle double")
+    order = Window.partitionBy("pass", "grp").orderBy("sig", "lead")
+
+    def depth(other):
+        apart = F.col("sig").bitwiseXOR(other)
+        return F.when(other.isNull(), 0).when(apart == 0, 64).otherwise(65 - F.length(F.bin(apart)))
+
+    depths = rows.withColumn("before", F.lag("sig", window).over(order)).withColumn("after", F.lead("sig", window).over(order)).withColumn("d", F.greatest(depth(F.col("before")), depth(F.col("after"))))
+    missed = F.log(F.greatest(1 - F.pow(1 - F.col("angle") / math.pi, F.col("d")), F.lit(1e-12)))
+    return depths.groupBy("lead").agg(F.greatest(F.lit(1), F.ceil(F.least(F.lit(1e9), PROBES * math.log(1 - recall) / F.least(F.sum(missed), F.lit(-1e-9))))).cast("int").alias("upto"))
 
 
 def _gather(limit: float):
@@ -214,14 +242,50 @@ def _blocks(threshold: float):
     return run
 
 
-def passes_for(rows: int, threshold: float, window: int, recall: float) -> int:
-    """Passes after which a pair right at the threshold was in one window with a chance of ``recall``, among ``rows`` of its label."""
-    bits = max(0.0, math.log2(max(1, rows) / window))
-    once = (1 - math.acos(threshold) / math.pi) ** bits
-    return 1 if once >= recall else math.ceil(math.log(1 - recall) / math.log(1 - once))
+def _all_pairs(threshold: float):
+    """Leader pairs whose members may link, of two blocks (or of one, if ba = bb); rows come sorted by grp, ba, bb and side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            x, ids, r = _matrix(rows.column(6).combine_chunks()), rows.column(4).to_numpy(), rows.column(5).to_numpy()
+            n = int((~rows.column(3).to_numpy(zero_copy_only=False).astype(bool)).sum())
+            one = at[1] == at[2]
+            for lo in range(0, n, BLOCK):
+                here, there = slice(lo, min(lo + BLOCK, n)), slice(lo if one else n, len(ids))
+                hit, c = _near(x, r, threshold, here, there)
+                i, j = np.nonzero(np.triu(hit, 1) if one else hit)
+                a, b, ra, rb = ids[here][i], ids[there][j], r[here][i], r[there][j]
+                swap = a > b
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, (np.where(swap, b, a), np.where(swap, a, b), c[i, j], np.where(swap, rb, ra), np.where(swap, ra, rb)))), names=["a", "b", "c", "ra", "rb"])
+
+        held: list[pa.RecordBatch] = []
+        at = None
+        for batch in batches:
+            keys = list(zip(*(c.to_pylist() for c in batch.columns[:3])))
+            for lo, hi in _runs(keys):
+                if keys[lo] != at and held:
+                    yield from done()
+                    held = []
+                at = keys[lo]
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from done()
+
+    return run
+
+
+def _with_all(leaders: DataFrame, threshold: float, span: int) -> DataFrame:
+    """Leader pairs, at least one of them ``crowded``, whose members may link: blocks of crowded leaders meet all blocks of their group."""
+    many = leaders.groupBy("grp").agg(F.count_if("crowded").alias("nc"), F.count_if(~F.col("crowded")).alias("no")).where("nc > 0")
+    many = many.select("grp", F.ceil(F.col("nc") / span).cast("int").alias("bc"), F.ceil(F.col("no") / span).cast("int").alias("bo"))
+    own = F.when(F.col("crowded"), F.pmod(F.xxhash64("lead"), F.col("bc"))).otherwise(F.col("bc") + F.pmod(F.xxhash64("lead"), F.greatest("bo", F.lit(1)))).cast("int")
+    last = F.when(F.col("crowded"), F.col("bc") + F.col("bo")).otherwise(F.col("bc")) - 1
+    dealt = leaders.join(many, "grp").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last))).select("grp", F.least("own", "other").alias("ba"), F.greatest("own", "other").alias("bb"), (F.col("own") > F.col("other")).alias("side"), "lead", "r", "vec")
+    return dealt.repartition("grp", "ba", "bb").sortWithinPartitions("grp", "ba", "bb", "side").mapInArrow(_all_pairs(threshold), "a long, b long, c double, ra double, rb double")
 
 
-def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = "label", threshold: float = THRESHOLD, tile: int = TILE, recall: float = RECALL, rounds: int = ROUNDS, seed: int = 11) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = "label", threshold: float = THRESHOLD, tile: int = TILE, recall: float = RECALL, rounds: int = ROUNDS, seed: int = 11, worth: int = WORTH, span: int = SPAN) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
     Vectors are compared in double precision where their labels are equal and
@@ -244,7 +308,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     members = classes.select("cls", F.col("cls").alias("lead"))
     n = classes.count()
     for k in range(rounds):
-        joined = stored(_ordered(leaders, [k], seed + 1, n).mapInArrow(_gather(limit), "lead long, into long, reach double").dropDuplicates(["lead"]), "vec-joined")
+        joined = stored(_ordered(leaders.withColumn("upto", F.lit(k + 1)), [k], seed + 1, n).mapInArrow(_gather(limit), "lead long, into long, reach double").dropDuplicates(["lead"]), "vec-joined")
         reach = joined.groupBy(F.col("into").alias("lead")).agg(F.max("reach").alias("reach"))
         leaders = stored(leaders.join(joined, "lead", "left_anti").join(reach, "lead", "left").select("lead", "grp", "dim", F.greatest("r", F.coalesce("reach", F.lit(0.0))).alias("r"), "vec"), "vec-leaders")
         members = members.join(joined.select("lead", "into"), "lead", "left").select("cls", F.coalesce("into", "lead").alias("lead"))
@@ -252,13 +316,18 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     cells = stored(members.groupBy("lead").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("rows"), F.min("cls").alias("least")), "vec-cells")
 
     # passes over leaders
-    most = leaders.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    passes = list(range(passes_for(most, threshold, tile, recall)))
+    group = leaders.groupBy("grp").agg(F.count(F.lit(1)).alias("all"), F.max("r").alias("most"))
+    leaders = leaders.join(group, "grp").withColumn("angle", F.least(math.acos(threshold) + F.col("r") + F.col("most"), F.lit(math.pi)))
+    needed = passes_needed(leaders.where(F.col("all") > worth + 3 * tile), threshold, tile, recall, seed)
+    leaders = leaders.join(needed, "lead", "left").withColumn("upto", F.coalesce("upto", F.lit(1))).withColumn("crowded", F.col("upto").cast("long") * (worth + 3 * tile) >= F.col("all"))
+    leaders = stored(leaders.select("lead", "grp", "dim", "r", "vec", "upto", "crowded"), "vec-passes")
+    spread = leaders.where("not crowded")
+    copies = spread.agg(F.sum(F.col("upto").cast("long"))).first()[0] or 0
     vec = classes.schema["vec"].dataType.simpleString()
     pair = "a long, b long, c double, ra double, rb double"
-    found = stored(_ordered(leaders, passes, seed, n).mapInArrow(_windows(threshold, tile), f"{pair}, edge int, pass int, grp string, vec {vec}"), "vec-windows")
+    found = stored(_ordered(spread, None, seed, copies).mapInArrow(_windows(threshold, tile), f"{pair}, edge int, pass int, grp string, vec {vec}"), "vec-windows")
     edges = found.where("edge is not null").select("edge", "pass", "grp", "a", "c", "ra", "vec").repartition("edge", "pass", "grp").sortWithinPartitions("edge", "pass", "grp")
-    pairs = found.where("edge is null").select("a", "b", "c", "ra", "rb").union(edges.mapInArrow(_across(threshold), pair))
+    pairs = found.where("edge is null").select("a", "b", "c", "ra", "rb").union(edges.mapInArrow(_across(threshold), pair)).union(_with_all(leaders, threshold, span))
     pairs = stored(pairs.groupBy("a", "b").agg(F.max("c").alias("c"), F.max("ra").alias("ra"), F.max("rb").alias("rb")), "vec-pairs")
     single = (F.col("ra") == 0) & (F.col("rb") == 0)
     sure = single | (F.acos(F.least(F.col("c"), F.lit(1.0))) + F.col("ra") + F.col("rb") <= math.acos(threshold) - 1e-9)

@@ -206,3 +206,18 @@ def test_embeddings_against_a_loop(spark):
         got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_dedup(df, **options).collect()), key=repr)
         assert got == brute_vectors(rows), options
     assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
+
+
+def test_embeddings_of_a_dense_topic(spark, monkeypatch):
+    """A topic whose vectors part slowly by signs, beside spread ones; some pairs are near the threshold."""
+    rng = np.random.default_rng(3)
+    topic = rng.standard_normal(64) + 0.5 * rng.standard_normal((6000, 64))
+    x = np.concatenate((topic, rng.standard_normal((4000, 64))))
+    x = np.concatenate((x, topic[:1500] + np.where(np.arange(1500) % 3 == 0, 0.3, 0.4)[:, None] * rng.standard_normal((1500, 64)))).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = np.concatenate([(u[lo : lo + 1000] @ u.T >= 0.93).sum(axis=1) - 1 for lo in range(0, len(u), 1000)])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>, label int").repartition(4)
+    monkeypatch.setattr(embedding_dedup, "TASK_ROWS", 3_000)
+    for options in ({}, {"worth": -190, "span": 700}):  # mostly all with all; passes for all that part
+        got = dict(map(tuple, embedding_dedup.embedding_dedup(df, **options).select("vec_id", "n_links").collect()))
+        assert [got[i] for i in range(len(x))] == want.tolist(), options

@@ -20,19 +20,28 @@ def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
 
 
-def _one_each(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ids are kept, one for each id."""
-    return docs.join(decided.where("kept").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+def _one_each(docs: DataFrame, grouped) -> DataFrame:
+    """One row of ``docs`` for each group of ``grouped(rows, id_col)``, which gives a row key and its group.
+
+    That with the smallest id stays, null ids last; of rows with one id and one
+    group any. Rows are told apart by keys of their own, so rows that share an
+    id, or have none, each count by their text. ``docs`` must read in the same
+    order each time, as written tables do.
+    """
+    keyed = docs.withColumn("__row", F.monotonically_increasing_id())
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    kept = keyed.select("doc_id", "__row").join(grouped(keyed, "__row").toDF("__key", "__group"), F.col("__row") == F.col("__key")).groupBy("__group").agg(F.min(place)["__row"].alias("__kept"))
+    return keyed.join(kept, F.col("__row") == F.col("__kept"), "left_semi").select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return _one_each(docs, exact_dedup.exact_dedup(docs))
+    """One document of each group of equal texts, by row: null and shared ids lose no text."""
+    return _one_each(docs, lambda rows, key: exact_dedup.exact_dedup(rows, id_col=key).select("doc_id", "keep_id"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked SimHash fingerprints."""
-    return _one_each(docs, simhash.simhash_dedup(docs))
+    """One document of each group of linked SimHash fingerprints, by row: null and shared ids lose no group."""
+    return _one_each(docs, lambda rows, key: simhash.simhash_dedup(rows, id_col=key).select("doc_id", "component_id"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -263,3 +263,16 @@ def test_pipeline_against_plain_python(spark, sf_dir):
     want = sorted((r["doc_id"], *b.digest(b.encode(r["text"]))) for r in mix)
     assert sorted(map(tuple, coded)) == want
     assert sum(1 for _ in itertools.islice(coded, 1)) == 1
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    rows = [(5, "a b c d"), (3, "a  b c d"), (3, "e f g h"), (3, "e f g h"), (3, "i j k l"), (None, "m n o p"), (None, "m n o p"), (None, "i j k l"), (None, "q r s t"), (7, "u v w x"), (7, "a b c d")]
+    docs = common.stored(spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id bigint, text string, n_chars int").repartition(3), "test-ids")
+    want = sorted([(3, "a  b c d"), (3, "e f g h"), (3, "i j k l"), (None, "m n o p"), (None, "q r s t"), (7, "u v w x")], key=repr)
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies):
+        got = stage(spark, docs, "")
+        if stage is corpus_pipeline.drop_near_copies:  # white space isn't part of a shingle, so the groups are the same
+            prints = {brute_print(t) for _, t in rows}
+            assert len(prints) == 6 and len(set(brute_components(list(range(6)), list(prints)).values())) == 6
+        assert got.columns == docs.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == want

@@ -177,11 +177,21 @@ def _document_chunks(spark, sf_dir, chunking, suffix, budget=60):
     return ch.build_chunks(files, chunking, budget=budget)
 
 
+def _windows_of(rows):
+    return rows.groupBy("path").agg(F.count(F.lit(1)).alias("n_windows"), F.min("start_line").alias("first"), F.max("end_line").alias("last"))
+
+
 @query(sql.WINDOW_CHUNKS)
 def window_chunks(spark, sf_dir):
-    """Windows of the documents' lines: their bounds and tokens."""
+    """Windows of whole lines, their number and bounds; as in the SQL, without the pieces of lines beyond the budget (``window_chunks_whole`` has them)."""
     rows = _document_chunks(spark, sf_dir, "window", "", 254)
-    return rows.where(~F.col("name").contains("(")).groupBy("path").agg(F.count(F.lit(1)).alias("n_windows"), F.min("start_line").alias("first"), F.max("end_line").alias("last"))
+    return _windows_of(rows.where(~F.col("name").contains("(")))
+
+
+@query()
+def window_chunks_whole(spark, sf_dir):
+    """All windows of the documents, pieces of lines beyond the budget among them: their number and bounds."""
+    return _windows_of(_document_chunks(spark, sf_dir, "window", "", 254))
 
 
 @query()

@@ -223,6 +223,12 @@ def chunk_size_summary(spark, sf_dir):
     return ch.size_summary(lines, "project")
 
 
+@query()
+def window_size_summary(spark, sf_dir):
+    """Sizes of the documents' windows, by project."""
+    return ch.size_summary(stored(_document_chunks(spark, sf_dir, "window", "", 254).select("project", "path", "start_line", "end_line"), "windows"), "project")
+
+
 @query(sql.CHUNK_IDS)
 def chunk_id_dedupe(spark, sf_dir):
     """Ids of documents by project and language, repeats numbered."""

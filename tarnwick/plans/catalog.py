@@ -360,11 +360,21 @@ def sign_test(spark, sf_dir):
     return n.select("better", "worse", F.round(st.sign_test_column(F.col("better"), F.col("worse")), 9).alias("p"))
 
 
+def _bootstrap(spark, sf_dir, resamples):
+    values = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").select("lang", F.col("doc_id").alias("ord"), F.col("quality").cast("double").alias("value"))
+    return _six(ev.bootstrap_hash(values, ("lang",), resamples=resamples))
+
+
 @query(sql.BOOTSTRAP_HASH)
 def bootstrap_hash(spark, sf_dir):
-    """Bootstrap intervals with draws that any engine can repeat, of document lengths by language."""
-    values = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").select("lang", F.col("doc_id").alias("ord"), F.col("quality").cast("double").alias("value"))
-    return _six(ev.bootstrap_hash(values, ("lang",), resamples=200))
+    """Bootstrap intervals with draws that any engine can repeat, of quality labels by language; 200 resamples, as in the SQL."""
+    return _bootstrap(spark, sf_dir, 200)
+
+
+@query()
+def bootstrap_hash_whole(spark, sf_dir):
+    """The same with the 10,000 resamples of the published intervals."""
+    return _bootstrap(spark, sf_dir, 10_000)
 
 
 @query()

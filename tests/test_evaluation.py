@@ -106,3 +106,22 @@ def test_kappa(spark):
     r = ev.kappa(df, "a", "b").first()
     assert (r["n"], r["agreement"], r["expected"], r["kappa"]) == (4, 0.75, 0.5, 0.5)
     assert ev.kappa(df.where("a = 1 and b = 1"), "a", "b").first()["kappa"] is None
+
+
+def test_bootstrap_hash_with_all_resamples(spark, sf_dir):
+    """10,000 resamples against numpy."""
+    import numpy as np
+
+    from tarnwick.plans import catalog
+
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang").collect()}
+    groups = {}
+    for r in sorted(spark.read.parquet(f"{sf_dir}/labels.parquet").collect(), key=lambda r: r["doc_id"]):
+        if r["doc_id"] in lang:
+            groups.setdefault(lang[r["doc_id"]], []).append(float(r["quality"]))
+    got = {r["lang"]: (r["value"], r["low"], r["high"]) for r in catalog.bootstrap_hash_whole(spark, sf_dir).collect()}
+    assert set(got) == set(groups)
+    for k, v in groups.items():
+        b, j = np.arange(10_000)[:, None], np.arange(len(v))[None, :]
+        means = np.array(v)[(b * 7919 + j * 104_729 + b * j * 31) % 1_000_003 % len(v)].mean(axis=1)
+        assert np.allclose(got[k], (np.mean(v), *np.quantile(means, [0.025, 0.975])), atol=2e-6)

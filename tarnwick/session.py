@@ -33,9 +33,12 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where it is unset (tests), a local one is made and set."""
+    """The folder in ``spark.checkpoint.dir``; only where it is unset and the master is local (tests), a local one is made and set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder under the master {master}")
         found = f"file://{tempfile.mkdtemp(prefix='tarnwick-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:

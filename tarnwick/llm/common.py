@@ -16,34 +16,48 @@ def small_enough(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+#: Nodes that a star step takes by broadcast at most: those with more than one in so many of all edges.
+HOT_NODES = 2000
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable from each node that has an edge.
 
     ``edges`` has two long columns, ``a`` and ``b``. Large-star and small-star
-    steps alternate until no edge changes; each round's edges are written to
-    the shared folder. Only a count and a checksum reach the driver. An empty
-    ``edges`` gives no rows.
+    steps alternate until no edge changes; each step's edges are written to
+    the shared folder. Only a count and a checksum reach the driver. A node
+    with more than one in ``HOT_NODES`` of a step's edges takes its least
+    neighbour from a broadcast row, of which there can't be more than
+    ``HOT_NODES``, so no task gets all edges of a hot node. An empty ``edges``
+    gives no rows.
     """
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum((F.xxhash64("a", "b") / 1024).cast("decimal(20,0)"))).first())
 
-    def large(e: DataFrame) -> DataFrame:
+    def with_least(e: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+        """Edges (u, v) with the least ``m`` of all v of u, and (u, m)."""
+        least = e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        hot = F.broadcast(least.where(F.col("n") > total // HOT_NODES).select("u", "m"))
+        rest = least.where(F.col("n") <= total // HOT_NODES).select("u", "m")
+        return e.join(hot, "u").unionByName(e.join(hot, "u", "left_anti").join(rest, "u")), least
+
+    def large(e: DataFrame, n: int) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        return both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        linked, _ = with_least(both, 2 * n)
+        return linked.where("v > u").select(F.col("v").alias("a"), F.least("m", "u").alias("b"))
 
-    def small(e: DataFrame) -> DataFrame:
+    def small(e: DataFrame, n: int) -> DataFrame:
         down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        linked = down.join(least, "u")
+        linked, least = with_least(down, n)
         out = linked.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         return out.where("a <> b").distinct()
 
     now = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
     seen = state(now)
     for _ in range(rounds if seen[0] else 0):
-        now = stored(small(large(now)), "edges")
+        # a large star has as many edges as there were, each once
+        now = stored(small(stored(large(now, seen[0]), "stars"), seen[0]), "edges")
         last, seen = seen, state(now)
         if last == seen:
             break

@@ -1,23 +1,27 @@
 """SimHash near-dedup: 64-bit fingerprints, linked at few differing bits by pivot distance tables.
 
 Equal fingerprints become one row first, so copies cost nothing later. The
-distinct fingerprints are dealt by the pigeonhole rule: of k bands, k-3 are
-equal for any two fingerprints at 3 differing bits or fewer, so each choice of
-k-3 bands is a table, and its rows with equal bands form a group. k grows with
-the number of fingerprints so that a group stays small; a group that is large
-all the same is cut into tiles, and each pair of tiles is a group. Within a
-group the table of Hamming distances to the reference fingerprints (pivots)
-decides: by the triangle inequality two fingerprints whose distances to some
-pivot differ by more than 3 are further apart than 3 bits. The group is sorted
-by the first pivot's distance, so that coordinate bounds each row's window; the
-other coordinates discard almost all of the window, and what is left is
-verified by popcount. A group hands on a spanning forest of its links, never
-all of them.
+pivots are reference fingerprints taken from the data, far from each other. The
+table holds each fingerprint's Hamming distances to them, split into the parts
+of the 64 bits that they come from. Of two parts, two fingerprints at 3
+differing bits or fewer differ by one bit at most in one, so there each of
+their distances to the pivots differs by one at most. Rows are dealt by cells
+of equal distances to all pivots over one part, widened by one: every row goes
+to its own cell, and rows of odd parity also to the cells that one bit leads
+to. So each pair meets in a cell, and only pairs that the pivots put there do.
+A cell that holds too many rows is dealt again in the same way over the bits
+that it leaves open, until few bits are left.
+
+Within a cell the whole distances decide: by the triangle inequality two
+fingerprints whose distances to some pivot differ by more than 3 are further
+apart than 3 bits. Rows are sorted by the first pivot's distance, so that
+coordinate bounds each row's window; the other coordinates discard almost all
+of the window, and what is left is verified by popcount. A cell hands on a
+spanning forest of its links, never all of them.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +33,12 @@ from pyspark.sql import functions as F
 from .common import components, small_enough, stored
 
 SEED, SHINGLE, BITS = 42, 3, 3
-#: Rows of a group before it is cut into tiles; rows a worker compares at a time.
+#: Rows of a cell before it is dealt again; rows a worker compares at a time.
 TILE, STEP = 1024, 100_000
-#: Reference fingerprints.
-PIVOTS = 16
+#: Reference fingerprints, and the fingerprints they are chosen from.
+PIVOTS, REFERENCES = 16, 256
+#: Open bits below which a cell isn't dealt again: no more than 2**OPEN fingerprints share the others.
+OPEN = 8
 _HOT_LIMIT = 100_000
 
 
@@ -74,7 +80,7 @@ def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def linked(group: np.ndarray, fp: np.ndarray, pivots: np.ndarray, bits: int) -> np.ndarray:
-    """For each row the first row of its set; rows are sorted by group and distance to the first pivot."""
+    """For each row the first row of its set; rows are sorted by cell and distance to the first pivot."""
     table = np.array([np.bitwise_count(fp ^ p) for p in pivots], np.int8)
     label, rows, offset, held, size = np.arange(len(fp)), np.arange(len(fp)), 0, [], 0
     while rows.size:
@@ -98,7 +104,7 @@ def linked(group: np.ndarray, fp: np.ndarray, pivots: np.ndarray, bits: int) ->
 
 
 def _links(pivots: np.ndarray, bits: int):
-    """Reads (grp, rep, fp) sorted by group and first coordinate; yields a spanning forest of each group's links."""
+    """Reads (cell, rep, fp) sorted by cell and first coordinate; yields a spanning forest of each cell's links."""
 
     def forest(rows: pa.Table) -> pa.RecordBatch:
         group, rep, fp = (rows.column(k).to_numpy() for k in range(3))
@@ -123,35 +129,87 @@ def _links(pivots: np.ndarray, bits: int):
     return run
 
 
-def masks(n: int, bits: int = BITS) -> list[int]:
-    """Bit masks such that fingerprints within ``bits`` agree on one of them; more bits the more fingerprints there are."""
-    for k in range(bits + 1, bits + 5):
-        edges = [round(64 * i / k) for i in range(k + 1)]
-        bands = [((1 << (hi - lo)) - 1) << lo for lo, hi in itertools.pairwise(edges)]
-        out = [sum(c) for c in itertools.combinations(bands, k - bits)]
-        if n / 2 ** min(m.bit_count() for m in out) <= 32:
-            break
-    return out
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def simhash_links(prints: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
-    """Links (a, b) between the ``rep`` of distinct ``fp`` that differ in ``bits`` bits at most: a spanning forest per group."""
-    spark = prints.sparkSession
-    pivots = np.random.default_rng(7).integers(0, 1 << 64, PIVOTS, dtype=np.uint64)
-    tables = F.explode(F.array(*(F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("band")) for k, m in enumerate(masks(prints.count(), bits)))))
-    rows = prints.select("rep", "fp", tables.alias("k")).select("rep", "fp", "k.t", "k.band")
-    hot = stored(rows.groupBy("t", "band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile).withColumn("tiles", F.ceil(F.col("n") / tile).cast("int")).drop("n"), "simhash-hot")
-    rows = rows.join(F.broadcast(hot) if small_enough(hot, _HOT_LIMIT) else hot, ["t", "band"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    group = F.xxhash64("t", "band", F.least("own", "other"), F.greatest("own", "other"))
-    first = F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(pivots[:1].view(np.int64)[0]))))
-    dealt = rows.select(group.alias("grp"), "rep", "fp", first.alias("d")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "grp").sortWithinPartitions("grp", "d", "fp")
-    return dealt.select("grp", "rep", "fp").mapInArrow(_links(pivots, bits), "a long, b long")
+def _positions(path: int, parts: int) -> list[np.ndarray]:
+    """The parts of the bits that are open on a path: 1 is the start, a digit more for each part that has been dealt."""
+    digits = []
+    while path > 1:
+        path, d = divmod(path, parts)
+        digits.append(d)
+    cut = np.array_split(np.arange(64), parts)
+    for d in reversed(digits):
+        cut = np.array_split(np.concatenate([p for k, p in enumerate(cut) if k != d]), parts)
+    return cut
+
+
+def cells(fp: np.ndarray, mask: int, pivots: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """The cell of each fingerprint: its distances to the pivots over the bits of ``mask``, as one number with ``seed``."""
+    key = seed.copy()
+    for p in pivots:
+        key = (key ^ np.bitwise_count((fp ^ p) & np.uint64(mask)).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(32)
+    return key
+
+
+def _dealt(pivots: np.ndarray, bits: int):
+    """Reads (cell, path, rep, fp); yields each row in the cells of its open parts, widened by one."""
+    parts = bits // 2 + 1
+
+    def out(cell, path, rep, fp) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(np.full(len(cell), path, np.int32)), pa.array(rep), pa.array(fp.view(np.int64))], names=["cell", "path", "rep", "fp"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, path, rep, fp = (c.to_numpy() for c in batch.columns)
+            cell, fp = cell.view(np.uint64), fp.view(np.uint64)
+            for at in np.unique(path).tolist():
+                own = np.flatnonzero(path == at)
+                for k, positions in enumerate(_positions(at, parts)):
+                    mask, to = sum(1 << int(p) for p in positions), at * parts + k
+                    x, r, seed = fp[own], rep[own], cell[own] * np.uint64(31) + np.uint64(to)
+                    yield out(cells(x, mask, pivots, seed), to, r, x)
+                    odd = np.flatnonzero(np.bitwise_count(x & np.uint64(mask)) & 1)
+                    x, r, seed = x[odd], r[odd], seed[odd]
+                    for p in positions:
+                        yield out(cells(x ^ np.uint64(1 << int(p)), mask, pivots, seed), to, r, x)
+
+    return run
+
+
+def references(prints: DataFrame, n: int = PIVOTS, among: int = REFERENCES) -> np.ndarray:
+    """``n`` fingerprints of the data, each as far from those before it as any of ``among``; random ones where there are too few."""
+    some = [r["fp"] for r in prints.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(among).collect()]
+    pool = np.concatenate((np.array(some, np.int64).view(np.uint64), np.random.default_rng(7).integers(0, 1 << 64, n, dtype=np.uint64)))
+    chosen, far = [0], np.bitwise_count(pool ^ pool[0]).astype(int)
+    while len(chosen) < n:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, np.bitwise_count(pool ^ pool[chosen[-1]]))
+    return pool[chosen]
+
+
+def simhash_links(prints: DataFrame, bits: int = BITS, tile: int = TILE, pivots: np.ndarray | None = None) -> DataFrame:
+    """Links (a, b) between the ``rep`` of distinct ``fp`` that differ in ``bits`` bits at most: a spanning forest per cell."""
+    pivots = references(prints) if pivots is None else pivots
+    schema, parts = "cell long, path int, rep long, fp long", bits // 2 + 1
+    rows, done, left = prints.select(F.lit(0).cast("long").alias("cell"), F.lit(1).alias("path"), "rep", "fp"), None, 64
+    while True:
+        dealt, left = stored(rows.mapInArrow(_dealt(pivots, bits), schema), "simhash-cells"), left - left // parts
+        if left <= OPEN or left < 2 * parts:
+            break
+        full = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile).select("cell")
+        full = stored(full, "simhash-full")
+        if not full.limit(1).count():
+            break
+        full = F.broadcast(full) if small_enough(full, _HOT_LIMIT) else full
+        fit = dealt.join(full, "cell", "left_anti")
+        done, rows = fit if done is None else done.unionByName(fit), dealt.join(full, "cell", "left_semi").select("cell", "path", "rep", "fp")
+    done = dealt if done is None else done.unionByName(dealt)
+    first = F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(int(pivots[0])))))
+    met = done.select("cell", "rep", "fp", first.alias("d")).repartition("cell").sortWithinPartitions("cell", "d", "fp")
+    return met.select("cell", "rep", "fp").mapInArrow(_links(pivots, bits), "a long, b long")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:

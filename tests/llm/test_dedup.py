@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -139,15 +140,58 @@ def test_simhash_against_a_loop(spark):
     assert simhash.simhash_dedup(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("n", [10, 10**8, 10**11])
-def test_masks_miss_no_pair(n):
-    rng, masks = random.Random(1), simhash.masks(n)
-    for _ in range(300):
+def dealt(rows, pivots, bits=3):
+    """(path, cell) -> fingerprints of rows (cell, path, fp), dealt once."""
+    cell, path, fp = zip(*rows)
+    batch = pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(path, pa.int32()), pa.array(range(len(fp))), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["cell", "path", "rep", "fp"])
+    out = {}
+    for b in simhash._dealt(pivots, bits)([batch]):
+        for c, p, _, x in zip(*(col.to_pylist() for col in b.columns)):
+            out.setdefault((p, c), set()).add(x % (1 << 64))
+    return out
+
+
+@pytest.mark.parametrize("bits", [1, 3, 4])
+def test_cells_miss_no_pair(bits):
+    rng = random.Random(1)
+    pivots = np.random.default_rng(2).integers(0, 1 << 64, 16, dtype=np.uint64)
+    for _ in range(60):
         x = rng.getrandbits(64)
         y = x
-        for b in rng.sample(range(64), 3):
+        for b in rng.sample(range(64), bits):
             y ^= 1 << b
-        assert any(x & m == y & m for m in masks)
+        rows = [(0, 1, x), (0, 1, y)]
+        for _ in range(3 if bits == 3 else 1):  # in any cell that both are in they meet again when it is dealt
+            met = [(c, p) for (p, c), held in dealt(rows, pivots, bits).items() if {x, y} <= held]
+            assert met
+            c, p = rng.choice(met)
+            rows = [(c, p, x), (c, p, y)]
+
+
+def test_pivots_part_what_is_far():
+    fp = np.random.default_rng(4).integers(0, 1 << 64, 400, dtype=np.uint64).tolist()
+    pivots = np.random.default_rng(2).integers(0, 1 << 64, 16, dtype=np.uint64)
+    assert max(map(len, dealt([(0, 1, x) for x in fp], pivots).values())) <= 2
+    # without pivots all meet in one cell a part, with pivots that see nothing of a part too
+    assert max(map(len, dealt([(0, 1, x) for x in fp], pivots[:0]).values())) == 400
+
+
+def test_cells_decide_which_pairs_meet(spark, monkeypatch):
+    rows = [(i, i * 0x9E3779B97F4A7C15 % (1 << 63) ^ j) for i in range(40) for j in (0, 1 << 3, 1 << 40 | 1 << 5)]
+    prints = spark.createDataFrame([(3 * i + k % 3, x) for k, (i, x) in enumerate(rows)], "rep bigint, fp bigint")
+    assert simhash.simhash_links(prints).count() >= 80
+    apart = np.random.default_rng(0)
+
+    def blind(pivots, bits):
+        def run(batches):
+            for b in batches:
+                n = b.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(apart.permutation(n) + b.column(2).to_numpy() * 1_000_003), pa.array(np.full(n, 2, np.int32)), b.column(2), b.column(3)], names=["cell", "path", "rep", "fp"])
+
+        return run
+
+    monkeypatch.setattr(simhash, "_dealt", blind)
+    assert simhash.simhash_links(prints).count() == 0
 
 
 def test_links_within_a_group():

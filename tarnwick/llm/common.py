@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,24 @@ def small_enough(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``label`` (each entry points to itself or to a lower one of its set) with the sets of i and j joined."""
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return label
+        np.minimum.at(label, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while not np.array_equal(label, up := label[label]):
+            label = up
+
+
+def forest(ids: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between ``ids`` that join each set of ``label`` (as ``unite`` gives it): one fewer than it has members."""
+    own = np.flatnonzero(label != np.arange(len(label)))
+    return ids[label[own]], ids[own]
+
+
 #: Nodes that a star step takes by broadcast at most: those with more than one in so many of all edges.
 HOT_NODES = 2000
 

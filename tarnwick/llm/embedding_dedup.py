@@ -2,23 +2,26 @@
 
 In a pass, vectors are ordered within their label by 64 concatenated random
 hashes (signs of projections), so that near vectors stand near each other, and
-each is compared with its neighbours in a window of that order. Pairs that are
-verified in any pass are united. Each row has its own number of passes. A few
+each is compared with its neighbours in a bounded window of that order. What is
+verified in any pass is united. Each row has its own number of passes. A few
 passes show how many first bits of its signature must agree before no more rows
 than its window share them; from these and the widest angle at which its cell
 may link follows how often a pair is missed in a pass, however vectors cluster.
 A row for which comparing it with all of its label costs less than its passes
 (all rows of small labels, rows of dense topics) is compared with all of them.
 
-Dense groups would link in numbers that grow with the square of their size, so
-before the passes vectors are gathered in cells: a few passes of the same order
-let each vector join a leader near it, as long as all of a cell lies within
-half the threshold's angle of its leader. All members of a cell are then
-linked, by the triangle inequality for angles, and are counted, not listed. The
-passes run over leaders. Where two leaders are so near that all their members
-must link, sizes are added; where only some may, the members are compared block
-by block and counted. Windows go on, tile by tile, as long as the last tile still
-held a link and the task lasts; the number of passes doesn't count on that.
+Dense groups link in numbers that grow with the square of their size, so links
+are counted and never listed. Before the passes vectors are gathered in cells: a
+few passes of the same order let each vector join a leader near it, as long as
+all of a cell lies within half the threshold's angle of its leader. All members
+of a cell are then linked, by the triangle inequality for angles. The passes run
+over leaders, and a window hands on a spanning forest of the leaders whose
+members may link. The sets that these forests join hold every link that was met,
+and all links between members of one set, met in a pass or not: within a set
+vectors are compared block by block, each block hands on counts and a spanning
+forest of its links, and their components are the result. Members of small cells
+are compared one by one. A large cell is one unit: where all its members must
+link, its size is added; where only some may, they are compared by blocks.
 """
 
 from __future__ import annotations
@@ -32,17 +35,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, forest, small_enough, stored, unite
 
 THRESHOLD = 0.93
 #: Rows in a tile (a window is the tile and those beside it), and the chance to find a pair at the widest angle that sets the number of passes.
 TILE, RECALL = 64, 0.9999
 #: Passes that gather cells, and the leaders a row is compared with there.
 ROUNDS, RECENT = 3, 48
-#: Rows of a task of a pass; members of a cell in a block.
-TASK_ROWS, BLOCK = 20_000, 1024
-#: Passes that show the crowding, comparisons that cost as much as a row in a pass, and leaders in a block of those compared with all.
+#: Rows of a task of a pass; members of a cell in a block, and rows of a block compared at a time.
+TASK_ROWS, BLOCK, SLICE = 20_000, 1024, 256
+#: Passes that show the crowding, comparisons that cost as much as a row in a pass, and rows in a block of those compared with all.
 PROBES, WORTH, SPAN = 8, 1024, 4096
+#: Vectors from which a cell is one unit when links are counted.
+LARGE = 256
+#: Groups of more than one block that are broadcast at most.
+_BROADCAST = 100_000
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -144,148 +151,163 @@ def _near(x: np.ndarray, r: np.ndarray, threshold: float, a: slice, b: slice) ->
 
 
 def _windows(threshold: float, tile: int):
-    """Leader pairs whose members may link, and the first and last rows of the task for the pairs across tasks."""
-
-    def pairs(x, r, ids, out) -> None:
-        starts = range(0, len(ids), tile)
-        for lo in starts:
-            here = slice(lo, lo + tile)
-            for other in range(lo, len(ids), tile):
-                there = slice(other, other + tile)
-                hit, c = _near(x, r, threshold, here, there)
-                if other == lo:
-                    hit = np.triu(hit, 1)
-                i, j = np.nonzero(hit)
-                if not len(i) and other > lo:
-                    break
-                a, b = ids[here][i], ids[there][j]
-                swap = a > b
-                ra, rb = r[here][i], r[there][j]
-                out.append((np.where(swap, b, a), np.where(swap, a, b), c[i, j], np.where(swap, rb, ra), np.where(swap, ra, rb)))
+    """A spanning forest of the leaders whose members may link, by windows, and the first and last rows of the task for the windows across tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         rows = pa.Table.from_batches(held).combine_chunks()
-        task = TaskContext.get().partitionId()
+        task, names = TaskContext.get().partitionId(), ["a", "b", "edge", "pass", "grp", "after", "r", "vec"]
         keys = list(zip(*(rows.column(k).to_pylist() for k in range(2))))
         ids, r, vecs = rows.column(2).to_numpy(), rows.column(3).to_numpy(), rows.column(4).combine_chunks()
-        out: list[tuple] = []
-        runs = _runs(keys)
-        for lo, hi in runs:
-            pairs(_matrix(vecs.slice(lo, hi - lo)), r[lo:hi], ids[lo:hi], out)
-        a, b, c, ra, rb = map(np.concatenate, zip(*out)) if out else [np.empty(0, np.int64)] * 2 + [np.empty(0)] * 3
-        n, kind = len(a), vecs.type
-        yield pa.RecordBatch.from_arrays([*map(pa.array, (a, b, c, ra, rb)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, kind)], names=["a", "b", "c", "ra", "rb", "edge", "pass", "grp", "vec"])
-        for edge, span in ((task, slice(0, tile)), (task + 1, slice(max(0, len(ids) - tile), len(ids)))):
-            part = rows.slice(span.start, min(span.stop, len(ids)) - span.start)
-            n = part.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [part.column(2).combine_chunks(), pa.nulls(n, pa.int64()), pa.array(np.full(n, edge == task), pa.float64()), part.column(3).combine_chunks(), pa.nulls(n, pa.float64()), pa.array(np.full(n, edge), pa.int32()), part.column(0).combine_chunks(), part.column(1).combine_chunks(), part.column(4).combine_chunks()],
-                names=["a", "b", "c", "ra", "rb", "edge", "pass", "grp", "vec"],
-            )
+        for lo, hi in _runs(keys):
+            x, own, met = _matrix(vecs.slice(lo, hi - lo)), r[lo:hi], []
+            for at in range(0, hi - lo, tile):
+                hit, _ = _near(x, own, threshold, slice(at, at + tile), slice(at, at + 2 * tile))
+                i, j = np.nonzero(np.triu(hit, 1))
+                met.append((i + at, j + at))
+            a, b = forest(ids[lo:hi], unite(np.arange(hi - lo), *map(np.concatenate, zip(*met))))
+            n = len(a)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.float64()), pa.nulls(n, vecs.type)], names=names)
+        for edge, lo, hi in ((task, 0, tile), (task + 1, max(0, len(ids) - tile), len(ids))):
+            part = rows.slice(lo, min(hi, len(ids)) - lo)
+            n, column = part.num_rows, lambda k, part=part: part.column(k).combine_chunks()
+            yield pa.RecordBatch.from_arrays([column(2), pa.nulls(n, pa.int64()), pa.array(np.full(n, edge), pa.int32()), column(0), column(1), pa.array(np.full(n, edge == task)), column(3), column(4)], names=names)
 
     return run
 
 
 def _across(threshold: float):
-    """Pairs between the last rows of a task and the first of the next; rows come sorted by edge, pass and group."""
+    """The same between the last rows of a task and the first of the next; rows come sorted by edge, pass and group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        rows = pa.Table.from_batches(held).combine_chunks()
-        keys = list(zip(*(rows.column(k).to_pylist() for k in range(3))))
-        ids, after, r, vecs = rows.column(3).to_numpy(), rows.column(4).to_numpy() > 0, rows.column(5).to_numpy(), rows.column(6).combine_chunks()
+        for rows in _grouped(batches, 3):
+            ids, after, r = rows.column(3).to_numpy(), rows.column(4).to_numpy(zero_copy_only=False).astype(bool), rows.column(5).to_numpy()
+            hit, _ = _near(_matrix(rows.column(6).combine_chunks()), r, threshold, slice(None), slice(None))
+            a, b = forest(ids, unite(np.arange(len(ids)), *np.nonzero(hit & ~after[:, None] & after[None, :])))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Table]:
+    """The rows of each group: those with equal first ``n`` columns, by which they come sorted."""
+    held: list[pa.RecordBatch] = []
+    at = None
+    for batch in batches:
+        keys = list(zip(*(c.to_pylist() for c in batch.columns[:n])))
         for lo, hi in _runs(keys):
-            x, own = _matrix(vecs.slice(lo, hi - lo)), slice(lo, hi)
-            hit, c = _near(x, r[own], threshold, slice(None), slice(None))
-            i, j = np.nonzero(hit & ~after[own][:, None] & after[own][None, :])
-            a, b = ids[own][i], ids[own][j]
-            swap = a > b
-            ra, rb = r[own][i], r[own][j]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, (np.where(swap, b, a), np.where(swap, a, b), c[i, j], np.where(swap, rb, ra), np.where(swap, ra, rb)))), names=["a", "b", "c", "ra", "rb"])
+            if keys[lo] != at and held:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            at = keys[lo]
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _sides(rows: pa.Table) -> tuple[int, bool]:
+    """Rows of the first block, and whether there is no other: rows are (group, ba, bb, side, ...), first blocks first."""
+    return int((~rows.column(3).to_numpy(zero_copy_only=False).astype(bool)).sum()), rows.column(1)[0].as_py() == rows.column(2)[0].as_py()
+
+
+def _slices(n: int, one: bool, total: int) -> Iterator[tuple[slice, slice]]:
+    """The rows of the first block, some at a time, and those to compare them with."""
+    for lo in range(0, n, SLICE):
+        yield slice(lo, min(lo + SLICE, n)), slice(lo if one else n, total)
+
+
+def _met(threshold: float):
+    """A spanning forest of the leaders of two blocks (or of one, if ba = bb) whose members may link; rows come sorted by grp, ba, bb and side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches, 3):
+            x, ids, r = _matrix(rows.column(6).combine_chunks()), rows.column(4).to_numpy(), rows.column(5).to_numpy()
+            n, one = _sides(rows)
+            label = np.arange(len(ids))
+            for here, there in _slices(n, one, len(ids)):
+                hit, _ = _near(x, r, threshold, here, there)
+                i, j = np.nonzero(np.triu(hit, 1) if one else hit)
+                label = unite(label, i + here.start, j + there.start)
+            a, b = forest(ids, label)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+LINKS, SURE, PARTLY = range(3)
+
+
+def _counted(threshold: float):
+    """What two blocks of one set (or one, if ba = bb) link: (LINKS, unit, how many rows it links with), (SURE, a, b) in a spanning forest, (PARTLY, a, b) where only some members of a large cell may."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        theta = math.acos(threshold)
+
+        def out(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
+
+        for rows in _grouped(batches, 3):
+            x, ids, r, size = _matrix(rows.column(7).combine_chunks()), rows.column(4).to_numpy(), rows.column(5).to_numpy(), rows.column(6).to_numpy().astype(float)
+            n, one = _sides(rows)
+            label, links = np.arange(len(ids)), np.zeros(len(ids))
+            for here, there in _slices(n, one, len(ids)):
+                hit, c = _near(x, r, threshold, here, there)
+                if one:
+                    hit = np.triu(hit, 1)
+                sure, reach = hit, r[here][:, None] + r[there][None, :]
+                if reach.any():
+                    sure = hit & ((reach == 0) | (np.arccos(np.clip(c, -1, 1)) + reach <= theta - 1e-9))
+                    i, j = np.nonzero(hit & ~sure)
+                    yield out(PARTLY, ids[here][i], ids[there][j])
+                links[here] += sure @ size[there]
+                links[there] += sure.T @ size[here]
+                i, j = np.nonzero(sure)
+                label = unite(label, i + here.start, j + there.start)
+            some = np.flatnonzero(links)
+            yield out(LINKS, ids[some], links[some].astype(np.int64))
+            yield out(SURE, *forest(ids, label))
 
     return run
 
 
 def _blocks(threshold: float):
-    """Members of two cells, a block of each: (cls, links with the other side) and whether there are any."""
+    """Members of two units, a block of each: (cls, links with the other side) and whether there are any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held).combine_chunks()
+        for rows in _grouped(batches, 4):
             x, side = _matrix(rows.column(7).combine_chunks()), rows.column(4).to_numpy(zero_copy_only=False).astype(bool)
-            cls, n = rows.column(5).to_numpy(), rows.column(6).to_numpy()
+            cls, n = rows.column(5).to_numpy(), rows.column(6).to_numpy().astype(float)
             hit = x[~side] @ x[side].T >= threshold
             links = np.concatenate((hit @ n[side], hit.T @ n[~side])).astype(np.int64)
             who = np.concatenate((cls[~side], cls[side]))
             some = np.flatnonzero(links)
             a, b = (np.full(len(some), rows.column(k)[0].as_py()) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([*map(pa.array, (a, b, who[some], links[some]))], names=["a", "b", "cls", "links"])
-
-        held: list[pa.RecordBatch] = []
-        at = None
-        for batch in batches:
-            keys = list(zip(*(c.to_pylist() for c in batch.columns[:4])))
-            for lo, hi in _runs(keys):
-                if keys[lo] != at and held:
-                    yield done()
-                    held = []
-                at = keys[lo]
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield done()
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (a, b, who[some], links[some]))], names=["a", "b", "cls", "links"])
 
     return run
 
 
-def _all_pairs(threshold: float):
-    """Leader pairs whose members may link, of two blocks (or of one, if ba = bb); rows come sorted by grp, ba, bb and side."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done() -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(held).combine_chunks()
-            x, ids, r = _matrix(rows.column(6).combine_chunks()), rows.column(4).to_numpy(), rows.column(5).to_numpy()
-            n = int((~rows.column(3).to_numpy(zero_copy_only=False).astype(bool)).sum())
-            one = at[1] == at[2]
-            for lo in range(0, n, BLOCK):
-                here, there = slice(lo, min(lo + BLOCK, n)), slice(lo if one else n, len(ids))
-                hit, c = _near(x, r, threshold, here, there)
-                i, j = np.nonzero(np.triu(hit, 1) if one else hit)
-                a, b, ra, rb = ids[here][i], ids[there][j], r[here][i], r[there][j]
-                swap = a > b
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, (np.where(swap, b, a), np.where(swap, a, b), c[i, j], np.where(swap, rb, ra), np.where(swap, ra, rb)))), names=["a", "b", "c", "ra", "rb"])
-
-        held: list[pa.RecordBatch] = []
-        at = None
-        for batch in batches:
-            keys = list(zip(*(c.to_pylist() for c in batch.columns[:3])))
-            for lo, hi in _runs(keys):
-                if keys[lo] != at and held:
-                    yield from done()
-                    held = []
-                at = keys[lo]
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield from done()
-
-    return run
+def _paired_blocks(rows: DataFrame, own, other, *columns: str) -> DataFrame:
+    """Each row once for each block ``other`` that its block ``own`` meets, sorted for the functions above; ``columns`` start with the group."""
+    met = rows.withColumn("own", own.cast("int")).withColumn("other", F.explode(other.cast("array<int>")))
+    group, *rest = columns
+    met = met.select(group, F.least("own", "other").alias("ba"), F.greatest("own", "other").alias("bb"), (F.col("own") > F.col("other")).alias("side"), *rest)
+    return met.repartition(group, "ba", "bb").sortWithinPartitions(group, "ba", "bb", "side")
 
 
 def _with_all(leaders: DataFrame, threshold: float, span: int) -> DataFrame:
-    """Leader pairs, at least one of them ``crowded``, whose members may link: blocks of crowded leaders meet all blocks of their group."""
+    """A forest of leaders, at least one of each two ``crowded``, whose members may link: blocks of crowded leaders meet all blocks of their group."""
     many = leaders.groupBy("grp").agg(F.count_if("crowded").alias("nc"), F.count_if(~F.col("crowded")).alias("no")).where("nc > 0")
     many = many.select("grp", F.ceil(F.col("nc") / span).cast("int").alias("bc"), F.ceil(F.col("no") / span).cast("int").alias("bo"))
-    own = F.when(F.col("crowded"), F.pmod(F.xxhash64("lead"), F.col("bc"))).otherwise(F.col("bc") + F.pmod(F.xxhash64("lead"), F.greatest("bo", F.lit(1)))).cast("int")
+    own = F.when(F.col("crowded"), F.pmod(F.xxhash64("lead"), F.col("bc"))).otherwise(F.col("bc") + F.pmod(F.xxhash64("lead"), F.greatest("bo", F.lit(1))))
     last = F.when(F.col("crowded"), F.col("bc") + F.col("bo")).otherwise(F.col("bc")) - 1
-    dealt = leaders.join(many, "grp").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last))).select("grp", F.least("own", "other").alias("ba"), F.greatest("own", "other").alias("bb"), (F.col("own") > F.col("other")).alias("side"), "lead", "r", "vec")
-    return dealt.repartition("grp", "ba", "bb").sortWithinPartitions("grp", "ba", "bb", "side").mapInArrow(_all_pairs(threshold), "a long, b long, c double, ra double, rb double")
+    many = F.broadcast(many) if small_enough(many, _BROADCAST) else many
+    return _paired_blocks(leaders.join(many, "grp"), own, F.sequence(F.lit(0), last), "grp", "lead", "r", "vec").mapInArrow(_met(threshold), "a long, b long")
 
 
-def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = "label", threshold: float = THRESHOLD, tile: int = TILE, recall: float = RECALL, rounds: int = ROUNDS, seed: int = 11, worth: int = WORTH, span: int = SPAN) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = "label", threshold: float = THRESHOLD, tile: int = TILE, recall: float = RECALL, rounds: int = ROUNDS, seed: int = 11, worth: int = WORTH, span: int = SPAN, large: int = LARGE) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
     Vectors are compared in double precision where their labels are equal and
@@ -325,36 +347,45 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     copies = spread.agg(F.sum(F.col("upto").cast("long"))).first()[0] or 0
     vec = classes.schema["vec"].dataType.simpleString()
     pair = "a long, b long, c double, ra double, rb double"
-    found = stored(_ordered(spread, None, seed, copies).mapInArrow(_windows(threshold, tile), f"{pair}, edge int, pass int, grp string, vec {vec}"), "vec-windows")
-    edges = found.where("edge is not null").select("edge", "pass", "grp", "a", "c", "ra", "vec").repartition("edge", "pass", "grp").sortWithinPartitions("edge", "pass", "grp")
-    pairs = found.where("edge is null").select("a", "b", "c", "ra", "rb").union(edges.mapInArrow(_across(threshold), pair)).union(_with_all(leaders, threshold, span))
-    pairs = stored(pairs.groupBy("a", "b").agg(F.max("c").alias("c"), F.max("ra").alias("ra"), F.max("rb").alias("rb")), "vec-pairs")
-    single = (F.col("ra") == 0) & (F.col("rb") == 0)
-    sure = single | (F.acos(F.least(F.col("c"), F.lit(1.0))) + F.col("ra") + F.col("rb") <= math.acos(threshold) - 1e-9)
-    whole, partly = pairs.where(sure).select("a", "b"), pairs.where(~sure).select("a", "b")
-
-    # members of pairs of cells of which only some may link
-    sized = cells.select("lead", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    found = stored(_ordered(spread, None, seed, copies).mapInArrow(_windows(threshold, tile), f"a long, b long, edge int, pass int, grp string, after boolean, r double, vec {vec}"), "vec-windows")
+    edges = found.where("edge is not null").select("edge", "pass", "grp", "a", "after", "r", "vec").repartition("edge", "pass", "grp").sortWithinPartitions("edge", "pass", "grp")
+    near = found.where("edge is null").select("a", "b").union(edges.mapInArrow(_across(threshold), "a long, b long")).union(_with_all(leaders, threshold, span))
+    sets = stored(components(near), "vec-sets")
+
+    # links within each set: of vectors, and of large cells as wholes
+    held = members.join(cells.select("lead", "rows", (F.col("rows") >= large).alias("whole")), "lead").withColumn("unit", F.when(F.col("whole"), F.col("lead")).otherwise(F.col("cls")))
+    held = held.join(sets, held["lead"] == sets["node"], "left").join(leaders.select("lead", "r"), "lead")
+    held = stored(held.select("cls", "n", "vec", "lead", "unit", "whole", F.when(F.col("whole"), F.col("r")).otherwise(0.0).alias("r"), F.coalesce("root", "lead").alias("set"), (F.col("root").isNotNull() | (F.col("rows") > 1)).alias("company")), "vec-units")
+    sizes = stored(held.groupBy("unit").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("rows"), F.min("cls").alias("least")), "vec-sizes")
+    units = stored(held.where("company AND cls = unit").join(sizes.select("unit", "size"), "unit").select("set", "unit", "r", "size", "vec"), "vec-counted")
+    wide = units.groupBy("set").agg(F.ceil(F.count(F.lit(1)) / span).cast("int").alias("blocks")).where("blocks > 1")
+    wide = F.broadcast(wide) if small_enough(wide, _BROADCAST) else wide
+    blocks = F.coalesce("blocks", F.lit(1))
+    met = _paired_blocks(units.join(wide, "set", "left"), F.pmod(F.xxhash64("unit"), blocks), F.sequence(F.lit(0), blocks - 1), "set", "unit", "r", "size", "vec")
+    counted = stored(met.mapInArrow(_counted(threshold), "kind int, a long, b long"), "vec-links")
+    beside = counted.where(F.col("kind") == LINKS).groupBy(F.col("a").alias("unit")).agg(F.sum("b").alias("beside"))
+    whole, partly = counted.where(F.col("kind") == SURE).select("a", "b"), counted.where(F.col("kind") == PARTLY).select("a", "b")
+
+    # members of units of which only some may link
+    sized = sizes.select("unit", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
     partly = partly.join(sized.toDF("a", "na"), "a").join(sized.toDF("b", "nb"), "b")
-    side = members.select("lead", "cls", "n", "vec")
+    side = held.select("unit", "cls", "n", "vec")
 
     def half(own: str, other: str, right: bool) -> DataFrame:
         block = F.pmod(F.xxhash64("cls"), F.col(f"n{own}")).cast("int")
-        out = partly.join(side.withColumnRenamed("lead", own), own).withColumn("mine", block).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col(f"n{other}") - 1)))
+        out = partly.join(side.withColumnRenamed("unit", own), own).withColumn("mine", block).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col(f"n{other}") - 1)))
         ba, bb = ("theirs", "mine") if right else ("mine", "theirs")
         return out.select("a", "b", F.col(ba).alias("ba"), F.col(bb).alias("bb"), F.lit(right).alias("side"), "cls", "n", "vec")
 
     some = half("a", "b", False).unionByName(half("b", "a", True)).repartition("a", "b", "ba", "bb").sortWithinPartitions("a", "b", "ba", "bb", "side")
     some = stored(some.mapInArrow(_blocks(threshold), "a long, b long, cls long, links long"), "vec-some")
 
-    least = cells.select("lead", "least")
+    least = sizes.select("unit", "least")
     links = whole.union(some.select("a", "b").distinct()).join(least.toDF("a", "la"), "a").join(least.toDF("b", "lb"), "b")
     roots = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")))
-    size = cells.select("lead", "size")
-    beside = whole.join(size.toDF("b", "size"), "b").select(F.col("a").alias("lead"), "size").union(whole.join(size.toDF("a", "size"), "a").select(F.col("b").alias("lead"), "size")).groupBy("lead").agg(F.sum("size").alias("beside"))
-    of_cell = cells.join(beside, "lead", "left").join(roots, cells["least"] == roots["node"], "left").select("lead", (F.col("size") - 1 + F.coalesce("beside", F.lit(0))).alias("links"), F.coalesce("root", "least").alias("component_id"))
+    of_unit = sizes.join(beside, "unit", "left").join(roots, sizes["least"] == roots["node"], "left").select("unit", (F.col("size") - 1 + F.coalesce("beside", F.lit(0))).alias("links"), F.coalesce("root", "least").alias("component_id"))
     partial = some.groupBy("cls").agg(F.sum("links").alias("more"))
-    of_class = members.select("cls", "lead").join(of_cell, "lead").join(partial, "cls", "left").select("cls", (F.col("links") + F.coalesce("more", F.lit(0))).alias("n_links"), "component_id")
+    of_class = held.select("cls", "unit").join(of_unit, "unit").join(partial, "cls", "left").select("cls", (F.col("links") + F.coalesce("more", F.lit(0))).alias("n_links"), "component_id")
     keyed = classes.select("cls", "grp", "vec").join(of_class, "cls")
     linked = usable.select("id", "grp", "vec").join(keyed, ["grp", "vec"]).select("id", "n_links", "component_id")
     alone = rows.where("not good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))

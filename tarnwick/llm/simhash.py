@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, small_enough, stored
+from .common import components, small_enough, stored, unite
 
 SEED, SHINGLE, BITS = 42, 3, 3
 #: Rows of a cell before it is dealt again; rows a worker compares at a time.
@@ -67,18 +67,6 @@ def _fingerprints(size: int):
     return run
 
 
-def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """``label`` (each entry points to itself or to a lower one of its set) with the sets of i and j joined."""
-    while True:
-        a, b = label[i], label[j]
-        apart = a != b
-        if not apart.any():
-            return label
-        np.minimum.at(label, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
-        while not np.array_equal(label, up := label[label]):
-            label = up
-
-
 def linked(group: np.ndarray, fp: np.ndarray, pivots: np.ndarray, bits: int) -> np.ndarray:
     """For each row the first row of its set; rows are sorted by cell and distance to the first pivot."""
     table = np.array([np.bitwise_count(fp ^ p) for p in pivots], np.int8)

@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 import re
 
@@ -265,3 +266,36 @@ def test_embeddings_of_a_dense_topic(spark, monkeypatch):
     for options in ({}, {"worth": -190, "span": 700}):  # mostly all with all; passes for all that part
         got = dict(map(tuple, embedding_dedup.embedding_dedup(df, **options).select("vec_id", "n_links").collect()))
         assert [got[i] for i in range(len(x))] == want.tolist(), options
+
+
+@pytest.mark.parametrize("options", [{"worth": -190, "recall": 0.9}, {}])
+def test_embeddings_of_a_shell(spark, monkeypatch, options):
+    """All pairs link, none shares a cell, and the group is cut over ten tasks: every link is counted, and rows that are handed on grow with the vectors."""
+    rng, n = np.random.default_rng(5), 2000
+    far = rng.standard_normal((n, 128)) * ([0] + [1] * 127)
+    x = np.eye(128)[0] + 0.2 * far / np.linalg.norm(far, axis=1, keepdims=True)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = (u @ u.T)[np.triu_indices(n, 1)]
+    assert cos.min() > 0.93 and cos.max() < math.cos(math.acos(0.93) / 2)
+    monkeypatch.setattr(embedding_dedup, "TASK_ROWS", 200)
+    handed = []
+    monkeypatch.setattr(embedding_dedup, "components", lambda e: (handed.append(e.count()), common.components(e))[1])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int").repartition(8)
+    got = embedding_dedup.embedding_dedup(df, **options)
+    assert {tuple(r)[1:3] for r in got.collect()} == {(n - 1, 0)}
+    assert len(handed) == 2 and max(handed) < 100 * n  # a forest a pass; there are 1,999,000 links
+
+
+def test_embeddings_of_large_cells(spark):
+    """Cells that are compared as wholes, some of them near each other, against a loop."""
+    rng = np.random.default_rng(6)
+    centre = rng.standard_normal(16)
+    rows = []
+    for k, (far, n) in enumerate(((0.0, 60), (0.28, 60), (0.33, 40), (0.5, 30), (1.5, 20))):
+        c = centre + far * rng.standard_normal(16)
+        rows += [(1000 * k + i, (c + 0.03 * rng.standard_normal(16)).tolist(), 0) for i in range(n)]
+    rows += [(9000 + i, (centre + 0.3 * rng.standard_normal(16)).tolist(), 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").repartition(3)
+    for options in ({"large": 8}, {"large": 8, "span": 20}):
+        got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_dedup(df, **options).collect()), key=repr)
+        assert got == brute_vectors(rows), options

@@ -46,6 +46,8 @@ ROUNDS, RECENT = 3, 48
 TASK_ROWS, BLOCK, SLICE = 20_000, 1024, 256
 #: Passes that show the crowding, comparisons that cost as much as a row in a pass, and rows in a block of those compared with all.
 PROBES, WORTH, SPAN = 8, 1024, 4096
+#: Blocks that a set is cut into before its blocks grow beyond a tile.
+SHARES = 16
 #: Vectors from which a cell is one unit when links are counted.
 LARGE = 256
 #: Groups of more than one block that are broadcast at most.
@@ -358,7 +360,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     held = stored(held.select("cls", "n", "vec", "lead", "unit", "whole", F.when(F.col("whole"), F.col("r")).otherwise(0.0).alias("r"), F.coalesce("root", "lead").alias("set"), (F.col("root").isNotNull() | (F.col("rows") > 1)).alias("company")), "vec-units")
     sizes = stored(held.groupBy("unit").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("rows"), F.min("cls").alias("least")), "vec-sizes")
     units = stored(held.where("company AND cls = unit").join(sizes.select("unit", "size"), "unit").select("set", "unit", "r", "size", "vec"), "vec-counted")
-    wide = units.groupBy("set").agg(F.ceil(F.count(F.lit(1)) / span).cast("int").alias("blocks")).where("blocks > 1")
+    wide = units.groupBy("set").agg(F.count(F.lit(1)).alias("n")).select("set", F.ceil(F.col("n") / F.least(F.lit(span), F.greatest(F.lit(TILE), F.ceil(F.col("n") / SHARES)))).cast("int").alias("blocks")).where("blocks > 1")
     wide = F.broadcast(wide) if small_enough(wide, _BROADCAST) else wide
     blocks = F.coalesce("blocks", F.lit(1))
     met = _paired_blocks(units.join(wide, "set", "left"), F.pmod(F.xxhash64("unit"), blocks), F.sequence(F.lit(0), blocks - 1), "set", "unit", "r", "size", "vec")

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tarnwick.llm import common, embedding_dedup, exact_dedup, queries, simhash
 
@@ -48,15 +49,39 @@ def test_components(spark):
 
 def test_directory_splits_and_doubles():
     d = exact_dedup.Directory()
-    d.split(0)
-    d.split(1)
-    assert d.depth == 2 and d.slots == [0, 0, 1, 2] and d.local == [1, 2, 2]
-    counts = {0: 9, 1: 1, 5: 3, 7: 4}
-    f = exact_dedup.Directory.fitted(counts, 3, 4)
-    assert len(f.slots) == 1 << f.depth and max(f.local) <= 3
-    for b in range(len(f.local)):
-        slots = [s for s, x in enumerate(f.slots) if x == b]
-        assert len(slots) == 1 << (f.depth - f.local[b]) and slots == list(range(slots[0], slots[-1] + 1))
+    assert d.split(0) == 1 and d.split(1) == 2
+    assert d.depth == 2 and d.slots == [0, 0, 1, 2] and d.local == [1, 2, 2] and d.prefix == [0, 2, 3]
+    assert d.split(0) == 3 and d.depth == 2 and d.slots == [0, 3, 1, 2]  # no doubling: the bucket was less deep
+    rng = random.Random(3)
+    for _ in range(50):
+        bits, capacity = rng.randint(1, 6), rng.randint(1, 9)
+        counts = {k: rng.randint(0, 5) for k in range(1 << bits) if rng.random() < 0.6}
+        f = exact_dedup.Directory().fit(counts, bits, capacity)
+        assert len(f.slots) == 1 << f.depth and max(f.local) == f.depth <= bits and set(f.slots) == set(range(len(f.local)))
+        for b, d in enumerate(f.local):
+            slots = [s for s, x in enumerate(f.slots) if x == b]
+            assert slots == list(range(f.prefix[b] << (f.depth - d), (f.prefix[b] + 1) << (f.depth - d)))
+            n = sum(c for k, c in counts.items() if k >> (bits - d) == f.prefix[b])
+            assert n <= capacity or d == bits
+            if d:  # its parent was too full
+                assert sum(c for k, c in counts.items() if k >> (bits - d + 1) == f.prefix[b] >> 1) > capacity
+        ranks = [r for _, _, r in f.in_order()]
+        assert ranks == sorted(ranks)
+
+
+def test_the_directory_finds_the_owners(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"t{i % 70}") for i in range(300)], "doc_id bigint, text string")
+    got = exact_dedup.exact_dedup(df, capacity=2)
+    assert got.count() == 300 and got.select("bucket").distinct().count() > 16
+    find = exact_dedup.Directory.in_order
+    monkeypatch.setattr(exact_dedup.Directory, "in_order", lambda self: find(self)[:1])  # a directory of one slot knows few keys
+    assert exact_dedup.exact_dedup(df, capacity=2).count() < 100
+
+
+def test_texts_of_one_digest_are_told_apart(spark):
+    df = spark.createDataFrame([(i, f"t{i % 7}") for i in range(30)] + [(50, None)], "doc_id bigint, text string")
+    got = exact_dedup.exact_dedup(df, digest=lambda norm: F.when(norm == "t6", F.lit("f" * 20)).otherwise(F.lit("0" * 20))).collect()
+    assert len(got) == 31 and {(r["doc_id"], r["keep_id"], r["group_size"]) for r in got} == {(i, i % 7, 5 if i % 7 < 2 else 4) for i in range(30)} | {(50, 50, 1)}
 
 
 ROWS = [(5, "a  b"), (3, "a\tb"), (9, "a b"), (4, None), (2, ""), (7, "a b "), (8, " "), (1, "\n"), (None, "a b"), (None, "lone"), (6, "x" * 300_000), (10, "x" * 300_000), (3, "a\tb"), (11, "é b"), (12, "é b")]

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_path, stored  # noqa: F401  (the operators take them from here)
+from ..session import shared_folder, shared_path, stored  # noqa: F401  (the operators take them from here)
 
 #: Words and white space as every operator here counts them.
 WORD = r"[^\x20\x09-\x0D]+"

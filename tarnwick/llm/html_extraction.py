@@ -9,27 +9,33 @@ text, below one that is not nothing is, and only mixed nodes leave their
 children free, so ancestors and descendants never contradict each other.
 
 The model is trained here on pages that ``sample_page`` writes, with known
-labels, from a fixed seed; ``TRAIN_PAGES`` bounds them. Training takes a few
-seconds and is kept for the process; the trees, some 100 kB, go to the workers.
+labels, from a fixed seed; ``TRAIN_PAGES`` bounds them. Training takes some
+twenty seconds and is kept for the process and in the shared folder; the trees, some 100 kB, go to the workers.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
+import io
+import json
 import math
+import pathlib
 import random
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import shared_folder
 from .gbdt import Boosted
 from .html_dom import Node, attribute_tokens, parse
 
 OUT, IN, MIXED = range(3)
-TRAIN_PAGES = 1800
+TRAIN_PAGES = 2400
 #: Characters of pages whose nodes are scored together.
 STEP = 4 << 20
 
@@ -235,9 +241,16 @@ class Extractor:
 _SYLLABLES = "ta re mi on el pa su ver ko lin da ro ne ti ha bo gra che lu fen".split()
 
 
-def sample_page(rng: random.Random) -> tuple[str, list[str]]:
+#: How a page holds its paragraphs: as such, as divs without names, under hashed names, parted by line breaks alone, all of the page in divs without names, right in the body, or in a table of the page.
+LAYOUTS = ("p", "div", "hashed", "breaks", "flat", "bare", "table")
+_SHARES = (0.52, 0.09, 0.12, 0.1, 0.07, 0.05, 0.05)
+
+
+def sample_page(rng: random.Random, layout: str | None = None) -> tuple[str, list[str]]:
     """(a page, its main text's blocks): main text is marked by the private characters U+E000 and U+E001, which ``labelled`` takes out."""
-    plain = rng.random() < 0.12  # nothing but meaningless names
+    layout = layout or rng.choices(LAYOUTS, _SHARES)[0]
+    plain = layout in ("hashed", "flat") or rng.random() < 0.12  # nothing but meaningless names
+    quiet = layout == "flat"  # nothing in the main text that only a name would tell from it
 
     style = rng.choice(("", "", "", "", "dull", "loud", "marks", "bars", "bare"))  # of the main text
     own = False
@@ -263,17 +276,21 @@ def sample_page(rng: random.Random) -> tuple[str, list[str]]:
         return text if rng.random() < 0.8 else text.replace(" ", f" <a href='/{word()}'>{word()}</a> ", 1) if rng.random() < 0.6 else f"<b>{text}</b>"
 
     def name(words: list[str]) -> str:
+        if layout == "hashed" and rng.random() < 0.9:
+            return rng.choice(("css-", "sc-", "_", "jsx-", "x")) + "".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyz") for _ in range(rng.choice((1, 4, 6, 8))))
         if plain or rng.random() < 0.08:
             return word() + str(rng.randint(1, 99)) if rng.random() < 0.6 else rng.choice(PLAIN_WORDS)
         w = rng.choice(words)
         return w if rng.random() < 0.5 else rng.choice("-_").join(rng.sample([w, rng.choice(PLAIN_WORDS + ["site", "main", "page"])], 2)) if rng.random() < 0.8 else w + rng.choice(PLAIN_WORDS).capitalize()
 
     def attrs(words: list[str]) -> str:
+        if layout == "flat":
+            return ""
         r = rng.random()
         return f' class="{name(words)}"' if r < 0.6 else f' id="{name(words)}"' if r < 0.75 else f' id={name(words)} class="{name(words)} {rng.choice(PLAIN_WORDS)}"' if r < 0.9 else ""
 
     def box(kind: str, tags: list[str], body: str, always: bool = False) -> str:
-        tag = "div" if plain and rng.random() < 0.7 else rng.choice(tags)
+        tag = "div" if layout == "flat" or plain and rng.random() < 0.7 else rng.choice(tags)
         if not plain and kind in ROLES and rng.random() < 0.08:
             return f'<{tag} role="{ROLES[kind]}">{body}</{tag}>'
         a = attrs(AWAY_WORDS[kind]) if always or tag == "div" or rng.random() < 0.5 else ""
@@ -328,16 +345,32 @@ def sample_page(rng: random.Random) -> tuple[str, list[str]]:
         return box("header", ["header", "div"], "".join(parts))
 
     def footer() -> str:
-        parts = [rng.choice((f"&copy; {word()}.com &middot; {prose(1, 3)}", f"<p>&copy; 2024 {word()}. {sentence()}</p>", prose(1, 3), f"<p>{prose(1, 2)}</p>"))]
+        parts = [rng.choice((f"{word().capitalize()} {rng.randint(1996, 2024)} {word()} {word()}. {sentence()} {menu(1, 3)}", f"&copy; {word()}.com &middot; {prose(1, 3)}", f"<p>&copy; 2024 {word()}. {sentence()}</p>", prose(1, 3), f"<p>{prose(1, 2)}</p>"))]
         if rng.random() < 0.5:
             parts.insert(rng.randint(0, 1), menu(2, 8))
         return box("footer", ["footer", "footer", "div"], "".join(parts))
 
+    divs = rng.random() < 0.7
+
+    def broken() -> str:
+        """A main text parted by line breaks alone, its title a heading, bold or none."""
+        nonlocal own
+        own = True
+        gap = rng.choice(("<br><br>", "<br/><br/>", "<br>\n<br>", "<br>"))
+        lines = [prose(1, 7) for _ in range(rng.choice((2, 3, 4, 6, 9)))]
+        title = sentence(1, 10)
+        r = rng.random()
+        body = f"<h{rng.choice('112')}>{kept(title)}</h1>{kept(gap.join(lines))}" if r < 0.7 else kept(gap.join([f"<b>{title}</b>", *lines])) if r < 0.85 else kept(gap.join(lines))
+        own = False
+        return f"<{tag}{attrs(MAIN_WORDS)}>{body}</{tag}>" if (tag := rng.choice(("div", "div", "div", "article", "section", "td"))) != "td" else f"<table><tr><td>{menu(3, 8)}</td><td>{body}</td></tr></table>"
+
     def kept(text: str) -> str:
         return f"\ue000{text}\ue001"
 
     def para(lo: int = 1, hi: int = 7) -> str:
-        text = kept(prose(lo, hi))
+        text = kept(prose(lo, hi) if rng.random() < 0.97 else prose(30, 150))
+        if layout == "div" or layout in ("hashed", "flat") and divs:
+            return f"<div{attrs(MAIN_WORDS) if layout != 'div' or rng.random() < 0.1 else ''}>{text}</div>"
         r = rng.random()
         return f"<p>{text}</p>" if r < 0.82 else f"<p>{text}" if r < 0.9 else f"<p><b>{text}<br>" if r < 0.95 else f"<div>{text}</div>"
 
@@ -363,26 +396,36 @@ def sample_page(rng: random.Random) -> tuple[str, list[str]]:
             parts.append(para(1, 1) if brief else para())
         own = False
         for extra, chance in ((ad, 0.2), (share, 0.12), (form, 0.1), (side, 0.14), (notice, 0.2)):
-            if rng.random() < chance:
+            if rng.random() < (0 if quiet else chance):
                 parts.insert(rng.randint(1, len(parts)), extra())
         body = "".join(parts)
         if rng.random() < 0.2:
             body = f"<div{attrs(MAIN_WORDS)}>{body}</div>"
         if rng.random() < 0.12:
             body += comments()
-        tag = rng.choice(("article", "article", "article", "main", "div", "div", "section", "td"))
+        if layout in ("bare", "table"):
+            return body
+        tag = "div" if layout == "flat" else rng.choice(("article", "article", "article", "main", "div", "div", "section", "td"))
         a = attrs(MAIN_WORDS) if tag in ("div", "section") or rng.random() < 0.3 else ""
         return f"<table{attrs(PLAIN_WORDS)}><tr><td>{menu(3, 8)}</td><td>{body}</td></tr></table>" if tag == "td" else f"<{tag}{a}>{body}</{tag}>"
 
+    if quiet:
+        ad = notice = share
     top = [f for f, chance in ((notice, 0.2), (header, 0.5), (nav, 0.65), (ad, 0.4), (form, 0.08), (side, 0.12)) if rng.random() < chance]
     end = [f for f, chance in ((share, 0.12), (comments, 0.35), (side, 0.3), (ad, 0.2), (form, 0.12), (notice, 0.12)) if rng.random() < chance]
     rng.shuffle(end)
-    middle = "".join(["".join(f() for f in top), article(), "".join(f() for f in end)])
+    middle = "".join(["".join(f() for f in top), broken() if layout == "breaks" else article(), "".join(f() for f in end)])
     if rng.random() < 0.06:
         middle = "".join(f() for f in top + end)  # a page without main text
-    for _ in range(rng.choice((0, 0, 0, 1, 1, 2))):
+    for _ in range(0 if layout == "bare" else rng.choice((0, 0, 0, 1, 1, 2))):
         middle = f"<div{attrs(PLAIN_WORDS)}>{middle}</div>"
     foot = footer() if rng.random() < 0.85 else ""
+    if layout == "table":  # rows of the page: what stands above, a menu beside the main text, what stands below
+        cell = lambda body, a="": f"<td{a or rng.choice(('', '', ' width=150', ' valign=top'))}>{body}</td>"
+        rows = [cell(rng.choice((f'<a href="/">{word()}</a>', f"<b>{word()} {word()}</b>", f"<img src=x> {sentence(1, 4)}")), " colspan=2"), cell(menu(3, 9)) + cell(article()), cell("".join(f() for f in end[:1]), " colspan=2") if end and rng.random() < 0.3 else ""]
+        if rng.random() < 0.8:
+            rows.append(cell(rng.choice((f"&copy; {rng.randint(1996, 2024)} {word()}. {sentence()} {menu(1, 3)}", f"<p>{sentence(1, 5)}</p>", f"{word().capitalize()} {rng.randint(1996, 2024)} {sentence()} {menu(2, 4)}", menu(2, 6))), " colspan=2"))
+        middle, foot = f"<table{attrs(PLAIN_WORDS)}>{''.join(f'<tr>{x}</tr>' for x in rows if x)}</table>", ""
     ending = "</body></html>" if rng.random() < 0.8 else ""
     page = f"<!DOCTYPE html><html><head><title>{sentence()}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>{middle}<!-- {word()} -->{foot}{ending}"
     return page, [b.split("\ue001")[0] for b in page.split("\ue000")[1:]]
@@ -406,10 +449,11 @@ def labelled(page: str) -> list[tuple[Node, int]]:
 
 
 @functools.lru_cache(maxsize=2)
-def trained(pages: int = TRAIN_PAGES, seed: int = 3) -> Extractor:
-    """The model, trained on ``pages`` sample pages."""
+def trained(pages: int = TRAIN_PAGES, seed: int = 3, without: str | None = None) -> Extractor:
+    """The model, trained on ``pages`` sample pages, none of them of the layout ``without``."""
     rng = random.Random(seed)
-    rows = [labelled(sample_page(rng)[0]) for _ in range(pages)]
+    kinds = [k for k in rng.choices(LAYOUTS, _SHARES, k=2 * pages) if k != without][:pages]
+    rows = [labelled(sample_page(rng, k)[0]) for k in kinds]
     weights = Weights().fit([x for page in rows for x in page])
     x, _ = features([[n for n, _ in page] for page in rows], weights)
     y = np.array([label for page in rows for _, label in page])
@@ -417,6 +461,44 @@ def trained(pages: int = TRAIN_PAGES, seed: int = 3) -> Extractor:
     return Extractor(weights, Boosted(3).fit(x[some], y[some]))
 
 
+def _packed(model: Extractor) -> bytes:
+    out, trees = io.BytesIO(), model.trees
+    shape = {k: getattr(trees, k) for k in ("classes", "rounds", "depth", "bins")}
+    np.savez_compressed(out, about=np.frombuffer(json.dumps([model.weights.tags, model.weights.words, shape]).encode(), np.uint8), base=trees.base, feature=trees.feature, cut=trees.cut, value=trees.value)
+    return out.getvalue()
+
+
+def _unpacked(data: bytes) -> Extractor:
+    with np.load(io.BytesIO(data), allow_pickle=False) as held:
+        tags, words, shape = json.loads(held["about"].tobytes())
+        weights, trees = Weights(), Boosted(**shape)
+        weights.tags, weights.words = tags, words
+        trees.base, trees.feature, trees.cut, trees.value = (held[k] for k in ("base", "feature", "cut", "value"))
+    return Extractor(weights, trees)
+
+
+@functools.lru_cache(maxsize=1)
+def _known_as() -> str:
+    """What the model follows from: the code that writes its pages, reads them and trains it."""
+    here = pathlib.Path(__file__).parent
+    return hashlib.sha256(b"".join((here / f"{name}.py").read_bytes() for name in ("html_extraction", "html_dom", "gbdt"))).hexdigest()[:16]
+
+
+_MODELS: dict[str, Extractor] = {}
+
+
+def shared_model(spark: SparkSession) -> Extractor:
+    """The trained model, kept for the process and in the shared folder: later sessions that name the same folder read it there."""
+    if (key := _known_as()) not in _MODELS:
+        path = f"{shared_folder(spark)}/html-model-{key}"
+        try:
+            _MODELS[key] = _unpacked(bytes(spark.read.schema("model binary").parquet(path).first()["model"]))
+        except AnalysisException:  # there is none yet
+            _MODELS[key] = trained()
+            spark.createDataFrame([(bytearray(_packed(_MODELS[key])),)], "model binary").coalesce(1).write.mode("ignore").parquet(path)
+    return _MODELS[key]
+
+
 def _extract(model: Extractor):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -442,7 +524,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     other broken markup is read as browsers do, roughly. An empty table gives
     no rows; extra columns aren't read.
     """
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html")).mapInArrow(_extract(model or trained()), "page_id long, url string, blocks array<string>")
+    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html")).mapInArrow(_extract(model or shared_model(pages.sparkSession)), "page_id long, url string, blocks array<string>")
 
 
 def op3_html_extraction(spark, sf_dir: str) -> DataFrame:

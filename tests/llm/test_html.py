@@ -65,7 +65,7 @@ def test_trees_learn():
 
 def test_unseen_pages(model):
     rng, hit, wrong, lost = random.Random(1234), 0, 0, 0
-    clean = lambda s: " ".join(html.unescape(re.sub(r"<[^>]*>", "", s)).split())
+    clean = lambda s: " ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br */?>", " ", s))).split())
     pages = [hx.sample_page(rng) for _ in range(150)]
     for (_, marked), got in zip(pages, model.texts([re.sub("[\ue000\ue001]", "", p) for p, _ in pages])):
         want, got = Counter(filter(None, map(clean, marked))), Counter(got)
@@ -74,6 +74,80 @@ def test_unseen_pages(model):
     assert hit / (hit + wrong) > 0.98 and hit / (hit + lost) > 0.98
 
 
+def shares(model, pages):
+    """Precision and recall by characters of words."""
+    hit = wrong = lost = 0
+    for (_, marked), got in zip(pages, model.texts([re.sub("[\ue000\ue001]", "", p) for p, _ in pages])):
+        want, got = (Counter(w for b in blocks for w in html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for blocks in (marked, got))
+        size = lambda c: sum(len(k) * n for k, n in c.items())
+        hit, wrong, lost = hit + size(want & got), wrong + size(got - want), lost + size(want - got)
+    return hit / (hit + wrong), hit / (hit + lost)
+
+
+@pytest.mark.parametrize("layout", hx.LAYOUTS)
+def test_layouts(model, layout):
+    rng = random.Random(77)
+    assert min(shares(model, [hx.sample_page(rng, layout) for _ in range(80)])) > 0.96
+
+
+@pytest.mark.parametrize("layout", ["hashed", "table"])
+def test_layouts_never_seen(layout):
+    rng = random.Random(78)
+    assert min(shares(hx.trained(600, 3, layout), [hx.sample_page(rng, layout) for _ in range(80)])) > 0.9
+
+
+# pages written by hand, without the generator
+TEXT = [
+    "Harbour reopens after repairs", "The old harbour opened again on Monday after eleven weeks of repairs to its western wall, which a storm had breached in March.",
+    "Fishing boats that had moored across the bay returned at first light, and the market sold out before nine.", "Engineers will watch the wall with gauges through the winter, the council said, and publish what they find each month.",
+]
+NAV = '<ul><li><a href="/">Home</a></li><li><a href="/news">News</a></li><li><a href="/sport">Sport</a></li><li><a href="/about">About us</a></li></ul>'
+FOOT = 'Copyright 2023 The Bay Post. All rights reserved. <a href="/terms">Terms</a> <a href="/privacy">Privacy</a>'
+PARAS = "".join(f"<p>{t}</p>" for t in TEXT[1:])
+divs = lambda name="": "".join(f"<div{name and f' class={name}'}>{t}</div>" for t in TEXT[1:])
+FOREIGN = {
+    "article": f'<header><a href="/">The Bay Post</a><nav>{NAV}</nav></header><article><h1>{TEXT[0]}</h1>{PARAS}</article><footer>{FOOT}</footer>',
+    "named divs": f'<div id="header">The Bay Post</div><div class="menu">{NAV}</div><div class="post-content"><h1>{TEXT[0]}</h1>{PARAS}</div><div class="sidebar"><h3>Most read</h3><ul><li><a href="/1">Ferry strike ends</a></li></ul></div><div id="footer">{FOOT}</div>',
+    "divs without names": f'<div><a href="/">The Bay Post</a></div><div>{NAV}</div><div><h1>{TEXT[0]}</h1>{PARAS}</div><div>{FOOT}</div>',
+    "bare": f"{NAV}<h1>{TEXT[0]}</h1>{PARAS}<hr><div>{FOOT}</div>",
+    "table": f'<table width="100%"><tr><td colspan=2><a href="/"><img src=logo.gif></a></td></tr><tr><td width=150>{NAV}</td><td><h1>{TEXT[0]}</h1>{PARAS}</td></tr><tr><td colspan=2>{FOOT}</td></tr></table>',
+    "hashed names": f'<div class="css-1x"><div class="css-2">{NAV}</div><div class="css-5"><h1 class="css-6">{TEXT[0]}</h1>{divs("css-7")}</div><div class="css-9">{FOOT}</div></div>',
+    "breaks": f'<div class="nav">{NAV}</div><div class="post"><h2>{TEXT[0]}</h2>{"<br><br>".join(TEXT[1:])}</div><div class="footer">{FOOT}</div>',
+    "all divs": f'<div><div><a href="/">The Bay Post</a></div><div>{NAV}</div><div><h1>{TEXT[0]}</h1>{divs()}</div><div>{FOOT}</div></div>',
+    "main and section": f'<div class="_3kd9"><nav>{NAV}</nav></div><main class="_8sf"><section class="_1aa"><h1>{TEXT[0]}</h1>{divs("_p0x")}</section></main><footer class="_22f">{FOOT}</footer>',
+    "comments": f'<nav>{NAV}</nav><div class="story"><h1>{TEXT[0]}</h1>{PARAS}</div><div id="comments"><h3>2 comments</h3><div class="comment"><b>Lena</b><p>Good to see the boats back where they belong.</p></div></div><footer>{FOOT}</footer>',
+}
+
+
+@pytest.mark.parametrize("name", FOREIGN)
+def test_foreign_pages(model, name):
+    page = f"<!DOCTYPE html><html><head><title>{TEXT[0]} - The Bay Post</title></head><body>{FOREIGN[name]}</body></html>"
+    assert model.texts([page]) == [[TEXT[0], " ".join(TEXT[1:])] if name == "breaks" else TEXT]
+
+
+def test_long_and_deep_pages(model):
+    paras = [f"Paragraph {k} of a very long text, with some words and a stop." for k in range(20_000)]
+    (got,) = model.texts([f"<nav><a href=/>x</a></nav><article><h1>Long text</h1>{''.join(f'<p>{t}</p>' for t in paras)}</article><footer>&copy; us</footer>"])
+    assert got == ["Long text", *paras]
+    one = " ".join(paras)  # one block
+    assert model.texts([f"<nav><a href=/>x</a></nav><article><h1>Long text</h1><p>{one}</p></article>"]) == [["Long text", one]]
+    (deep,) = model.texts(["<div>" * 3000 + f"<article><h1>{TEXT[0]}</h1>{PARAS}</article>" + "</div>" * 3000])
+    assert set(deep) <= set(TEXT)  # no crash; so deep a page has no promised text
+    same = f"<article><h1>{TEXT[0]}</h1><p>{TEXT[1]}</p><p>{TEXT[1]}</p></article>"  # equal blocks all stay
+    assert model.texts([same, same]) == [[TEXT[0], TEXT[1], TEXT[1]]] * 2
+
+
+def test_the_model_is_kept_in_the_shared_folder(spark, model, monkeypatch):
+    monkeypatch.setattr(hx, "_known_as", lambda: "of-the-test")
+    monkeypatch.setattr(hx, "trained", lambda: model)
+    assert hx.shared_model(spark) is model
+    hx._MODELS.clear()
+    monkeypatch.setattr(hx, "trained", None)
+    kept = hx.shared_model(spark)
+    assert kept is not model and kept.texts([PAGE]) == model.texts([PAGE])
+    hx._MODELS.clear()
+
+
 PAGE = """<html><head><title>t</title></head><body><div class="cookie-notice">We use cookies. <button>OK</button></div>
 <header class="site-header"><a href="/">Home</a></header><nav><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul></nav>
 <div class="content"><h1>The title of it</h1><p>First words of the text, and more of them follow here.</p><div class="ad">Buy this now, it is cheap.</div><p>Second words, with a <a href="/l">link</a> in them &amp; a sign.</p></div>

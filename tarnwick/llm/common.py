@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,18 @@ def small_enough(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def with_row_hash(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a number for each row in ``name``, the same however often and wherever a task runs: of its file and its place there.
+
+    Rows that don't come straight from a Parquet table are written to one first. Two rows may share a number, as hashes do.
+    """
+    try:
+        at = docs.metadataColumn("_metadata")
+        return docs.withColumn(name, F.xxhash64(at["file_path"], at["row_index"]))
+    except AnalysisException:
+        return with_row_hash(stored(docs, "rows"), name)
+
+
 def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """``label`` (each entry points to itself or to a lower one of its set) with the sets of i and j joined."""
     while True:

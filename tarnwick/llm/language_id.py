@@ -206,3 +206,23 @@ def op1_language_id(spark, sf_dir: str) -> DataFrame:
     """The contract's rows for the whole of ``documents``: learned from the documents that aren't held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return identify(docs, learn(docs.where(~held_out())))
+
+
+# SQL has no CRC-32 and spells out its bits; letters are \p{L}, n-grams of equal counts go by length, then code points, as packed ones do.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda i: 0::BIGINT)), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END)), 4294967295::BIGINT)"
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, lang, text, coalesce({_CRC} % 4 = 2, false) AS held_out FROM documents),
+w AS (SELECT doc_id, ' ' || w || ' ' AS p, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS w FROM d WHERE text IS NOT NULL) GROUP BY ALL),
+g AS (SELECT doc_id, gram, sum(c) AS n FROM (
+        SELECT doc_id, c, unnest(list_transform(range(2, length(p)), lambda i: substr(p, i, 1))) AS gram FROM w
+        UNION ALL SELECT doc_id, c, unnest(list_transform(range(1, length(p)), lambda i: substr(p, i, 2))) FROM w
+        UNION ALL SELECT doc_id, c, unnest(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3))) FROM w) GROUP BY ALL),
+prof AS (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, length(gram), gram) AS place
+         FROM (SELECT lang, gram, sum(n) AS n FROM g JOIN d USING (doc_id) WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL) QUALIFY place <= {PROFILE}),
+top AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(gram), gram) AS place FROM g QUALIFY place <= {PROFILE}),
+langs AS (SELECT DISTINCT lang FROM prof),
+dist AS (SELECT t.doc_id, l.lang, sum(coalesce(abs(p.place - t.place), {PROFILE}))::BIGINT AS far, count(*) * {PROFILE} AS most
+         FROM top t CROSS JOIN langs l LEFT JOIN prof p ON p.lang = l.lang AND p.gram = t.gram GROUP BY ALL),
+best AS (SELECT doc_id, lang, greatest(0.0::DOUBLE, 1 - far::DOUBLE / most) AS score FROM dist QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY far, lang) = 1)
+SELECT d.doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(score, 0.0::DOUBLE) AS score FROM d LEFT JOIN best USING (doc_id)
+"""

@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_row_hash
+
 ORDER, ALPHA = 2, 0.4
 #: Characters of text for each block, and for each hash range.
 BLOCK_CHARS, RANGE_CHARS = 4 << 20, 4 << 20
@@ -156,8 +158,9 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id
     sizes = docs.select(F.length(text_col).alias("n"), F.regexp_count(text_col, F.lit(r"[^\x20\x09-\x0D]+")).alias("w")).agg(F.sum("n"), F.sum("w")).first()
     chars, tokens = (int(x or 0) for x in sizes)
     blocks, parts = max(1, -(-chars // block_chars)), max(1, -(-chars // range_chars))
-    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), block.alias("block"))
+    # both uses of the blocks must deal alike, also when a task is run again
+    rows = with_row_hash(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")), "row")
+    dealt = rows.select("doc_id", "text", F.pmod("row", F.lit(blocks)).alias("block"))
     asked = dealt.groupBy("block").applyInArrow(_ask(order, parts), _ASKED)
     told = asked.groupBy("part").applyInArrow(_tell, _TOLD)
     return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score(order, alpha, tokens), _SCORED)

@@ -143,25 +143,30 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"), "epochs", "runs", *carry)
 
 
-def apply_mix(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars", **options) -> DataFrame:
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", count_col: str = "n_chars", **options) -> DataFrame:
     """The mixed corpus, with the columns of ``docs``: each document as often as the mix passes over it, and its part of a run.
 
     A part holds the words of the run and the white space between them;
     ``count_col``, where there is one, counts its characters. Rows of which the
-    mix takes nothing go.
+    mix takes nothing go, and so do all of those without words. Repeated rows
+    and null ids are documents of their own, a null source is a source. An
+    empty table gives no rows. No column's name can clash with the operator's.
     """
-    keyed = docs.withColumn("__row", F.monotonically_increasing_id())
-    taken = mix(keyed, text_col=text_col, carry=("__row",), **options).where("taken > 0").select("__row", F.col("epochs").alias("__epochs"), F.col("runs").alias("__runs"))
-    whole = F.array_repeat(F.lit(None).cast("struct<start:bigint,length:bigint>"), F.col("__epochs").cast("int"))
-    rows = keyed.join(taken, "__row").withColumn("__run", F.explode(F.concat(whole, "__runs")))
-    words, gaps = F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)), F.split(text_col, WORD, -1)
-    start, length = F.col("__run.start").cast("int"), F.col("__run.length").cast("int")
+    # written once: what the mix decides for a row must find that row again
+    keyed = stored(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row")), "mix-rows")
+    doc = F.col("doc")
+    given = keyed.select(doc[id_col].alias("doc_id"), doc[text_col].alias("text"), doc[source_col].alias("source"), "row")
+    taken = mix(given, carry=("row",), **options).where("taken > 0").select("row", "epochs", "runs")
+    whole = F.array_repeat(F.lit(None).cast("struct<start:bigint,length:bigint>"), F.col("epochs").cast("int"))
+    rows = keyed.join(taken, "row").withColumn("run", F.explode(F.concat(whole, "runs")))
+    text = doc[text_col]
+    words, gaps = F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.split(text, WORD, -1)
+    start, length = F.col("run.start").cast("int"), F.col("run.length").cast("int")
     pieces = F.zip_with(F.slice(words, start + 1, length), F.concat(F.slice(gaps, start + 2, length - 1), F.array(F.lit(""))), lambda w, g: F.concat(w, g))
-    part = F.array_join(pieces, "")
-    rows = rows.withColumn(text_col, F.when(F.col("__run").isNull(), F.col(text_col)).otherwise(part))
-    if count_col in docs.columns:
-        rows = rows.withColumn(count_col, F.when(F.col("__run").isNull(), F.col(count_col)).otherwise(F.length(text_col).cast(docs.schema[count_col].dataType)))
-    return rows.select(*docs.columns)
+    rows = rows.withColumn("part", F.when(F.col("run").isNotNull(), F.array_join(pieces, "")))
+    part = F.col("part")
+    changed = {text_col: part} | ({count_col: F.length(part).cast(docs.schema[count_col].dataType)} if count_col in docs.columns else {})
+    return rows.select(*((F.when(part.isNull(), doc[c]).otherwise(changed[c]) if c in changed else doc[c]).alias(c) for c in docs.columns))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

@@ -3,8 +3,13 @@
 Two generative models of hashed n-grams (words and runs of marks, alone and in
 pairs) are counted: one over target texts, those of a bounded sample of labelled
 rows with quality 1, one over all raw texts. A document's importance weight is
-the ratio of its likelihoods, here per n-gram and times ``SHARPNESS``, so that
-long texts don't outweigh short ones. Resampling without replacement keeps the
+the ratio of its likelihoods under the two, brought to one length: the mean log
+ratio of its n-grams times ``SHARPNESS``, the ratio that a text of so many
+n-grams like its own would have. Without that the length of a text outweighs
+what it says: the plain ratio kept 17 of 304 bad documents and lost 27 of 1,741
+good ones of held-out labels on sf0.1, the mean 4 and 3, with 30, 100 and 300
+n-grams alike. Pairs of equal words share a bucket, as a repeated word is one
+thing to both models whatever the word; without it, 7 and 10. Resampling without replacement keeps the
 k largest sums of log weight and Gumbel noise. k follows from the share of
 quality 1 among the labelled sample, unless it is given.
 
@@ -27,7 +32,7 @@ from .common import stored
 
 #: Buckets for words, and as many for pairs; labelled rows that are read at most (those with the smallest hashes).
 BUCKETS, MAX_LABELS = 1 << 16, 50_000
-#: Counts added to each bucket of both models, in proportion to the raw model; the weight of the mean log ratio.
+#: Counts added to each bucket of both models, in proportion to the raw model; n-grams to whose number a text's ratio is brought.
 PRIOR, SHARPNESS = 1 << 14, 100.0
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Tokens a worker remembers; tokens of a text it holds at a time.
@@ -96,7 +101,7 @@ def sortable(x: np.ndarray) -> np.ndarray:
     return np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
 
 
-def _scores(table: np.ndarray, seed: int):
+def _scores(table: np.ndarray, seed: int, sharpness: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
@@ -105,7 +110,7 @@ def _scores(table: np.ndarray, seed: int):
                 for f in features(text.as_py() or "", hashes):
                     n[k] += len(f)
                     total[k] += table[f].sum(dtype=np.float64)
-            weight = SHARPNESS * total / np.maximum(n, 1)
+            weight = total if sharpness is None else sharpness * total / np.maximum(n, 1)
             ids = batch.column(0).fill_null(-1).to_numpy()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(weight), pa.array(sortable(weight + gumbel(ids, seed)))], names=["doc_id", "n_grams", "log_weight", "key"])
 
@@ -127,14 +132,15 @@ def kth_largest(scores: DataFrame, k: int) -> int:
     return at
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", max_labels: int = MAX_LABELS, seed: int = 5) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", max_labels: int = MAX_LABELS, seed: int = 5, sharpness: float | None = SHARPNESS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_grams, log_weight, key, kept.
 
     ``labels`` (doc_id, quality): of more than ``max_labels`` rows those with
     the smallest hashes of their ids are read; an id with several labels counts
     as good if one of them is 1. Without labels, or without good ones, all
     weights are 0 and all is kept (or k rows by noise alone). A null or empty
-    text has weight 0. Rows whose sums are equal, as repeated rows' are, stand
+    text has weight 0. ``sharpness`` None gives the plain ratio, of the whole
+    text. Rows whose sums are equal, as repeated rows' are, stand
     or fall together, so a few more than k may stay. An empty table gives no
     rows; extra columns aren't read.
     """
@@ -147,7 +153,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: s
         counts = texts.join(F.broadcast(sample), "doc_id", "left").select("text", "quality").mapInArrow(_counts, "bucket long, raw long, target long")
         for r in counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
             raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
-    scores = stored(texts.mapInArrow(_scores(ratios(raw, target), seed), "doc_id long, n_grams long, log_weight double, key long"), "quality-scores")
+    scores = stored(texts.mapInArrow(_scores(ratios(raw, target), seed, sharpness), "doc_id long, n_grams long, log_weight double, key long"), "quality-scores")
     n = scores.count()
     if k is None:
         k = round(n * good / n_labels) if good else n

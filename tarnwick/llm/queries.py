@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_language_id": language_id.ORACLE,
     "op5_embedding_dedup": embedding_dedup.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op6_lm_scoring": lm_scoring.ORACLE,

@@ -74,3 +74,22 @@ def test_held_out_accuracy(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = li.op1_language_id(spark, sf_dir).where("held_out").join(docs, "doc_id").where("lang is not null")
     assert got.where("lang = lang_pred").count() / got.count() > 0.9
+
+
+def test_the_whole_table_against_a_loop(spark, sf_dir):
+    """Profiles, distances and predictions of every document, by dictionaries of strings."""
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    grams = {i: brute(t or "") for i, t, _ in docs}
+    first = lambda counts: sorted(counts, key=lambda g: (-counts[g], len(g), g))[: li.PROFILE]
+    learned: dict = {}
+    for i, t, lang in docs:
+        if lang is not None and t is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            learned.setdefault(lang, Counter()).update(grams[i])
+    places = {lang: {g: k for k, g in enumerate(first(c))} for lang, c in sorted(learned.items())}
+    got = {r["doc_id"]: (r["held_out"], r["lang_pred"], r["score"]) for r in li.op1_language_id(spark, sf_dir).collect()}
+    for i, _, _ in docs:
+        top = first(grams[i])
+        far = {lang: sum(abs(known[g] - k) if g in known else li.PROFILE for k, g in enumerate(top)) for lang, known in places.items()}
+        best = min(far, key=lambda x: (far[x], x)) if top else "und"
+        want = (zlib.crc32(str(i).encode()) % 4 == 2, best, max(0.0, 1 - far[best] / (li.PROFILE * len(top))) if top else 0.0)
+        assert got[i] == want

@@ -7,6 +7,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -69,14 +70,56 @@ def test_mix(spark, options):
     assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize("options", [{}, {"shard_words": 500, "block": 7}])
+def test_mix_row_by_row(spark, options):
+    """What each document gives, by laying out the words of every shard; only the draws are taken from Spark."""
+    long = " ".join(["w"] * 70_000)
+    rows = [*sources(spark), (800, long, "b"), (801, long, "a")]
+    seed, per_shard, block = 42, options.get("shard_words", mixing.SHARD_WORDS), options.get("block", mixing.BLOCK)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    drawn = [(r["doc_id"], len(WORD.findall(r["text"] or "")), r["source"], r["d"]) for r in df.select("*", F.xxhash64(F.lit(seed), "doc_id", F.length("text")).alias("d")).collect()]
+    size = Counter()
+    for _, n, s, _ in drawn:
+        size[s] += n
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    sizes = [size[s] for s in names]
+    goals = mixing.targets(sizes, [(3, 1, 2)[k % 3] for k in range(len(names))])
+    b = max(1, min(block, int(min(t for t in goals if t > 0) / 400)))
+    quotas = highest_quotients(goals, round(sum(goals) / b))
+    per_shard = max(per_shard, sum(sizes) // (mixing.MAX_SHARDS // 2) + 1)
+    starts = {(r["s"], r["k"]): r["h"] for r in spark.range(len(names)).selectExpr("int(id) AS s").join(spark.range(400).selectExpr("int(id) AS k")).select("s", "k", F.xxhash64(F.lit(seed), "s", "k").alias("h")).collect()}
+    want = []
+    for k, s in enumerate(names):
+        n_shards, shards = max(1, round(sizes[k] / per_shard)), {}
+        for i, n, own, d in drawn:
+            if own == s:
+                shards.setdefault(d % n_shards, []).append((d, i is not None, i or 0, n, i))
+        full = sorted(x for x, held in shards.items() if sum(r[3] for r in held))
+        share = dict(zip(full, highest_quotients([sum(r[3] for r in shards[x]) for x in full], quotas[k])))
+        for x, held in shards.items():
+            held.sort()
+            w = sum(r[3] for r in held)
+            words = min(2 * w, share.get(x, 0) * b)
+            at = b * (starts[k, x] % -(-w // b)) if w else 0
+            taken = {(at + j) % w for j in range(words % w)} if w else set()
+            lo = 0
+            for _, _, _, n, i in held:
+                want.append((i, n, (words // w * n if w else 0) + len(taken.intersection(range(lo, lo + n)))))
+                lo += n
+    got = [(r["doc_id"], r["size"], r["taken"]) for r in mixing.mix(df, **options).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_mix_of_nothing(spark):
     assert mixed(spark, []).count() == 0
     assert [r["taken"] for r in mixed(spark, [(1, None, None), (2, "", "a")]).collect()] == [0, 0]
 
 
 def test_apply_mix(spark):
-    df = spark.createDataFrame([(i, t, s, len(t or ""), "e") for i, t, s in sources(spark)], "doc_id bigint, text string, source string, n_chars bigint, epochs string")
+    df = spark.createDataFrame([(i, t, s, len(t or ""), "e", 7, i) for i, t, s in sources(spark)], "doc_id bigint, text string, source string, n_chars bigint, epochs string, row int, __row bigint")
     out = mixing.apply_mix(df).collect()
+    assert out[0].asDict().keys() == set(df.columns) and all((r["epochs"], r["row"], r["__row"]) == ("e", 7, r["doc_id"]) for r in out)
+    assert mixing.apply_mix(df.limit(0)).count() == 0
     assert all(r["n_chars"] == len(r["text"]) for r in out)
     decided = Counter()
     for r in mixing.mix(df).collect():
@@ -120,6 +163,15 @@ def test_base_kinds_against_python(spark, sf_dir):
         assert got[d["doc_id"]]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
 
 
+def test_secrets_of_odd_rows(spark):
+    far = "clean words " * 400_000
+    rows = [(1, far + f"token=abcdefgh {KEY}", 0), (None, f"x {KEY}", 0), (None, f"x {KEY}", 0), (None, None, 0), (2, f"x {KEY}", 0), (2, f"x {KEY}", 0), (3, "f" * 3_000_000, 0)]
+    got = secrets.secret_digests(spark.createDataFrame(rows, "doc_id bigint, text string, start int")).collect()
+    assert sorted(((r["doc_id"], r["spans"]) for r in got), key=repr) == sorted(
+        [(1, f"assign:{len(far)}:{len(far) + 14},access:{len(far) + 15}:{len(far) + 31}"), (None, ""), (3, "hex:0:3000000"), *[(i, "access:2:18") for i in (None, None, 2, 2)]], key=repr
+    )
+
+
 def test_the_ledger_scans_only_what_it_has_not_seen(spark):
     ledger = secrets.Ledger(spark, common.shared_path(spark, "test-ledger"))
     rows = lambda *x: spark.createDataFrame(list(x), "path string, version int, text string")
@@ -175,6 +227,18 @@ def test_scores_against_a_loop(spark, order, chars):
     assert [tuple(r)[1:] for r in lm_scoring.backoff_scores(df.where("doc_id = 3")).collect()] == [(0, 0, None)]
 
 
+def test_blocks_hold_when_rows_come_in_another_order(spark):
+    """A table read in other splits, and rows that no file holds, are dealt to the same blocks by both uses."""
+    texts = [f"w{i % 7} w{i % 5} w{i % 3}" for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = {i: w for i, w in enumerate(brute_scores(texts))}
+    for rows in (df.repartition(7).orderBy(F.rand()), common.stored(df.repartition(5), "test-lm")):
+        for r in lm_scoring.backoff_scores(rows, block_chars=100, range_chars=100).collect():
+            assert (r["n_tokens"], r["n_backoff"]) == want[r["doc_id"]][:2] and r["log_score"] == pytest.approx(want[r["doc_id"]][2])
+    held = common.stored(df.repartition(5), "test-lm")
+    assert sorted(common.with_row_hash(held, "_metadata").select("_metadata").distinct().count() for _ in "ab") == [200, 200]
+
+
 def test_packing():
     x = np.array([0, 1, 2**63, 2**64 - 1, 7], np.uint64)
     assert (lm_scoring._unpacked(lm_scoring._packed(x)) == x).all()
@@ -223,6 +287,41 @@ def test_resampling(spark):
     assert quality.resample(df.limit(0), labels).count() == 0 and quality.resample(df, labels, k=0).where("kept").count() == 0
 
 
+@pytest.mark.parametrize("sharpness", [quality.SHARPNESS, None])
+def test_resampling_against_a_loop(spark, sharpness):
+    """Weights, sums and decisions by dictionaries, with the noise as it is."""
+    n_buckets, rng = quality.BUCKETS, np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["sun", "sun", "rain", "buy", "win", "!!", "now", "$$"], rng.integers(0, 30))) for _ in range(60)] + [None, "", "the " * 50_000]
+    labels = {i: int("buy" not in (t or "")) for i, t in enumerate(texts) if i % 2}
+
+    def buckets(text):
+        h = [xxhash.xxh32_intdigest(t.encode()) for t in re.findall(r"\w+|[^\w\s]+", text or "")]
+        return [x % n_buckets for x in h], [n_buckets + (0 if a == b else (((a * 0x9E3779B1 + b) * 0xC2B2AE3D27D4EB4F) % 2**64 >> 40) % n_buckets) for a, b in zip(h, h[1:])]
+
+    log = {}
+    for half in (0, 1):
+        raw, target = Counter(), Counter()
+        for i, t in enumerate(texts):
+            raw.update(buckets(t)[half])
+            if labels.get(i):
+                target.update(buckets(t)[half])
+        n_raw, n_target = sum(raw.values()) + n_buckets, sum(target.values())
+        for b in raw:
+            p = (raw[b] + 1) / n_raw
+            log[b] = math.log((target[b] + quality.PRIOR * p) / (n_target + quality.PRIOR) / p)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: r for r in quality.resample(df, spark.createDataFrame(list(labels.items()), "doc_id bigint, quality int"), sharpness=sharpness).collect()}
+    noise, sums = quality.gumbel(np.arange(len(texts)), 5), {}
+    for i, t in enumerate(texts):
+        own = sum(buckets(t), [])
+        weight = sum(log[b] for b in own) * (1 if sharpness is None else sharpness / max(1, len(own)))
+        assert got[i]["n_grams"] == len(own) and got[i]["log_weight"] == pytest.approx(weight, rel=1e-4, abs=1e-4)
+        sums[i] = got[i]["log_weight"] + noise[i]
+        assert got[i]["key"] == quality.sortable(np.array([sums[i]]))[0]
+    k = round(len(texts) * sum(labels.values()) / len(labels))
+    assert {i for i in got if got[i]["kept"]} == set(sorted(sums, key=lambda i: -sums[i])[:k])
+
+
 def test_quality_on_held_out_labels(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     seen = labels.where("doc_id % 2 = 0")
@@ -265,6 +364,26 @@ def test_pipeline_against_plain_python(spark, sf_dir):
     assert sum(1 for _ in itertools.islice(coded, 1)) == 1
 
 
+def test_pipeline_stages_on_odd_tables(spark, sf_dir):
+    """Null ids, texts, sources and languages, empty texts, repeated rows, columns named as the stages' own, and nothing at all."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, group string, doc int, __kept string, kept string"
+    some = [(1, "the river and the old mill", "en", "a", 26), (None, "the river and the old mill", None, None, 26), (2, None, "en", "a", 0), (3, "", None, "b", 0), (3, "", None, "b", 0), (None, None, None, None, None), (4, "word " * 30_000, "en", "b", 150_000)]
+    docs = common.stored(spark.createDataFrame([(*r, "r", "g", 1, "k", "k") for r in some], schema), "test-odd")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        empty = stage(spark, common.stored(docs.limit(0), "test-none"), sf_dir)
+        got = stage(spark, docs, sf_dir)
+        if k < 4:
+            assert empty.columns == got.columns == docs.columns and empty.count() == 0
+        rows = got.collect()
+        texts = sorted((r["text"] or "" for r in rows), key=len) if k < 4 else []
+        if k in (1, 2):
+            assert texts == ["", some[0][1], some[6][1]] and {r["doc_id"] for r in rows} == {1, 2, 4}
+        if k == 3:
+            assert all(texts) and all(r["n_chars"] == len(r["text"]) for r in rows)
+        if k == 4:
+            assert len(rows) == 7 and sorted(r["n_tokens"] for r in rows)[:4] == [0] * 4
+
+
 def test_pipeline_keeps_one_row_of_each_group(spark):
     rows = [(5, "a b c d"), (3, "a  b c d"), (3, "e f g h"), (3, "e f g h"), (3, "i j k l"), (None, "m n o p"), (None, "m n o p"), (None, "i j k l"), (None, "q r s t"), (7, "u v w x"), (7, "a b c d")]
     docs = common.stored(spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id bigint, text string, n_chars int").repartition(3), "test-ids")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,16 +17,31 @@ def small_enough(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def is_table(docs: DataFrame) -> bool:
+    """Whether rows come straight from a Parquet table, projected or filtered at most: the same files in the same order each time."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and "parquet" in plan.toString()
+
+
 def with_row_hash(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` with a number for each row in ``name``, the same however often and wherever a task runs: of its file and its place there.
 
     Rows that don't come straight from a Parquet table are written to one first. Two rows may share a number, as hashes do.
     """
-    try:
-        at = docs.metadataColumn("_metadata")
-        return docs.withColumn(name, F.xxhash64(at["file_path"], at["row_index"]))
-    except AnalysisException:
-        return with_row_hash(stored(docs, "rows"), name)
+    docs = docs if is_table(docs) else stored(docs, "rows")
+    at = docs.metadataColumn("_metadata")
+    return docs.withColumn(name, F.xxhash64(at["file_path"], at["row_index"]))
+
+
+def with_row_id(docs: DataFrame) -> DataFrame:
+    """(doc, row): the columns of ``docs`` as one, and a number that no other row has, the same in every use of the result.
+
+    Rows straight from a Parquet table come in the same files and order each time; others are written to one first.
+    """
+    docs = docs if is_table(docs) else stored(docs, "rows")
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row"))
 
 
 def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:

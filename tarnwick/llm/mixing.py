@@ -18,7 +18,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, stored, with_row_id
 
 #: The driver holds a number for each; more of them is an error, never a cut.
 MAX_SOURCES, MAX_SHARDS = 100_000, 200_000
@@ -152,8 +152,7 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     and null ids are documents of their own, a null source is a source. An
     empty table gives no rows. No column's name can clash with the operator's.
     """
-    # written once: what the mix decides for a row must find that row again
-    keyed = stored(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row")), "mix-rows")
+    keyed = with_row_id(docs)  # what the mix decides for a row must find that row again
     doc = F.col("doc")
     given = keyed.select(doc[id_col].alias("doc_id"), doc[text_col].alias("text"), doc[source_col].alias("source"), "row")
     taken = mix(given, carry=("row",), **options).where("taken > 0").select("row", "epochs", "runs")

@@ -236,6 +236,7 @@ def test_blocks_hold_when_rows_come_in_another_order(spark):
         for r in lm_scoring.backoff_scores(rows, block_chars=100, range_chars=100).collect():
             assert (r["n_tokens"], r["n_backoff"]) == want[r["doc_id"]][:2] and r["log_score"] == pytest.approx(want[r["doc_id"]][2])
     held = common.stored(df.repartition(5), "test-lm")
+    assert [common.is_table(x) for x in (held, held.where("doc_id > 3").select("text"), df, held.join(df, "doc_id"), held.orderBy("text"), held.groupBy("text").count())] == [True, True, False, False, False, False]
     assert sorted(common.with_row_hash(held, "_metadata").select("_metadata").distinct().count() for _ in "ab") == [200, 200]
 
 

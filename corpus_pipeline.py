@@ -10,12 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick.llm import bpe, exact_dedup, mixing, quality, simhash
-from tarnwick.llm.common import stored
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` as (doc, row): rows with keys of their own, written once, so that a decision about a row finds that row again."""
-    return stored(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row")), "pipeline-rows")
+from tarnwick.llm.common import stored, with_row_id
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +32,7 @@ def _one_each(docs: DataFrame, grouped) -> DataFrame:
     count by their text. Of a group the row with the smallest id stays, null
     ids last; of rows with one id any.
     """
-    keyed = _keyed(docs)
+    keyed = with_row_id(docs)
     groups = grouped(keyed.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text"))).toDF("row", "group")
     place = F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("id"), "row")
     kept = keyed.select("row", place.alias("place")).join(groups, "row").groupBy("group").agg(F.min("place")["row"].alias("row"))

@@ -8,6 +8,8 @@ import logging
 import sys
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from . import __version__
 from .functions import providers as pv
 from .functions import statistics as st
@@ -88,10 +90,11 @@ def evaluate(args) -> int:
 
 
 def make_split(args) -> int:
-    rows = corpus.read_golden(get_spark(), args.golden).collect()
+    first = F.coalesce(corpus.project_of(F.get("relevant", F.lit(0))), F.lit("?"))
+    rows = corpus.read_golden(get_spark(), args.golden).select("qid", first.alias("project")).collect()
     by: dict[str, list[str]] = {}
     for r in rows:
-        by.setdefault(experiment._project(r["relevant"][0]) if r["relevant"] else "?", []).append(r["qid"])
+        by.setdefault(r["project"], []).append(r["qid"])
     manifest.write(ev.make_split(by, args.seed), args.out)
     return 0
 

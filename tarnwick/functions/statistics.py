@@ -15,6 +15,10 @@ from pyspark.sql import types as T
 RESAMPLES, SEED, LEVEL, TOLERANCE = 10_000, 20260917, 0.95, 1e-12
 
 
+#: Draws held at a time.
+DRAWS = 1 << 22
+
+
 def derived_seed(base: int, label: str) -> int:
     """A seed of its own for each label."""
     return (base + zlib.crc32(label.encode())) % (1 << 32)
@@ -31,13 +35,20 @@ def round_4(x: pd.Series) -> pd.Series:
     return x.map(lambda v: round(v, 4), na_action="ignore")
 
 
+def _resampled_means(rng: np.random.Generator, values: np.ndarray, resamples: int) -> np.ndarray:
+    """Means of resamples, some rows of draws at a time: a stream gives the same draws however it is cut."""
+    n = len(values)
+    step = max(1, DRAWS // n)
+    return np.concatenate([values[rng.integers(0, n, (min(step, resamples - lo), n))].mean(axis=1) for lo in range(0, resamples, step)])
+
+
 def bootstrap_interval(values: np.ndarray, seed: int, resamples: int = RESAMPLES, level: float = LEVEL) -> tuple[float, float]:
     """Percentile bootstrap of the mean; (0, 0) without values."""
     values = np.asarray(values, float)
     if not len(values):
         return 0.0, 0.0
-    draws = np.random.default_rng(seed).integers(0, len(values), (resamples, len(values)))
-    low, high = np.quantile(values[draws].mean(axis=1), [(1 - level) / 2, (1 + level) / 2])
+    means = _resampled_means(np.random.default_rng(seed), values, resamples)
+    low, high = np.quantile(means, [(1 - level) / 2, (1 + level) / 2])
     return float(low), float(high)
 
 
@@ -46,7 +57,7 @@ def difference_interval(a: np.ndarray, b: np.ndarray, seed: int, resamples: int
     if not len(a) or not len(b):
         return 0.0, 0.0
     rng = np.random.default_rng(seed)
-    means = [np.asarray(g, float)[rng.integers(0, len(g), (resamples, len(g)))].mean(axis=1) for g in (a, b)]
+    means = [_resampled_means(rng, np.asarray(g, float), resamples) for g in (a, b)]
     low, high = np.quantile(means[0] - means[1], [(1 - level) / 2, (1 + level) / 2])
     return float(low), float(high)
 

@@ -16,7 +16,7 @@ from .. import schemas
 from ..functions import statistics as st
 from ..functions.text import is_documentation
 from ..sources.corpus import project_of
-from .retrieval import cap
+from .retrieval import cap, small
 
 # The depth that is scored, the cuts of the metrics, the caps to choose from (largest first, none before all).
 DEPTH, CUTS, CAPS = 10, (1, 3, 5, 10), (None, 3, 2, 1)
@@ -80,19 +80,22 @@ def long_form(metrics: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return metrics.unpivot([*keys, "qid"], [f"`{m}`" for m in schemas.METRICS], "metric", "value").withColumn("metric", F.regexp_replace("metric", "`", ""))
 
 
-def _interval(seed: int, resamples: int, label):
+def _interval(seed: int, resamples: int, sep: str):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ord")
-        low, high = st.bootstrap_interval(rows["value"].to_numpy(), st.derived_seed(seed, label(key)), resamples)
+        low, high = st.bootstrap_interval(rows["value"].to_numpy(), st.derived_seed(seed, sep.join(key)), resamples)
         return pd.DataFrame([(*key, float(rows["value"].mean()), low, high)])
 
     return run
 
 
-def with_intervals(values: DataFrame, keys: tuple[str, ...] = ("key", "metric"), seed: int = st.SEED, resamples: int = st.RESAMPLES) -> DataFrame:
-    """(keys, value, low, high): means and bootstrap intervals of rows (keys, ord, value); the seed depends on the joined keys."""
+def with_intervals(values: DataFrame, keys: tuple[str, ...] = ("key", "metric"), seed: int = st.SEED, resamples: int = st.RESAMPLES, sep: str = "/") -> DataFrame:
+    """(keys, value, low, high): means and bootstrap intervals of rows (keys, ord, value); the seed depends on the joined keys.
+
+    A group is one question set's values, and one task resamples it, in slices of bounded memory.
+    """
     schema = ", ".join(f"{k} string" for k in keys) + ", value double, low double, high double"
-    return values.select(*keys, "ord", "value").groupBy(*keys).applyInPandas(_interval(seed, resamples, "/".join), schema)
+    return values.select(*keys, "ord", "value").groupBy(*keys).applyInPandas(_interval(seed, resamples, sep), schema)
 
 
 def bootstrap_hash(values: DataFrame, keys: tuple[str, ...], resamples: int = 1000, modulus: int = 1_000_003, factor: int = 7919, step: int = 104_729) -> DataFrame:
@@ -152,7 +155,7 @@ def choose_cap(metrics: DataFrame, halves: DataFrame) -> DataFrame:
     ties prefer no cap, then the larger one. ``metrics`` (per_file, qid, ...) are
     the unrounded ones, ``halves`` (qid, half).
     """
-    named = metrics.join(F.broadcast(halves), "qid")
+    named = metrics.join(small(halves), "qid")
     every = named.unionByName(named.withColumn("half", F.lit("all")))
     means = every.groupBy("per_file", "half").agg(*(F.avg(f"`{m}`").alias(m) for m in ("mrr", "hit_rate@5", "recall@5")))
     dev = means.where("half = 'dev'").select("per_file", F.row_number().over(Window.orderBy(F.desc(F.round("mrr", 6)), F.desc(F.round(F.col("`recall@5`"), 6)), F.col("per_file").isNull().desc(), F.desc("per_file"))).alias("place"))
@@ -183,6 +186,18 @@ def failure_summary(shares: DataFrame, keys: tuple[str, ...] = ("key",)) -> Data
     return shares.groupBy(*keys).agg(F.sum((~hit).cast("int")).alias("n_misses"), F.sum(hit.cast("int")).alias("n_hits"), *cols)
 
 
+def difference_intervals(shares: DataFrame, names: tuple[str, ...] = ("doc_share", "wrong_project_share"), seed: int = st.SEED, resamples: int = st.RESAMPLES) -> DataFrame:
+    """(key, name, low, high): intervals of the mean on misses less the mean on hits, of shares (key, ord, hit, names)."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ord")
+        own = st.derived_seed(seed, f"{key[0]}/failure") + names.index(key[1])
+        low, high = st.difference_interval(*(rows.loc[rows["hit"] == hit, "value"].to_numpy() for hit in (False, True)), own, resamples)
+        return pd.DataFrame([(*key, low, high)])
+
+    return shares.unpivot(["key", "ord", "hit"], list(names), "name", "value").groupBy("key", "name").applyInPandas(run, "key string, name string, low double, high double")
+
+
 def make_split(ids_by_project: dict[str, list[str]], seed: int) -> dict:
     """Half of each project's questions, shuffled by one seeded stream over the projects in order; the odd one is for testing."""
     rng, dev, test = random.Random(seed), [], []

@@ -210,10 +210,20 @@ def make_split(ids_by_project: dict[str, list[str]], seed: int) -> dict:
 
 
 def split_by_hash(questions: DataFrame, stratum: str, seed: int) -> DataFrame:
-    """(qid, stratum, half): the same rule by a seeded digest, for any number of questions."""
-    order = F.row_number().over(Window.partitionBy(stratum).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("qid").cast("string"))), "qid"))
-    n = F.count(F.lit(1)).over(Window.partitionBy(stratum))
-    return questions.select("qid", stratum, F.when(order <= F.floor(n / 2), "dev").otherwise("test").alias("half"))
+    """(qid, stratum, half): the same rule by a seeded digest, for any number of questions.
+
+    A question's place in its stratum is the number of those with a lower start
+    of their digest, which is counted first, and its place among those with the
+    same one, so that no task sorts a stratum.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("qid").cast("string")))
+    rows = questions.select("qid", stratum, digest.alias("digest"), F.substring(digest, 1, 4).alias("start"))
+    counts = rows.groupBy(F.col(stratum).alias("of"), F.col("start").alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("of").orderBy("at")
+    counts = counts.select("of", "at", (F.sum("n").over(order) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy("of")).alias("all"))
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(stratum, "start").orderBy("digest", "qid")))
+    placed = placed.join(small(counts), placed[stratum].eqNullSafe(counts["of"]) & (placed["start"] == counts["at"]))
+    return placed.select("qid", stratum, F.when(F.col("before") + F.col("place") <= F.floor(F.col("all") / 2), "dev").otherwise("test").alias("half"))
 
 
 def kappa(ratings: DataFrame, a: str, b: str) -> DataFrame:

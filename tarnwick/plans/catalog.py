@@ -183,14 +183,7 @@ def _windows_of(rows):
 
 @query(sql.WINDOW_CHUNKS)
 def window_chunks(spark, sf_dir):
-    """Windows of whole lines, their number and bounds; as in the SQL, without the pieces of lines beyond the budget (``window_chunks_whole`` has them)."""
-    rows = _document_chunks(spark, sf_dir, "window", "", 254)
-    return _windows_of(rows.where(~F.col("name").contains("(")))
-
-
-@query()
-def window_chunks_whole(spark, sf_dir):
-    """All windows of the documents, pieces of lines beyond the budget among them: their number and bounds."""
+    """Windows of the documents, pieces of lines beyond the budget among them: their number and bounds."""
     return _windows_of(_document_chunks(spark, sf_dir, "window", "", 254))
 
 
@@ -218,13 +211,6 @@ def code_units(spark, sf_dir):
 
 @query(sql.CHUNK_SIZES)
 def chunk_size_summary(spark, sf_dir):
-    """Sizes of the documents' lines as chunks, by project."""
-    lines = _files(spark, sf_dir).select("project", "path", F.lit(1).alias("start_line"), F.col("lines").alias("end_line"))
-    return ch.size_summary(lines, "project")
-
-
-@query()
-def window_size_summary(spark, sf_dir):
     """Sizes of the documents' windows, by project."""
     return ch.size_summary(stored(_document_chunks(spark, sf_dir, "window", "", 254).select("project", "path", "start_line", "end_line"), "windows"), "project")
 
@@ -298,20 +284,37 @@ def rerank_overlap(spark, sf_dir):
     return rt.rerank(_bm25(spark, sf_dir, rt.RERANK_DEPTH), _questions(spark, sf_dir), _chunks(spark, sf_dir), pv.OverlapReranker(), 10).select("qid", "idx", "score", "rank")
 
 
-@query()
-def search_strategies(spark, sf_dir):
-    """All six strategies, stemmed, with the offline providers."""
-    chunks = _chunks(spark, sf_dir)
-    index = rt.Index(chunks, rt.Lexical.build(chunks).stored(), stored(pv.embed(chunks, pv.HashingEmbedder(), "text", "idx"), "vectors"), pv.OverlapReranker())
-    questions = _questions(spark, sf_dir)
-    asked = stored(questions.join(pv.embed(questions, pv.HashingEmbedder(), "q", "qid"), "qid"), "asked")
-    out = None
+def _searched(index, questions, vectors):
+    """(strategy, qid, idx, rank) of all six strategies."""
+    asked, out = stored(questions.join(vectors, "qid"), "asked"), None
     for s in rt.STRATEGIES:
         one = stored(index.search(asked, s).select(F.lit(s).alias("strategy"), "qid", "idx", "rank"), "found")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+@query()
+def search_strategies(spark, sf_dir):
+    """All six strategies, stemmed, with the offline providers."""
+    chunks, questions = _chunks(spark, sf_dir), _questions(spark, sf_dir)
+    index = rt.Index(chunks, rt.Lexical.build(chunks).stored(), stored(pv.embed(chunks, pv.HashingEmbedder(), "text", "idx"), "vectors"), pv.OverlapReranker())
+    return _searched(index, questions, pv.embed(questions, pv.HashingEmbedder(), "q", "qid"))
+
+
+@query(sql.SEARCHED)
+def search_unstemmed(spark, sf_dir):
+    """All six strategies, without stems; a document's file is its project, so that the cap and the prefix have something to do."""
+    chunks, questions = _chunks(spark, sf_dir).withColumn("path", F.col("name")), _questions(spark, sf_dir)
+    index = rt.Index(chunks, rt.Lexical.build(chunks, stem=False).stored(), stored(pv.hashing_vectors(chunks, "idx", "text"), "vectors"), pv.OverlapReranker(), stem=False, digits=6)
+    return _searched(index, questions, pv.hashing_vectors(questions, "qid", "q"))
+
+
+@query(sql.STEMMED_TERMS)
+def stemmed_terms(spark, sf_dir):
+    """Questions of words that share a stem: their terms and how often they have them."""
+    return rt.query_terms(spark.createDataFrame(sql.STEMMED, "qid long, q string"))
+
+
 # ---------------------------------------------------------------- evaluation
 
 
@@ -360,21 +363,11 @@ def sign_test(spark, sf_dir):
     return n.select("better", "worse", F.round(st.sign_test_column(F.col("better"), F.col("worse")), 9).alias("p"))
 
 
-def _bootstrap(spark, sf_dir, resamples):
-    values = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").select("lang", F.col("doc_id").alias("ord"), F.col("quality").cast("double").alias("value"))
-    return _six(ev.bootstrap_hash(values, ("lang",), resamples=resamples))
-
-
 @query(sql.BOOTSTRAP_HASH)
 def bootstrap_hash(spark, sf_dir):
-    """Bootstrap intervals with draws that any engine can repeat, of quality labels by language; 200 resamples, as in the SQL."""
-    return _bootstrap(spark, sf_dir, 200)
-
-
-@query()
-def bootstrap_hash_whole(spark, sf_dir):
-    """The same with the 10,000 resamples of the published intervals."""
-    return _bootstrap(spark, sf_dir, 10_000)
+    """Bootstrap intervals with draws that any engine can repeat, of quality labels by language; as many resamples as the published intervals have."""
+    values = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").select("lang", F.col("doc_id").alias("ord"), F.col("quality").cast("double").alias("value"))
+    return _six(ev.bootstrap_hash(values, ("lang",), resamples=st.RESAMPLES))
 
 
 @query()
@@ -401,8 +394,9 @@ def cap_selection(spark, sf_dir):
 
 @query(sql.FAILURE_SHARES)
 def failure_shares(spark, sf_dir):
-    """Shares of the first five results from documentation and from other projects, on hits and misses."""
-    shares = ev.failure_shares(stored(_lists(spark, sf_dir), "lists"), _qrels(spark, sf_dir), _questions(spark, sf_dir))
+    """Shares of the first five results from documentation (documents whose id ends in 0, 1 or 2) and from other projects, on hits and misses."""
+    lists, rels = (df.withColumn("path", F.when(F.col("path").rlike("[0-2]$"), F.concat("path", F.lit(".md"))).otherwise(F.col("path"))) for df in (stored(_lists(spark, sf_dir), "lists"), _qrels(spark, sf_dir)))
+    shares = ev.failure_shares(lists, rels, _questions(spark, sf_dir))
     return _six(ev.failure_summary(shares))
 
 

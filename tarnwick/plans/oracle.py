@@ -132,6 +132,15 @@ _IDENTIFIERS = {
 }
 IDENTIFIERS = list(_IDENTIFIERS)
 IDENTIFIER_PARTS = f"SELECT * FROM (VALUES {_values(_IDENTIFIERS.items())}) v(token, parts)"
+# Words of the published sample vocabulary of the English stemmer, with their stems.
+_STEMS = {
+    "consign": "consign consigned consigning consignment", "consist": "consist consisted consistency consistent consistently consisting consists", "consol": "consolation consolations console consoled consoles consoling consolingly consols",
+    "consolatori": "consolatory", "consolid": "consolidate consolidated consolidating", "conson": "consonant", "consort": "consort consorted consorting", "conspicu": "conspicuous conspicuously", "conspiraci": "conspiracy", "conspir": "conspirator conspirators conspire conspired conspiring",
+    "constabl": "constable constables", "constanc": "constance constancy", "constant": "constant", "knack": "knack knacks", "knackeri": "knackeries", "knag": "knag", "knave": "knave knaves", "knavish": "knavish", "knead": "kneaded kneading", "knee": "knee knees", "kneel": "kneel kneeled kneeling kneels",
+    "knell": "knell", "knelt": "knelt", "knew": "knew", "knick": "knick", "knif": "knif", "knife": "knife", "knight": "knight knightly knights", "knit": "knit knits knitted knitting", "knive": "knives", "knob": "knob knobs", "knock": "knock knocked knocking knocks", "knocker": "knocker knockers", "knot": "knot knots",
+}
+STEMMED = [(k, words) for k, words in enumerate(_STEMS.values())]
+STEMMED_TERMS = f"SELECT * FROM (VALUES {_values((k, stem, len(words.split())) for k, (stem, words) in enumerate(_STEMS.items()))}) v(qid, term, qtf)"
 # CRC-32 of the labels by hand, so that the SQL needs no such function
 SEED_LABELS = ["structural_merged/hybrid/mrr", "window/bm25/failure", ""]
 
@@ -149,18 +158,18 @@ DERIVED_SEEDS = f"SELECT * FROM (VALUES {_values((k, _seed(k)) for k in SEED_LAB
 
 # ---------------------------------------------------------------- chunks
 
-WINDOW_CHUNKS = f"""
-WITH RECURSIVE f AS (SELECT path, {_LINES} AS l FROM ({_FILES})),
-d AS (SELECT path, len(l) AS n, list_transform(l, lambda x: regexp_matches(x, '[A-Za-z0-9]')) AS w,
+# windows of 250 words (254 less the 4 of "path :: lines n-n"); a line beyond them is a window in pieces of 242 words
+_WINDOWS = f"""RECURSIVE f AS (SELECT project, path, {_LINES} AS l FROM ({_FILES})),
+d AS (SELECT project, path, len(l) AS n, list_transform(l, lambda x: regexp_matches(x, '[A-Za-z0-9]')) AS w,
         list_transform(range(1, len(l) + 1), lambda k: list_sum(list_transform(l[1:k], lambda x: len(regexp_extract_all(x, '[^ \\t\\n\\r\\f\\v]+'))))) AS c FROM f WHERE len(l) > 0),
-r AS (SELECT path, n, w, c, 0::BIGINT AS lo, greatest(0, len(list_filter(c, lambda x: x <= 250)) - 1) AS hi FROM d
+r AS (SELECT project, path, n, w, c, 0::BIGINT AS lo, greatest(0, len(list_filter(c, lambda x: x <= 250)) - 1) AS hi FROM d
   UNION ALL
-  SELECT path, n, w, c, nlo, greatest(nlo, len(list_filter(c, lambda x: x <= c[nlo] + 250)) - 1) FROM (
+  SELECT project, path, n, w, c, nlo, greatest(nlo, len(list_filter(c, lambda x: x <= c[nlo] + 250)) - 1) FROM (
     SELECT *, CASE WHEN big THEN lo + 1 ELSE greatest(hi + 1 - floor((hi - lo + 1) * 0.25)::BIGINT, lo + 1) END AS nlo FROM (
-      SELECT *, lo = hi AND c[lo + 1] - CASE WHEN lo = 0 THEN 0 ELSE c[lo] END > 250 AS big FROM r) WHERE big OR hi < n - 1) WHERE nlo < n)
-SELECT path, count(*) AS n_windows, min(lo + 1)::INT AS first, max(hi + 1)::INT AS last FROM r
-WHERE NOT (lo = hi AND c[lo + 1] - CASE WHEN lo = 0 THEN 0 ELSE c[lo] END > 250) AND list_contains(w[lo + 1:hi + 1], true) GROUP BY path
-"""
+      SELECT *, lo = hi AND c[lo + 1] - CASE WHEN lo = 0 THEN 0 ELSE c[lo] END > 250 AS big FROM r) WHERE big OR hi < n - 1) WHERE nlo < n),
+windows AS (SELECT project, path, lo, hi, CASE WHEN big > 250 THEN ceil(big / 242.0)::BIGINT WHEN list_contains(w[lo + 1:hi + 1], true) THEN 1 ELSE 0 END AS pieces
+            FROM (SELECT *, CASE WHEN lo = hi THEN c[lo + 1] - CASE WHEN lo = 0 THEN 0 ELSE c[lo] END ELSE 0 END AS big FROM r))"""
+WINDOW_CHUNKS = f"WITH {_WINDOWS} SELECT path, sum(pieces)::BIGINT AS n_windows, min(lo + 1)::INT AS first, max(hi + 1)::INT AS last FROM windows WHERE pieces > 0 GROUP BY path"
 MARKDOWN_PATH = "corpus/demo/GUIDE.md"
 MARKDOWN = "intro words\n\n# Guide\nabout it\n\n## Setup\nrun it\n```\n# not fenced off\n```\n## Use\n---\n### Flags\n-v\n\n# End\nlast\n"
 MARKDOWN_SECTIONS = f"""SELECT * FROM (VALUES {
@@ -238,7 +247,8 @@ CODE_UNITS = f"""SELECT * FROM (VALUES {
     )
 }) v(path, name, kind, start_line, end_line)"""
 CHUNK_SIZES = f"""
-WITH f AS (SELECT project, path, len({_LINES}) AS n FROM ({_FILES})), g AS (SELECT project, list_sort(list(n)) AS s, count(*) AS k, count(DISTINCT path) AS files FROM f GROUP BY project)
+WITH {_WINDOWS}, one AS (SELECT project, path, hi - lo + 1 AS n, unnest(range(pieces)) FROM windows WHERE pieces > 0),
+g AS (SELECT project, list_sort(list(n)) AS s, count(*) AS k, count(DISTINCT path) AS files FROM one GROUP BY project)
 SELECT project, k AS n_chunks, s[k // 2 + 1]::INT AS median_lines, s[least(k - 1, floor(0.95::DOUBLE * k)::BIGINT) + 1]::INT AS p95_lines, s[k]::INT AS max_lines, files FROM g
 """
 CHUNK_IDS = """
@@ -278,6 +288,22 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, before)
 SELECT qid, idx, score, rank::INT AS rank FROM r WHERE rank <= 10
 """
 
+
+
+def _overlap(text: str) -> str:
+    """The first thirty fused, by the words they share with the question."""
+    shared = f"len(list_intersect({_SPLIT.format('q')}, {_SPLIT.format(text)}))"
+    return f"(SELECT qid, idx, row_number() OVER (PARTITION BY qid ORDER BY {shared} DESC, fused.rank) AS rank FROM fused JOIN q USING (qid) JOIN files ON doc_id = idx WHERE fused.rank <= 30)"
+
+
+_PREFIXED = "project || ' :: ' || project || chr(10) || t"
+SEARCHED = f"""
+WITH {_FUSED}, {_NAMED}, capped AS (SELECT qid, idx, row_number() OVER (PARTITION BY qid ORDER BY nth > 1, rank) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, project ORDER BY rank) AS nth FROM f60)),
+found AS (SELECT 'bm25' AS strategy, qid, idx, rank FROM bm25 UNION ALL SELECT 'dense', qid, idx, rank FROM dense UNION ALL SELECT 'hybrid', qid, idx, rank FROM fused UNION ALL SELECT 'hybrid+cap', qid, idx, rank FROM capped
+  UNION ALL SELECT 'hybrid+rerank', qid, idx, rank FROM {_overlap("t")} UNION ALL SELECT 'hybrid+rerank+prefix', qid, idx, rank FROM {_overlap(_PREFIXED)})
+SELECT strategy, qid, idx, rank::INT AS rank FROM found WHERE rank <= 10
+"""
+
 # ---------------------------------------------------------------- evaluation
 
 BM25_QUALITY = f"""
@@ -307,7 +333,7 @@ SELECT b AS better, w AS worse, round({_SIGN}, 9) AS p FROM g
 """
 BOOTSTRAP_HASH = """
 WITH v AS (SELECT lang, quality::DOUBLE AS value, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM labels JOIN documents USING (doc_id)),
-p AS (SELECT lang, n, b, ((b * 7919 + pos * 104729 + b * pos * 31) % 1000003) % n AS pick FROM v, range(200) r(b)),
+p AS (SELECT lang, n, b, ((b * 7919 + pos * 104729 + b * pos * 31) % 1000003) % n AS pick FROM v, range(10000) r(b)),
 m AS (SELECT p.lang, b, avg(v.value) AS mean FROM p JOIN v ON v.lang IS NOT DISTINCT FROM p.lang AND v.pos = p.pick GROUP BY ALL)
 SELECT m.lang, round((SELECT avg(value) FROM v WHERE v.lang = m.lang), 6) AS value, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m GROUP BY m.lang
 """
@@ -321,7 +347,7 @@ SELECT nullif(cap, 0) AS per_file, half, round(mrr, 6) AS mrr, round(h, 6) AS hi
 """
 FAILURE_SHARES = f"""
 WITH {_FUSED}, {_NAMED}, {_RELS}, {_LISTS}, pr AS (SELECT DISTINCT qid, string_split(path, '/')[2] AS project FROM rels),
-t AS (SELECT key, l.qid, l.path, pr.project IS NULL AS wrong, rels.path IS NOT NULL AS hit, l.path LIKE '%.md' OR l.path LIKE '%.txt' AS doc
+t AS (SELECT key, l.qid, l.path, pr.project IS NULL AS wrong, rels.path IS NOT NULL AS hit, regexp_matches(l.path, '[0-2]$') AS doc
       FROM lists l LEFT JOIN rels ON rels.qid = l.qid AND rels.path = l.path LEFT JOIN pr ON pr.qid = l.qid AND pr.project = string_split(l.path, '/')[2] WHERE rank <= 5),
 s AS (SELECT key, qid, count(*) FILTER (doc) / 5.0::DOUBLE AS d, count(*) FILTER (wrong) / 5.0::DOUBLE AS w, bool_or(hit) AS hit FROM t GROUP BY ALL)
 SELECT key, count(*) FILTER (NOT hit) AS n_misses, count(*) FILTER (hit) AS n_hits,

@@ -119,7 +119,7 @@ def test_bootstrap_hash_with_all_resamples(spark, sf_dir):
     for r in sorted(spark.read.parquet(f"{sf_dir}/labels.parquet").collect(), key=lambda r: r["doc_id"]):
         if r["doc_id"] in lang:
             groups.setdefault(lang[r["doc_id"]], []).append(float(r["quality"]))
-    got = {r["lang"]: (r["value"], r["low"], r["high"]) for r in catalog.bootstrap_hash_whole(spark, sf_dir).collect()}
+    got = {r["lang"]: (r["value"], r["low"], r["high"]) for r in catalog.bootstrap_hash(spark, sf_dir).collect()}
     assert set(got) == set(groups)
     for k, v in groups.items():
         b, j = np.arange(10_000)[:, None], np.arange(len(v))[None, :]

@@ -187,7 +187,7 @@ def window_chunks(spark, sf_dir):
     return _windows_of(_document_chunks(spark, sf_dir, "window", "", 254))
 
 
-@query()
+@query(sql.MERGED)
 def merge_chunks(spark, sf_dir):
     """Documents as Markdown, a heading before each line, merged within the budget."""
     files = _files(spark, sf_dir).withColumn("path", F.concat("path", F.lit(".md"))).withColumn("source", F.regexp_replace("source", "(?m)^", "# part\n"))

@@ -170,6 +170,26 @@ r AS (SELECT project, path, n, w, c, 0::BIGINT AS lo, greatest(0, len(list_filte
 windows AS (SELECT project, path, lo, hi, CASE WHEN big > 250 THEN ceil(big / 242.0)::BIGINT WHEN list_contains(w[lo + 1:hi + 1], true) THEN 1 ELSE 0 END AS pieces
             FROM (SELECT *, CASE WHEN lo = hi THEN c[lo + 1] - CASE WHEN lo = 0 THEN 0 ELSE c[lo] END ELSE 0 END AS big FROM r))"""
 WINDOW_CHUNKS = f"WITH {_WINDOWS} SELECT path, sum(pieces)::BIGINT AS n_windows, min(lo + 1)::INT AS first, max(hi + 1)::INT AS last FROM windows WHERE pieces > 0 GROUP BY path"
+# Section i of a document is a heading line and its i-th line, k of them; a section of more than 248 words is a heading and pieces of 242 words.
+# Sections are packed while their 2 + c words and the 4 of path, name and lead stay within 254; 7 of these are the names where a heading of pieces joins.
+MERGED = f"""
+WITH RECURSIVE f AS (SELECT path || '.md' AS path, {_LINES} AS l FROM ({_FILES})),
+s AS (SELECT path, i, l[i] AS t, len(regexp_extract_all(l[i], '[^ \\t\\n\\r\\f\\v]+')) AS c, regexp_matches(l[i], '[A-Za-z0-9]') AS w FROM (SELECT path, l, unnest(range(1, len(l) + 1)) AS i FROM f)),
+e AS (SELECT *, w AND c > 248 AS big, 2 * i - CASE WHEN w THEN 0 ELSE 1 END AS last, CASE WHEN w THEN c ELSE 0 END AS own FROM s),
+r AS (SELECT path, i, big, CASE WHEN NOT big THEN i END AS start, 2 + c AS held, false AS joins, NULL::BIGINT AS before FROM e WHERE i = 1
+  UNION ALL
+  SELECT e.path, e.i, e.big, CASE WHEN e.big THEN NULL WHEN fits THEN q.start ELSE e.i END, CASE WHEN fits THEN q.held ELSE 0 END + 2 + e.c, e.big AND coalesce(7 + q.held + 2 <= 254, false), q.start
+  FROM (SELECT r.path, r.start, CASE WHEN r.start IS NOT NULL THEN r.held END AS held, r.i, coalesce(4 + CASE WHEN r.start IS NOT NULL THEN r.held END + 2 + n.own <= 254, false) AS fits FROM r JOIN e n ON n.path = r.path AND n.i = r.i + 1) q
+  JOIN e ON e.path = q.path AND e.i = q.i + 1),
+runs AS (SELECT r.path, r.start, max(e.last) AS last FROM r JOIN e ON e.path = r.path AND e.i = r.i WHERE r.start IS NOT NULL GROUP BY r.path, r.start),
+heads AS (SELECT r.path, r.i, r.joins, r.before, 1 + ceil(e.c / 242.0)::BIGINT AS n FROM r JOIN e ON e.path = r.path AND e.i = r.i WHERE r.big),
+spans AS (SELECT runs.path, CASE WHEN heads.i IS NULL THEN 'part' ELSE 'part | part (1/' || heads.n || ')' END AS name, 2 * start - 1 AS first, coalesce(2 * heads.i - 1, last) AS last FROM runs LEFT JOIN heads ON heads.path = runs.path AND heads.joins AND heads.before = runs.start
+  UNION ALL SELECT path, 'part (1/' || n || ')', 2 * i - 1, 2 * i - 1 FROM heads WHERE NOT joins),
+sized AS (SELECT spans.path, name, first, last, 6 + last - first + 6 * ((last + 1) // 2 - first // 2) + coalesce((SELECT sum(len(e.t)) FROM e WHERE e.path = spans.path AND 2 * e.i BETWEEN spans.first AND spans.last), 0) AS n_chars FROM spans),
+pieces AS (SELECT h.path, 'part (' || k || '/' || n || ')' AS name, 2 * h.i AS first, 2 * h.i AS last, 6 + len(array_to_string(regexp_extract_all(e.t, '[^ \\t\\n\\r\\f\\v]+')[242 * (k - 2) + 1:242 * (k - 1)], ' ')) AS n_chars
+  FROM (SELECT *, unnest(range(2, n + 1)) AS k FROM heads) h JOIN e ON e.path = h.path AND e.i = h.i)
+SELECT path || '::markdown_section::' || name || '::' || first AS chunk_id, 'markdown_section' AS kind, first::INT AS start_line, last::INT AS end_line, n_chars::INT AS n_chars FROM (SELECT * FROM sized UNION ALL SELECT * FROM pieces)
+"""
 MARKDOWN_PATH = "corpus/demo/GUIDE.md"
 MARKDOWN = "intro words\n\n# Guide\nabout it\n\n## Setup\nrun it\n```\n# not fenced off\n```\n## Use\n---\n### Flags\n-v\n\n# End\nlast\n"
 MARKDOWN_SECTIONS = f"""SELECT * FROM (VALUES {

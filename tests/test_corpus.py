@@ -1,3 +1,4 @@
+import hashlib
 import json
 import os
 
@@ -170,6 +171,14 @@ def test_embedding_key_changes(spark):
     assert len(set(keys)) == 4 and keys[0] == experiment.embedding_key(df, HashingEmbedder())
 
 
+def test_the_published_key(spark):
+    from tarnwick.functions.providers import HashingEmbedder
+
+    df = spark.createDataFrame([(k, f"p{k}", "n", "é" * k) for k in range(50)], "idx bigint, path string, name string, text string").repartition(4)
+    want = hashlib.sha256(b"hashing-64@1\n" + b"".join(f"p{k} :: n\n{'é' * k}".encode() + b"\0" for k in range(50))).hexdigest()[:16]
+    assert experiment.payload_key(df, HashingEmbedder()) == want
+
+
 def test_stream_keeps_the_newest(spark, tmp_path):
     land, store, check = (str(tmp_path / d) for d in ("land", "store", "check"))
     os.mkdir(land)

@@ -121,3 +121,50 @@ def test_the_cap_never_lowers_a_metric(spark):
     before = {r["qid"]: r for r in ev.question_metrics(fused, rels, questions).collect()}
     for r in ev.question_metrics(rt.cap(fused), rels, questions).collect():
         assert all(r[m] >= before[r["qid"]][m] - 1e-12 for m in ("hit_rate@1", "hit_rate@5", "recall@5", "mrr", "ndcg@10"))
+
+
+def test_providers_from_folders(tmp_path, monkeypatch):
+    import json
+    import pickle
+    from types import SimpleNamespace
+
+    from tokenizers import Tokenizer
+    from tokenizers.models import WordLevel
+    from tokenizers.pre_tokenizers import Whitespace
+
+    from tarnwick.functions import models
+
+    with pytest.raises(FileNotFoundError):
+        models.load_token_counter(str(tmp_path))
+    t = Tokenizer(WordLevel({"a": 0, "b": 1, "c": 2, "?": 3}, unk_token="?"))
+    t.pre_tokenizer = Whitespace()
+    t.save(str(tmp_path / "tokenizer.json"))
+    count = pickle.loads(pickle.dumps(models.load_token_counter(str(tmp_path))))
+    assert count("a b  c zebra!") == 5 and count("") == 0
+    with pytest.raises(FileNotFoundError):
+        models.load_embedder(str(tmp_path))
+    (tmp_path / "model.onnx").write_bytes(b"weights")
+    (tmp_path / "config.json").write_text(json.dumps({"max_position_embeddings": 4}))
+    with pytest.raises(ValueError):
+        models.load_embedder(str(tmp_path))
+    eye = np.eye(4)
+    fake = SimpleNamespace(get_inputs=lambda: [SimpleNamespace(name=n) for n in ("input_ids", "attention_mask")], run=lambda _, given: [eye[given["input_ids"]]])
+    monkeypatch.setattr(models, "_session", lambda folder: fake)
+    e = models.load_embedder(str(tmp_path), 4)
+    assert np.allclose(e.encode(["a a b", "c", "a b c a b"]), [[2 / 5**0.5, 1 / 5**0.5, 0, 0], [0, 0, 1, 0], [2 / 6**0.5, 1 / 6**0.5, 1 / 6**0.5, 0]]) and e.revision == pickle.loads(pickle.dumps(e)).revision
+    fake.run = lambda _, given: [given["input_ids"].sum(axis=1, keepdims=True).astype(float)]
+    r = models.load_reranker(str(tmp_path))
+    assert r.predict([("a", "b c"), ("c", "c")]).tolist() == [3.0, 4.0] and not len(r.predict([]))
+
+
+def test_fillers_of_questions_that_hit_most(spark):
+    """Of 400 chunks all but three of the last hit, at a score that is floored below zero: the list is those three, then hits."""
+    rows = [(k, "common" if k not in (390, 395, 397) else "other words") for k in range(400)]
+    index = rt.Lexical.build(spark.createDataFrame(rows, "idx bigint, text string"), stem=False).stored()
+    asked = spark.createDataFrame([(1, "common"), (2, "nothing here"), (3, "")], "qid bigint, q string")
+    got = {}
+    for r in sorted(rt.bm25_rank(index, asked, 5, stem=False).collect(), key=lambda r: (r["qid"], r["rank"])):
+        got.setdefault(r["qid"], []).append(r["idx"])
+    scores = {r["idx"]: r["score"] for r in rt.bm25_scores(index, rt.query_terms(asked, stem=False)).collect()}
+    want = sorted(range(400), key=lambda k: (-scores.get(k, 0.0), k))[:5]
+    assert got == {1: want, 2: [0, 1, 2, 3, 4], 3: [0, 1, 2, 3, 4]}

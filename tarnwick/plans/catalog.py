@@ -59,27 +59,56 @@ def _questions(spark, sf_dir):
     return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), third.alias("q"))
 
 
+_SHARED: dict[tuple, object] = {}
+
+
+def _shared(spark, sf_dir, name, make):
+    """What several queries of a session read, made and written once for each state of the tables' files."""
+    fs, at = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    stamps = []
+    for table in ("documents", "benchmark"):
+        for file in sorted(spark.read.parquet(f"{sf_dir}/{table}.parquet").inputFiles()):
+            path = fs.Path(spark._jvm.java.net.URI(file))
+            status = path.getFileSystem(at).getFileStatus(path)
+            stamps.append((file, status.getLen(), status.getModificationTime()))
+    key = (spark.sparkContext.applicationId, id(spark), name, *stamps)
+    if key not in _SHARED:
+        _SHARED[key] = make()
+    return _SHARED[key]
+
+
 def _qrels(spark, sf_dir):
+    return _shared(spark, sf_dir, "qrels", lambda: _labels(spark, sf_dir))
+
+
+def _labels(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     held = lb.containment(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), _table(spark, sf_dir, "benchmark"))
     paths = corpus.documents_as_files(docs).select("doc_id", "path")
     return stored(held.join(paths, "doc_id").select(F.col("item_id").alias("qid"), "path"), "qrels")
 
 
+def _lexical(spark, sf_dir):
+    return _shared(spark, sf_dir, "lexical", lambda: rt.Lexical.build(_chunks(spark, sf_dir), stem=False).stored())
+
+
 def _bm25(spark, sf_dir, k):
-    index = rt.Lexical.build(_chunks(spark, sf_dir), stem=False).stored()
-    return rt.bm25_rank(index, _questions(spark, sf_dir), k, stem=False, digits=6)
+    ranked = _shared(spark, sf_dir, "bm25", lambda: stored(rt.bm25_rank(_lexical(spark, sf_dir), _questions(spark, sf_dir), rt.FUSION_DEPTH, stem=False, digits=6), "bm25"))
+    return ranked.where(F.col("rank") <= k)
 
 
 def _dense(spark, sf_dir, k):
-    vectors = pv.hashing_vectors(_chunks(spark, sf_dir), "idx", "text")
-    return rt.dense_rank(vectors, pv.hashing_vectors(_questions(spark, sf_dir), "qid", "q"), k, digits=6)
+    def make():
+        vectors = pv.hashing_vectors(_chunks(spark, sf_dir), "idx", "text")
+        return stored(rt.dense_rank(vectors, pv.hashing_vectors(_questions(spark, sf_dir), "qid", "q"), rt.FUSION_DEPTH, digits=6), "dense")
+
+    return _shared(spark, sf_dir, "dense", make).where(F.col("rank") <= k)
 
 
 def _lists(spark, sf_dir):
     """(key, qid, path, rank): the first ten of every strategy that needs no model."""
     paths = _chunks(spark, sf_dir).select("idx", "path")
-    bm25, dense = _bm25(spark, sf_dir, rt.FUSION_DEPTH), stored(_dense(spark, sf_dir, rt.FUSION_DEPTH), "dense")
+    bm25, dense = _bm25(spark, sf_dir, rt.FUSION_DEPTH), _dense(spark, sf_dir, rt.FUSION_DEPTH)
     fused = stored(rt.fuse([bm25, dense], rt.CAP_DEPTH).join(paths, "idx"), "fused")
     capped = rt.cap(fused.withColumn("project", corpus.project_of(F.col("path"))), path="project", k=ev.DEPTH)
     named = {"bm25": bm25.join(paths, "idx"), "dense": dense.join(paths, "idx"), "hybrid": fused, "hybrid+cap": capped}
@@ -91,7 +120,7 @@ def _lists(spark, sf_dir):
 
 
 def _metrics(spark, sf_dir):
-    return ev.question_metrics(stored(_lists(spark, sf_dir), "lists"), _qrels(spark, sf_dir), _questions(spark, sf_dir), ("key",))
+    return _shared(spark, sf_dir, "metrics", lambda: stored(ev.question_metrics(stored(_lists(spark, sf_dir), "lists"), _qrels(spark, sf_dir), _questions(spark, sf_dir), ("key",)), "metrics"))
 
 
 def _six(df: DataFrame, *skip: str) -> DataFrame:
@@ -228,7 +257,7 @@ def chunk_id_dedupe(spark, sf_dir):
 @query(sql.BM25_TERMS)
 def bm25_terms(spark, sf_dir):
     """Weights of all terms."""
-    index = rt.Lexical.build(_chunks(spark, sf_dir), stem=False)
+    index = _lexical(spark, sf_dir)
     df = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return df.join(index.terms, "term").select("term", "df", F.round("idf", 6).alias("idf"))
 
@@ -242,7 +271,7 @@ def bm25_topk(spark, sf_dir):
 @query(sql.BM25_FILLERS)
 def bm25_fillers(spark, sf_dir):
     """A question of one rare word: chunks without it fill the list up, by position."""
-    index = rt.Lexical.build(_chunks(spark, sf_dir), stem=False).stored()
+    index = _lexical(spark, sf_dir)
     rare = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df <= 3 AND term RLIKE '^[a-z]+$'").agg(F.min("term").alias("q")).withColumn("qid", F.lit(0).cast("long"))
     return rt.bm25_rank(index, rare, 10, stem=False, digits=6).select("idx", "rank")
 
@@ -305,7 +334,7 @@ def search_strategies(spark, sf_dir):
 def search_unstemmed(spark, sf_dir):
     """All six strategies, without stems; a document's file is its project, so that the cap and the prefix have something to do."""
     chunks, questions = _chunks(spark, sf_dir).withColumn("path", F.col("name")), _questions(spark, sf_dir)
-    index = rt.Index(chunks, rt.Lexical.build(chunks, stem=False).stored(), stored(pv.hashing_vectors(chunks, "idx", "text"), "vectors"), pv.OverlapReranker(), stem=False, digits=6)
+    index = rt.Index(chunks, _lexical(spark, sf_dir), stored(pv.hashing_vectors(chunks, "idx", "text"), "vectors"), pv.OverlapReranker(), stem=False, digits=6)
     return _searched(index, questions, pv.hashing_vectors(questions, "qid", "q"))
 
 

@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -138,7 +139,8 @@ def test_long_and_deep_pages(model):
 
 
 def test_the_model_is_kept_in_the_shared_folder(spark, model, monkeypatch):
-    monkeypatch.setattr(hx, "_known_as", lambda: "of-the-test")
+    key = uuid.uuid4().hex  # the folder may outlive a run
+    monkeypatch.setattr(hx, "_known_as", lambda: key)
     monkeypatch.setattr(hx, "trained", lambda: model)
     assert hx.shared_model(spark) is model
     hx._MODELS.clear()

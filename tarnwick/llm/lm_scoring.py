@@ -10,6 +10,13 @@ document. Rows of the relations travel packed, the keys of one block and range
 as one array. As a block asks for an n-gram once, however many of its documents
 hold it, the most frequent n-gram has one entry a block.
 
+Rows must not grow as blocks times ranges. So a sender has ``FAN`` receivers at
+most; where there are more blocks, owners are reached in levels: that many
+senders' keys of one coarse range are merged, each distinct one once, and the
+merged keys are dealt over finer ranges, until a range has all its keys in one
+place. Totals come back the same way. Each level moves at most the keys of the
+level before, in at most ``FAN`` rows a sender, so rows grow with the input.
+
 A document's own counts are taken off all totals, so it is scored by what the
 other documents say; n-grams found nowhere else back off.
 """
@@ -25,10 +32,10 @@ from pyspark.sql import functions as F
 from .common import with_row_hash
 
 ORDER, ALPHA = 2, 0.4
-#: Characters of text for each block, and for each hash range.
-BLOCK_CHARS, RANGE_CHARS = 4 << 20, 4 << 20
-_ASKED = "part int, block long, keys binary, counts binary"
-_TOLD = "block long, part int, totals binary"
+#: Characters of text for each block, and the ranges its keys are cut into at most (64 keys or so each).
+BLOCK_CHARS, FAN = 4 << 20, 1 << 14
+_ASKED = "owner long, sender long, keys binary, counts binary"
+_TOLD = "sender long, owner long, totals binary"
 _SCORED = "doc_id long, n_tokens long, n_backoff long, log_score double"
 
 
@@ -78,32 +85,85 @@ def _distinct(place: np.ndarray, grams: list[np.ndarray], **more) -> tuple:
     return np.unique(np.concatenate([g[place >= k] for k, g in enumerate(grams)]), **more)
 
 
-def _ask(order: int, parts: int):
+def fanned(blocks: int, most: int = FAN) -> tuple[int, int]:
+    """(levels, fan): the fewest levels, and for them the least fan (``most`` at most, but 2 at least), with which ``fan ** levels`` reaches ``blocks``."""
+    levels, most = 1, max(most, 2)
+    while most**levels < blocks:
+        levels += 1
+    fan = max(1, round(blocks ** (1 / levels)) - 1)
+    while fan**levels < blocks:
+        fan += 1
+    return levels, fan
+
+
+def _send(keys: np.ndarray, counts: np.ndarray, sender: int, level: int, fan: int) -> pa.Table:
+    """A sender's sorted keys, cut at the ranges of the next level.
+
+    On level l a group is numbered (s, p): the blocks whose number divided by
+    ``fan ** l`` is s, and the p-th of ``fan ** l`` hash ranges. On level 0 it is a block.
+    """
+    ranges = fan ** (level + 1)
+    part = _part(keys, ranges)
+    some, at = np.unique(part, return_index=True)
+    cuts = [*at.tolist(), len(keys)]
+    base = sender // fan**level // fan * ranges
+    return pa.table(
+        {"owner": pa.array(some + base, pa.int64()), "sender": pa.array([sender] * len(some), pa.int64())}
+        # sorted keys travel as their differences
+        | {"keys": pa.array([_packed(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in zip(cuts, cuts[1:])], pa.binary()), "counts": pa.array([_packed(counts[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())}
+    )
+
+
+def _ask(order: int, fan: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         _, place, grams = block_grams(rows.column("text").to_pylist(), order)
-        keys, counts = _distinct(place, grams, return_counts=True)
-        part = _part(keys, parts)
-        some, at = np.unique(part, return_index=True)
-        cuts = [*at.tolist(), len(keys)]
-        block = key[0].as_py()
-        return pa.table(
-            {"part": pa.array(some, pa.int32()), "block": pa.array([block] * len(some), pa.int64())}
-            # sorted keys travel as their differences
-            | {"keys": pa.array([_packed(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in zip(cuts, cuts[1:])], pa.binary()), "counts": pa.array([_packed(counts[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())}
-        )
+        return _send(*_distinct(place, grams, return_counts=True), key[0].as_py(), 0, fan)
 
     return run
 
 
-def _tell(rows: pa.Table) -> pa.Table:
-    """The count table of one hash range, joined to each block's keys."""
+def _met(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """The distinct keys that a group was sent, sorted; where each sent key is among them; where each row's begin."""
     keys = [np.cumsum(_unpacked(x), dtype=np.uint64) for x in rows.column("keys").to_pylist()]
-    counts = np.concatenate([_unpacked(x) for x in rows.column("counts").to_pylist()]).astype(np.int64)
     table, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.zeros(len(table), np.int64)
-    np.add.at(total, at, counts)
-    told, cuts = total[at], np.cumsum([0, *map(len, keys)]).tolist()
-    return pa.table({"block": rows.column("block"), "part": rows.column("part"), "totals": pa.array([_packed(told[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())})
+    return table, at, np.cumsum([0, *map(len, keys)]).tolist()
+
+
+def _sums(rows: pa.Table, at: np.ndarray, size: int) -> np.ndarray:
+    total = np.zeros(size, np.int64)
+    np.add.at(total, at, np.concatenate([_unpacked(x) for x in rows.column("counts").to_pylist()]).astype(np.int64))
+    return total
+
+
+def _merge(level: int, fan: int):
+    """A group's keys, each distinct one once with its sum, sent on to finer ranges."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        table, at, _ = _met(rows)
+        return _send(table, _sums(rows, at, len(table)), key[0].as_py(), level, fan)
+
+    return run
+
+
+def _answer(rows: pa.Table, told: np.ndarray, cuts: list[int]) -> pa.Table:
+    return pa.table({"sender": rows.column("sender"), "owner": rows.column("owner"), "totals": pa.array([_packed(told[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())})
+
+
+def _tell(rows: pa.Table) -> pa.Table:
+    """The count table of one hash range, joined to each sender's keys."""
+    table, at, cuts = _met(rows)
+    return _answer(rows, _sums(rows, at, len(table))[at], cuts)
+
+
+def _totals(told: pa.Table) -> np.ndarray:
+    """What a sender was told, in the order of its keys."""
+    return np.concatenate([_unpacked(x) for x in told.sort_by("owner").column("totals").to_pylist()] or [np.empty(0, np.uint64)]).astype(np.int64)
+
+
+def _pass_on(rows: pa.Table, told: pa.Table) -> pa.Table:
+    """What a merged group was told, to each of its own senders."""
+    _, at, cuts = _met(rows)
+    return _answer(rows, _totals(told)[at], cuts)
 
 
 def _own(doc: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -116,8 +176,7 @@ def _score(order: int, alpha: float, all_tokens: int):
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
         doc, place, grams = block_grams(rows.column("text").to_pylist(), order)
         _, at = _distinct(place, grams, return_inverse=True)
-        told = told.sort_by("part")
-        totals = np.concatenate([_unpacked(x) for x in told.column("totals").to_pylist()] or [np.empty(0, np.uint64)]).astype(np.int64)
+        totals = _totals(told)
         n_docs = rows.num_rows
         n = np.bincount(doc, minlength=n_docs)
         others = np.maximum(all_tokens - n, 1).astype(float)
@@ -145,7 +204,7 @@ def _score(order: int, alpha: float, all_tokens: int):
     return run
 
 
-def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, range_chars: int = RANGE_CHARS) -> DataFrame:
+def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, most: int = FAN) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, n_backoff, log_score (the mean log score of its words).
 
     The score of a word is its relative frequency after the ``order - 1`` words
@@ -153,17 +212,23 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id
     times that after one word fewer, and so on; a word unknown elsewhere counts
     as one with ``alpha`` once more. A null or empty text has no words and a
     null score. Repeated rows are documents of their own and know each other's
-    n-grams. An empty table gives no rows; extra columns aren't read.
+    n-grams. An empty table gives no rows; extra columns aren't read. Results
+    don't depend on ``block_chars`` and ``most``, the ranges a sender deals to.
     """
     sizes = docs.select(F.length(text_col).alias("n"), F.regexp_count(text_col, F.lit(r"[^\x20\x09-\x0D]+")).alias("w")).agg(F.sum("n"), F.sum("w")).first()
     chars, tokens = (int(x or 0) for x in sizes)
-    blocks, parts = max(1, -(-chars // block_chars)), max(1, -(-chars // range_chars))
+    blocks = max(1, -(-chars // block_chars))
+    levels, fan = fanned(blocks, most)
     # both uses of the blocks must deal alike, also when a task is run again
     rows = with_row_hash(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")), "row")
     dealt = rows.select("doc_id", "text", F.pmod("row", F.lit(blocks)).alias("block"))
-    asked = dealt.groupBy("block").applyInArrow(_ask(order, parts), _ASKED)
-    told = asked.groupBy("part").applyInArrow(_tell, _TOLD)
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score(order, alpha, tokens), _SCORED)
+    asked = [dealt.groupBy("block").applyInArrow(_ask(order, fan), _ASKED)]
+    for level in range(1, levels):
+        asked.append(asked[-1].groupBy("owner").applyInArrow(_merge(level, fan), _ASKED))
+    told = asked.pop().groupBy("owner").applyInArrow(_tell, _TOLD)
+    while asked:
+        told = asked.pop().groupBy("owner").cogroup(told.groupBy("sender")).applyInArrow(_pass_on, _TOLD)
+    return dealt.groupBy("block").cogroup(told.groupBy("sender")).applyInArrow(_score(order, alpha, tokens), _SCORED)
 
 
 def op6_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -219,7 +221,7 @@ def test_scores_against_a_loop(spark, order, chars):
     texts = ["a b c a b", "a b d", "", None, "zebra", "a b c a b", "x\n\ty a", "the " * 300, "c a b c"]
     df = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate(texts)] + [(None, "a b", 0.5)], "doc_id bigint, text string, log_score double").repartition(3)
     want = brute_scores([*texts, "a b"], order)
-    got = {r["doc_id"]: r for r in lm_scoring.backoff_scores(df, order, block_chars=chars, range_chars=chars).collect()}
+    got = {r["doc_id"]: r for r in lm_scoring.backoff_scores(df, order, block_chars=chars).collect()}
     for i, w in zip([*range(len(texts)), None], want):
         r = got[i]
         assert (r["n_tokens"], r["n_backoff"]) == w[:2] and (r["log_score"] is None if w[2] is None else r["log_score"] == pytest.approx(w[2]))
@@ -233,13 +235,54 @@ def test_blocks_hold_when_rows_come_in_another_order(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     want = {i: w for i, w in enumerate(brute_scores(texts))}
     for rows in (df.repartition(7).orderBy(F.rand()), common.stored(df.repartition(5), "test-lm")):
-        for r in lm_scoring.backoff_scores(rows, block_chars=100, range_chars=100).collect():
+        for r in lm_scoring.backoff_scores(rows, block_chars=100).collect():
             assert (r["n_tokens"], r["n_backoff"]) == want[r["doc_id"]][:2] and r["log_score"] == pytest.approx(want[r["doc_id"]][2])
     held = common.stored(df.repartition(5), "test-lm")
     assert [common.is_table(x) for x in (held, held.where("doc_id > 3").select("text"), df, held.join(df, "doc_id"), held.orderBy("text"), held.groupBy("text").count())] == [True, True, False, False, False, False]
     assert sorted(common.with_row_hash(held, "_metadata").select("_metadata").distinct().count() for _ in "ab") == [200, 200]
 
 
+def test_levels():
+    assert lm_scoring.fanned(1) == (1, 1) and lm_scoring.fanned(199) == (1, 199) and lm_scoring.fanned(1 << 14) == (1, 1 << 14)
+    assert lm_scoring.fanned((1 << 14) + 1) == (2, 129) and lm_scoring.fanned(1 << 28) == (2, 1 << 14)
+    for blocks in range(1, 300):
+        for most in (2, 3, 10):
+            levels, fan = lm_scoring.fanned(blocks, most)
+            assert fan <= most and fan**levels >= blocks and (levels == 1 or most ** (levels - 1) < blocks)
+
+
+@pytest.mark.parametrize(("chars", "most"), [(300, 6), (100, 4), (200, 2)])
+def test_scores_through_levels(spark, chars, most):
+    """Blocks that reach the owners of ranges in two levels and more know the same totals; a sender deals to ``most`` owners at most."""
+    texts = [f"the w{i % 7} w{i % 11} the {'x ' * (i % 3)}u{i}" for i in range(150)]
+    df = common.stored(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "test-lm-levels")
+    blocks = -(-sum(map(len, texts)) // chars)
+    assert lm_scoring.fanned(blocks, most)[0] >= 2
+    want = brute_scores(texts, 3)
+    got = lm_scoring.backoff_scores(df, 3, block_chars=chars, most=most).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(150))
+    for r in got:
+        assert (r["n_tokens"], r["n_backoff"]) == want[r["doc_id"]][:2] and r["log_score"] == pytest.approx(want[r["doc_id"]][2])
+
+
+def test_a_sender_deals_to_few_owners():
+    keys = np.unique(np.random.default_rng(3).integers(0, 1 << 64, 5000, dtype=np.uint64))
+    met, fan = {(5, 0): [(keys, np.ones(len(keys), np.int64))]}, 10
+    for level in range(3):
+        sent = {}
+        for (group, _), given in met.items():
+            for k, n in given:
+                rows = lm_scoring._send(k, n, group, level, fan)
+                assert rows.num_rows <= fan and len(set(rows.column("owner").to_pylist())) == rows.num_rows
+                for owner in rows.group_by("owner").aggregate([]).column("owner").to_pylist():
+                    part = rows.filter(pa.compute.equal(rows.column("owner"), owner))
+                    table, at, _ = lm_scoring._met(part)
+                    sent[owner, level] = [(table, lm_scoring._sums(part, at, len(table)))]
+        met = sent
+    assert len(met) == len({owner for owner, _ in met}) <= fan**3
+    assert (np.sort(np.concatenate([k for given in met.values() for k, _ in given])) == keys).all()
+
+
 def test_packing():
     x = np.array([0, 1, 2**63, 2**64 - 1, 7], np.uint64)
     assert (lm_scoring._unpacked(lm_scoring._packed(x)) == x).all()

@@ -1,4 +1,5 @@
 import hashlib
+import heapq
 import itertools
 import math
 import re
@@ -23,9 +24,12 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 def highest_quotients(votes, seats):
     won = [0] * len(votes)
+    heap = [(-Fraction(v), j) for j, v in enumerate(votes)]  # the highest quotient first, of equal ones the first party
+    heapq.heapify(heap)
     for _ in range(seats):
-        i = max(range(len(votes)), key=lambda j: (Fraction(votes[j]) / (2 * won[j] + 1), -j))
+        i = heap[0][1]
         won[i] += 1
+        heapq.heapreplace(heap, (-Fraction(votes[i]) / (2 * won[i] + 1), i))
     return won
 
 

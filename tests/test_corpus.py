@@ -100,6 +100,16 @@ def test_questions_and_splits(spark, tmp_path):
             corpus.read_split(spark, str(tmp_path / "s.json"), q)
 
 
+def test_chart():
+    """Each configuration has a bar and an interval for both metrics, at their figures."""
+    figure = {"hit_rate@5": {"value": 0.5, "ci95": [0.25, 0.75]}, "mrr": {"value": 0.125, "ci95": [0.0, 0.25]}}
+    of = {s: {"chunking": "window", "strategy": s, "metrics": figure} for s in ("bm25", "hybrid+cap")}
+    made = report._chart(type("Results", (), {"by_key": of})())
+    assert made.count("<rect") == made.count("<line") == 4 and "hit rate@5 and MRR of every configuration" in made
+    assert made.count('width="200.0"') == made.count('width="50.0"') == 2 and made.count('x1="420.0" x2="620.0"') == 2
+    assert "hit rate@5 0.50" in made and "MRR 0.125" in made and "window / hybrid + per-file cap" in made
+
+
 def test_whole_evaluation(spark, root, tmp_path, capsys):
     g, split, out, idx, m = golden(tmp_path / "g.json"), str(tmp_path / "s.json"), tmp_path / "r", tmp_path / "i", str(tmp_path / "r" / "corpus_manifest.json")
     assert cli.main(["make-split", "--golden", g, "--out", split]) == 0

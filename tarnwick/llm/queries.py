@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, exact_dedup, html_extraction, language_id, lm_scoring, mixing, quality, secrets, simhash
+from . import bpe, embedding_dedup, exact_dedup, html_extraction, language_id, lexical_search, lm_scoring, mixing, quality, secrets, simhash
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op9_secrets": secrets.op9_secrets,
     "op10_mixing": mixing.op10_mixing,
+    "op11_lexical_search": lexical_search.op11_lexical_search,
 }
 
 ORACLE = {
@@ -23,4 +24,5 @@ ORACLE = {
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op6_lm_scoring": lm_scoring.ORACLE,
     "op9_secrets": secrets.ORACLE,
+    "op11_lexical_search": lexical_search.ORACLE,
 }

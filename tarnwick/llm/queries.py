@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, exact_dedup, html_extraction, language_id, lexical_search, lm_scoring, mixing, quality, secrets, simhash
+from . import bpe, embedding_dedup, exact_dedup, html_extraction, language_id, lexical_search, lm_scoring, mixing, quality, secrets, simhash, spelling
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secrets": secrets.op9_secrets,
     "op10_mixing": mixing.op10_mixing,
     "op11_lexical_search": lexical_search.op11_lexical_search,
+    "op12_spelling": spelling.op12_spelling,
 }
 
 ORACLE = {
@@ -25,4 +26,5 @@ ORACLE = {
     "op6_lm_scoring": lm_scoring.ORACLE,
     "op9_secrets": secrets.ORACLE,
     "op11_lexical_search": lexical_search.ORACLE,
+    "op12_spelling": spelling.ORACLE,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, exact_dedup, html_extraction, language_id, lexical_search, lm_scoring, mixing, quality, secrets, simhash, spelling
+from . import bpe, embedding_dedup, exact_dedup, html_extraction, language_id, lexical_search, lm_scoring, mixing, quality, secrets, simhash, spelling, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
     "op11_lexical_search": lexical_search.op11_lexical_search,
     "op12_spelling": spelling.op12_spelling,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 
 ORACLE = {

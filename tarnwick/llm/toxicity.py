@@ -18,11 +18,12 @@ model over these sums, fitted to the labelled documents, gives the score.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,8 @@ from .logistic import logistic
 MAX_LABELS = 50_000
 #: Terms of the lexicon, words with counts of their own, and words of windows that are kept at most; likelihood ratios from which a term, or a window's word, is taken.
 TERMS, WORDS, CONTEXT, SURE = 2048, 20_000, 1024, 12.0
-#: Log odds that a term needs, and those from which it forgives errors.
-LEAST, FIRM = 1.5, 3.0
+#: Log odds that a term needs, those from which it forgives errors, and those below which a word counts for nothing.
+LEAST, FIRM, FAINT = 1.5, 3.0, 0.5
 #: Letters of a word's beginnings that can be terms; what an error leaves of a weight; documents that a term's weight counts as beside a word's own.
 BEGIN, DECAY, STRENGTH = range(4, 9), 0.4, 2.0
 #: Words on each side of a term in its window, and how far a quotation mark may be; characters taken at a time.
@@ -45,8 +46,8 @@ WINDOW, QUOTE, STEP = 10, 40, 4 << 20
 #: Words, states and counts that a worker remembers.
 REMEMBERED = 400_000
 
+_WORD, _SPACE, _MARK = re.compile(r"[^\W\d_]+"), re.compile(r"\s"), re.compile("[\"“”„«»‹›]")
 _TOKEN = re.compile(r"[^\W\d_]+|[\"“”„«»‹›\n]")
-_SPACE = re.compile(r"\s")
 _MARKS = frozenset('"“”„«»‹›')
 # Verbs and nouns that report what others say.
 REPORTS = frozenset(
@@ -63,6 +64,31 @@ def allowed(letters: int, begin: bool = False) -> int:
     return min(1, letters // 6) if begin else 0 if letters < 4 else 1 if letters < 8 else 2
 
 
+class _Known(dict):
+    """What each word counts as, looked up in the automaton once."""
+
+    def __init__(self, find) -> None:
+        self.find = find
+
+    def __missing__(self, word: str) -> tuple[int, int, float] | None:
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[word] = found = self.find(word)
+        return found
+
+
+#: Lexicons of this process, by their terms and weights: a worker's tasks share one automaton.
+_HELD: dict[str, Lexicon] = {}
+
+
+def _lexicon(key: str, weights: dict[str, float], own: dict[str, float]) -> Lexicon:
+    if key not in _HELD:
+        while len(_HELD) > 1:
+            del _HELD[next(iter(_HELD))]
+        _HELD[key] = Lexicon(weights, own)
+    return _HELD[key]
+
+
 class Lexicon:
     """Terms with weights in a trie, and the automaton of all words near them. A term that ends in ``*`` is a word's beginning.
 
@@ -71,10 +97,12 @@ class Lexicon:
 
     def __init__(self, weights: dict[str, float], own: dict[str, float] | None = None) -> None:
         self.weights, self.own = weights, own or {}
+        self.key = hashlib.sha256(repr((sorted(weights.items()), sorted(self.own.items()))).encode()).hexdigest()
+        self.known = _Known(self._find)
         self._built = False
 
-    def __getstate__(self) -> dict:
-        return {"weights": self.weights, "own": self.own, "_built": False}
+    def __reduce__(self) -> tuple:
+        return _lexicon, (self.key, self.weights, self.own)
 
     def _allowed(self, k: int) -> int:
         term = self.terms[k]
@@ -101,7 +129,6 @@ class Lexicon:
         self._built = True
 
     def _forget(self) -> None:
-        self.known: dict[str, tuple[int, int, float] | None] = {}
         self.numbers: dict[tuple, int] = {}
         self.states: list[tuple[dict[int, int], tuple[float, int, int]]] = []
         self.steps: list[dict[str, int]] = []
@@ -109,7 +136,7 @@ class Lexicon:
 
     def _state(self, nodes: dict[int, int], held: tuple[float, int, int]) -> int:
         """The number of a state, letters that a word lacks included; ``held`` is the best beginning met so far."""
-        open_ = list(nodes)
+        open_ = [n for n, e in nodes.items() if e < self.most[n]]
         while open_:
             node = open_.pop()
             errors = nodes[node] + 1
@@ -118,7 +145,8 @@ class Lexicon:
                     nodes[child] = errors
                     open_.append(child)
         for node, errors in nodes.items():
-            held = max(held, self._match(self.begin[node], errors))
+            if self.begin[node] >= 0:
+                held = max(held, self._match(self.begin[node], errors))
         key = (tuple(sorted(nodes.items())), held)
         if key not in self.numbers:
             self.numbers[key] = len(self.states)
@@ -135,73 +163,82 @@ class Lexicon:
     def _step(self, state: int, letter: str) -> int:
         nodes, held = self.states[state]
         to: dict[int, int] = {}
-
-        def reach(node: int, errors: int) -> None:
-            if errors <= self.most[node] and errors < to.get(node, 9):
-                to[node] = errors
-
+        most, children = self.most, self.children
         for node, errors in nodes.items():
-            reach(node, errors + 1)  # a letter too many
-            for c, child in self.children[node].items():
-                reach(child, errors + (c != letter))
+            same = children[node].get(letter)
+            if same is not None and errors <= most[same] and errors < to.get(same, 9):
+                to[same] = errors
+            if (more := errors + 1) <= most[node]:
+                if more < to.get(node, 9):  # a letter too many
+                    to[node] = more
+                for child in children[node].values():  # another letter
+                    if child != same and more <= most[child] and more < to.get(child, 9):
+                        to[child] = more
         self.steps[state][letter] = number = self._state(to, held)
         return number
 
     def match(self, word: str) -> tuple[int, int, float] | None:
-        """(term, errors, weight) of the term that a word counts as; None if it is near none."""
+        """(term, errors, weight) of the term that a word counts as; None if it is near none, or counts for nothing."""
+        return self.known[word]
+
+    def _find(self, word: str) -> tuple[int, int, float] | None:
         if not self._built:
             self._build()
-        try:
-            return self.known[word]
-        except KeyError:
-            pass
-        if len(self.known) > REMEMBERED or len(self.states) > REMEMBERED:
+        if len(self.states) > REMEMBERED:
             self._forget()
         at = 0
         for letter in word:
             to = self.steps[at].get(letter)
             at = self._step(at, letter) if to is None else to
             if not self.states[at][0] and self.states[at][1][1] < 0:
-                break
+                return None
         nodes, held = self.states[at]
         weight, term, errors = max([held, *(self._match(self.whole[n], e) for n, e in nodes.items())])
-        found = None if term < 0 else (term, errors, self.own.get(word, weight))
-        self.known[word] = found
-        return found
+        weight = self.own.get(word, weight)
+        return None if term < 0 or weight < FAINT else (term, errors, weight)
 
 
-def _parts(text: str | None) -> Iterator[list[str]]:
-    """A text's tokens in lower case: runs of letters, quotation marks and line ends, those of some MB at a time."""
+def _parts(text: str | None) -> Iterator[tuple[list[str], str]]:
+    """(words in lower case, the text they stand in) of a text, some MB at a time."""
     at, text = 0, text or ""
     while at < len(text):
         gap = _SPACE.search(text, at + STEP)
         end = gap.end() if gap else len(text)
-        yield _TOKEN.findall(text[at:end].lower())
+        part = text[at:end].lower()
+        yield _WORD.findall(part), part
         at = end
 
 
-def _hits(lexicon: Lexicon, tokens: list[str]) -> list[tuple[int, int, int, float]]:
-    """(place, term, errors, weight) of the tokens near a term."""
-    return [(i, *m) for i, m in enumerate(map(lexicon.match, tokens)) if m is not None and m[2] > 0]
-
-
-def quoted(tokens: list[str], places: list[int]) -> list[bool]:
-    """Whether each place has an odd number of quotation marks before it on its line, and one close to it on each side."""
-    count = list(accumulate(tokens, lambda n, t: 0 if t == "\n" else n + (t in _MARKS), initial=0))
+def _hits(lexicon: Lexicon, words: list[str]) -> list[tuple[int, tuple[int, int, float]]]:
+    """(place, (term, errors, weight)) of the words near a term."""
+    met = list(map(lexicon.known.__getitem__, words))
+    return [(i, met[i]) for i in compress(range(len(met)), met)]
 
-    def beside(span: range) -> bool:
-        for j in span:
-            if tokens[j] == "\n":
-                return False
-            if tokens[j] in _MARKS:
-                return True
-        return False
 
-    return [count[i] % 2 == 1 and beside(range(i - 1, max(-1, i - 1 - QUOTE), -1)) and beside(range(i + 1, min(len(tokens), i + 1 + QUOTE))) for i in places]
+def quoted(text: str, places: list[int]) -> list[bool]:
+    """Whether the words at each of ``places`` have an odd number of quotation marks before them on their line, and one close to them on each side of it."""
+    if not places or not _MARK.search(text):
+        return [False] * len(places)
+    out, wanted, word, inside, opened = [False] * len(places), 0, 0, False, 0
+    waiting: list[int] = []  # places behind an opening mark
+    for token in _TOKEN.findall(text):
+        if token in _MARKS:
+            for k in waiting:
+                out[k] = word - places[k] <= QUOTE
+            waiting, inside, opened = [], not inside, word
+        elif token == "\n":
+            waiting, inside = [], False
+        else:
+            if wanted < len(places) and places[wanted] == word:
+                if inside and word - opened < QUOTE:
+                    waiting.append(wanted)
+                wanted += 1
+            word += 1
+    return out
 
 
-def _window(tokens: list[str], i: int) -> list[str]:
-    return tokens[max(0, i - WINDOW) : i] + tokens[i + 1 : i + 1 + WINDOW]
+def _window(words: list[str], i: int) -> list[str]:
+    return words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
 
 
 FEATURES = ("abuse", "crowded", "terms", "density", "quoted", "reported", "context", "length")
@@ -211,18 +248,19 @@ def features(lexicon: Lexicon, context: dict[str, float], text: str | None) -> l
     """The sums that a text is judged by; all 0 without terms, but for its length. Windows end with a step of a very long text."""
     abuse = crowded = quotes = reported = around = length = 0.0
     terms: set[int] = set()
-    for tokens in _parts(text):
-        length += len(tokens)
-        found = _hits(lexicon, tokens)
+    for words, part in _parts(text):
+        length += len(words)
+        found = _hits(lexicon, words)
         plain: list[tuple[int, float]] = []
-        for (i, term, _, weight), inside in zip(found, quoted(tokens, [f[0] for f in found]) if found else ()):
+        for (i, (term, _, weight)), inside in zip(found, quoted(part, [i for i, _ in found])):
             if inside:
                 quotes += weight
                 continue
-            window = _window(tokens, i)
+            window = _window(words, i)
             abuse += weight
-            reported += weight * any(w in REPORTS for w in window)
-            around += weight * sum(context.get(w, 0.0) for w in set(window)) / max(1, len(window))
+            if not REPORTS.isdisjoint(window):
+                reported += weight
+            around += weight * sum(map(context.get, window, repeat(0.0))) / max(1, len(window))
             terms.add(term)
             plain.append((i, weight))
         lo, total = 0, 0.0
@@ -276,13 +314,13 @@ def _tallies(of):
 
 
 def _words(text: str | None) -> set[str]:
-    words = {t for tokens in _parts(text) for t in tokens if t[0].isalpha()}
+    words = {w for found, _ in _parts(text) for w in found}
     return words | {w[:n] + "*" for w in words for n in BEGIN if n < len(w)}
 
 
 def _around(lexicon: Lexicon):
     def of(text: str | None) -> set[str]:
-        return {w for tokens in _parts(text) for i, *_ in _hits(lexicon, tokens) for w in _window(tokens, i) if w[0].isalpha()} | {""} if text else {""}
+        return {w for words, _ in _parts(text) for i, _ in _hits(lexicon, words) for w in _window(words, i)}
 
     return of
 
@@ -340,7 +378,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return max(0.0, math.log(share / max(1e-9, 1 - share)) - base)
 
     lexicon = Lexicon(lexicon.weights, {r["term"]: min(8.0, own(r)) for r in rows if r["term"] not in lexicon.weights})
-    around = tallied(_around(lexicon), "toxic-windows").where("term <> ''")
+    around = tallied(_around(lexicon), "toxic-windows")
     context = {r["term"]: max(-4.0, min(4.0, r["odds"])) for r in best(around, CONTEXT, n1, n0, both=True)}
     sums = np.array([tuple(r) for r in taught.mapInArrow(_summed(lexicon, context), ", ".join(f"{f} double" for f in (*FEATURES, "y"))).collect()])
     return Model(lexicon, context, *logistic(sums[:, :-1], sums[:, -1]))

@@ -58,15 +58,14 @@ def test_a_lexicon_forgets_and_finds_again(monkeypatch):
 
 def test_quotation_marks():
     def marked(text):
-        tokens = [t for part in tx._parts(text) for t in part]
-        at = [i for i, t in enumerate(tokens) if t == "x"]
-        return tx.quoted(tokens, at)
+        words = tx._WORD.findall(text)
+        return tx.quoted(text, [i for i, t in enumerate(words) if t == "x"])
 
     assert marked('he said "you x you" and x') == [True, False]
     assert marked("x «x» “a x b” x") == [False, True, True, False]
     assert marked('a " x\nx " b x') == [False, False, False]
     assert marked('"' + "a " * 60 + "x " + '"') == [False]
-    assert tx.quoted([], []) == []
+    assert tx.quoted("", []) == [] and marked("x y") == [False]
 
 
 def test_windows_tell_quotation_from_abuse():

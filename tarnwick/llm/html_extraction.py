@@ -22,6 +22,7 @@ import json
 import math
 import pathlib
 import random
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -488,14 +489,23 @@ _MODELS: dict[str, Extractor] = {}
 
 
 def shared_model(spark: SparkSession) -> Extractor:
-    """The trained model, kept for the process and in the shared folder: later sessions that name the same folder read it there."""
+    """The trained model, kept for the process and in the shared folder: later sessions that name the same folder read it there.
+
+    Each writer has a folder of its own, and all that were finished hold the
+    same model, so a write that was broken off, or another session's at the
+    same time, is passed over.
+    """
     if (key := _known_as()) not in _MODELS:
         path = f"{shared_folder(spark)}/html-model-{key}"
         try:
-            _MODELS[key] = _unpacked(bytes(spark.read.schema("model binary").parquet(path).first()["model"]))
-        except AnalysisException:  # there is none yet
+            found = spark.read.schema("model binary").parquet(f"{path}-*").where("model IS NOT NULL").first()
+        except AnalysisException:  # no folder yet
+            found = None
+        if found is None:
             _MODELS[key] = trained()
-            spark.createDataFrame([(bytearray(_packed(_MODELS[key])),)], "model binary").coalesce(1).write.mode("ignore").parquet(path)
+            spark.createDataFrame([(bytearray(_packed(_MODELS[key])),)], "model binary").coalesce(1).write.parquet(f"{path}-{uuid.uuid4().hex}")
+        else:
+            _MODELS[key] = _unpacked(bytes(found["model"]))
     return _MODELS[key]
 
 

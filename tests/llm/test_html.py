@@ -1,6 +1,8 @@
 import html
+import pathlib
 import random
 import re
+import shutil
 import uuid
 from collections import Counter
 
@@ -8,6 +10,7 @@ import numpy as np
 import pytest
 
 from tarnwick.llm import html_extraction as hx
+from tarnwick.llm.common import shared_folder
 from tarnwick.llm.gbdt import Boosted
 from tarnwick.llm.html_dom import parse
 
@@ -150,6 +153,25 @@ def test_the_model_is_kept_in_the_shared_folder(spark, model, monkeypatch):
     hx._MODELS.clear()
 
 
+def test_a_model_that_was_broken_off_is_trained_again(spark, model, monkeypatch):
+    """A killed session leaves a folder without rows; two sessions at once leave two models."""
+    key = uuid.uuid4().hex
+    monkeypatch.setattr(hx, "_known_as", lambda: key)
+    monkeypatch.setattr(hx, "trained", lambda: model)
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file://"))
+    for name in (f"html-model-{key}-a/_temporary/0", f"html-model-{key}-b"):
+        (folder / name).mkdir(parents=True)
+    assert hx.shared_model(spark) is model
+    hx._MODELS.clear()
+    assert hx.shared_model(spark).texts([PAGE]) == model.texts([PAGE])
+    hx._MODELS.clear()
+    kept = next(p for p in folder.glob(f"html-model-{key}-*") if (p / "_SUCCESS").exists())
+    shutil.copytree(kept, f"{kept}-again")
+    monkeypatch.setattr(hx, "trained", None)
+    assert hx.shared_model(spark).texts([PAGE]) == model.texts([PAGE])
+    hx._MODELS.clear()
+
+
 PAGE = """<html><head><title>t</title></head><body><div class="cookie-notice">We use cookies. <button>OK</button></div>
 <header class="site-header"><a href="/">Home</a></header><nav><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul></nav>
 <div class="content"><h1>The title of it</h1><p>First words of the text, and more of them follow here.</p><div class="ad">Buy this now, it is cheap.</div><p>Second words, with a <a href="/l">link</a> in them &amp; a sign.</p></div>

@@ -72,25 +72,33 @@ def sainte_lague(votes: list[Fraction | int], seats: int) -> list[int]:
     return won
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42, block: int = BLOCK, shard_words: int = SHARD_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42, block: int = BLOCK, shard_words: int = SHARD_WORDS, row_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, taken, epochs, runs.
 
     ``taken`` is epochs * size plus the words in ``runs``, an array of (start,
     length) in words of the document. A null text has size 0 and is never
     taken; a null source is a source of its own, last in rank. Repeated rows
-    are documents of their own. Blocks shrink below ``block`` words where the
-    least target is small, so every source comes within a block or so of its
-    target. An empty table gives no rows; of extra columns only those in
-    ``carry`` are read, and passed on.
+    are documents of their own. A row's place is drawn from its id and length,
+    and its number breaks ties, so the order is total, and a task that runs
+    again takes the same words; rows without an id are dealt to shards by their
+    numbers. Those are the rows' places in a written table, or ``row_col``,
+    which is then passed on. Blocks shrink below ``block`` words where the least
+    target is small, so every source comes within a block or so of its target.
+    Very long texts are counted whole. An empty table gives no rows; extra
+    columns aren't read.
     """
     spark = docs.sparkSession
+    if row_col is None:
+        keyed = with_row_id(docs.select(id_col, text_col, source_col))
+        docs = keyed.select(*(F.col("doc")[c].alias(c) for c in dict.fromkeys((id_col, text_col, source_col))), F.col("row").alias("__row"))
+    row, carry = row_col or "__row", ("row",) if row_col else ()
     sized = stored(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"),
             F.xxhash64(F.lit(seed), F.col(id_col), F.length(text_col)).alias("draw"),
-            *carry,
+            F.col(row).alias("row"),
         ),
         "mix-sizes",
     )
@@ -111,7 +119,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     dealt = (
         sized.alias("d")
         .join(F.broadcast(sources.alias("p")), F.col("d.source").eqNullSafe(F.col("p.source")))
-        .select(*(f"d.{c}" for c in ("doc_id", "source", "size", "draw", *carry)), "p.s", "p.source_size", "p.target", F.pmod(F.col("d.draw"), F.col("p.shards")).cast("int").alias("shard"))
+        .select(*(f"d.{c}" for c in ("doc_id", "source", "size", "draw", "row")), "p.s", "p.source_size", "p.target", F.pmod(F.when(F.col("d.doc_id").isNull(), F.xxhash64("d.draw", "d.row")).otherwise(F.col("d.draw")), F.col("p.shards")).cast("int").alias("shard"))
     )
     shards: dict[int, list] = {}
     for r in dealt.groupBy("s", "shard").agg(F.sum("size").alias("w")).where("w > 0").collect():
@@ -123,7 +131,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             words = min(LIMIT * w, q * b)
             takes.append((s, shard, w, words // w, words % w, b))
     quota = spark.createDataFrame(takes, "s int, shard int, w long, epochs long, part long, block long")
-    run = Window.partitionBy("s", "shard").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = Window.partitionBy("s", "shard").orderBy("draw", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = (
         dealt.join(F.broadcast(quota), ["s", "shard"], "left")
         .withColumn("hi", F.sum("size").over(run))
@@ -149,13 +157,14 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     A part holds the words of the run and the white space between them;
     ``count_col``, where there is one, counts its characters. Rows of which the
     mix takes nothing go, and so do all of those without words. Repeated rows
-    and null ids are documents of their own, a null source is a source. An
-    empty table gives no rows. No column's name can clash with the operator's.
+    and null ids are documents of their own, told apart by their places in the
+    table; a null source is a source. Very long texts are cut at words like
+    others. An empty table gives no rows. No column's name can clash with the operator's.
     """
     keyed = with_row_id(docs)  # what the mix decides for a row must find that row again
     doc = F.col("doc")
     given = keyed.select(doc[id_col].alias("doc_id"), doc[text_col].alias("text"), doc[source_col].alias("source"), "row")
-    taken = mix(given, carry=("row",), **options).where("taken > 0").select("row", "epochs", "runs")
+    taken = mix(given, row_col="row", **options).where("taken > 0").select("row", "epochs", "runs")
     whole = F.array_repeat(F.lit(None).cast("struct<start:bigint,length:bigint>"), F.col("epochs").cast("int"))
     rows = keyed.join(taken, "row").withColumn("run", F.explode(F.concat(whole, "runs")))
     text = doc[text_col]

@@ -3,14 +3,15 @@
 Two generative models of hashed n-grams (words and runs of marks, alone and in
 pairs) are counted: one over target texts, those of a bounded sample of labelled
 rows with quality 1, one over all raw texts. A document's importance weight is
-the ratio of its likelihoods under the two, brought to one length: the mean log
-ratio of its n-grams times ``SHARPNESS``, the ratio that a text of so many
-n-grams like its own would have. Without that the length of a text outweighs
-what it says: the plain ratio kept 17 of 304 bad documents and lost 27 of 1,741
-good ones of held-out labels on sf0.1, the mean 4 and 3, with 30, 100 and 300
-n-grams alike. Pairs of equal words share a bucket, as a repeated word is one
-thing to both models whatever the word; without it, 7 and 10. Resampling without replacement keeps the
-k largest sums of log weight and Gumbel noise. k follows from the share of
+the ratio of its likelihoods under the two. Over a whole text that ratio says
+more of its length than of what it is, so it is tempered: the log weight is the
+mean log ratio of the n-grams times a factor, fitted to the labelled sample. With
+one factor b the weights are calibrated if the log odds of quality 1 rise by b
+for each unit of the mean, so b is the slope of a logistic model. Each labelled
+text is measured with target counts of the other half of the sample, so none is
+measured by itself. Pairs of equal words share a bucket, as a repeated word is
+one thing to both models whatever the word. Resampling without replacement keeps
+the k largest sums of log weight and Gumbel noise. k follows from the share of
 quality 1 among the labelled sample, unless it is given.
 
 The k-th largest sum is found exactly by four rounds of 65,536 counts on the
@@ -29,10 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
+from .logistic import logistic
 
 #: Buckets for words, and as many for pairs; labelled rows that are read at most (those with the smallest hashes).
 BUCKETS, MAX_LABELS = 1 << 16, 50_000
-#: Counts added to each bucket of both models, in proportion to the raw model; n-grams to whose number a text's ratio is brought.
+#: Counts added to each bucket of both models, in proportion to the raw model; the factor of the mean where no label is 0, or none is 1, so that none can be fitted.
 PRIOR, SHARPNESS = 1 << 14, 100.0
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Tokens a worker remembers; tokens of a text it holds at a time.
@@ -60,20 +62,24 @@ def features(text: str, hashes: dict) -> Iterator[np.ndarray]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    raw, target, hashes = np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64), _Hashes()
+    """(bucket, raw, target0, target1): n-grams of all texts, and of good ones by half of the sample."""
+    raw, hashes = np.zeros(2 * BUCKETS, np.int64), _Hashes()
+    target = np.zeros((2, 2 * BUCKETS), np.int64)
     for batch in batches:
-        for text, good in zip(*batch.columns):
+        for text, good, half in zip(*batch.columns):
+            own = target[half.as_py()] if good.as_py() == 1 else None
             for f in features(text.as_py() or "", hashes):
-                n = np.bincount(f, minlength=2 * BUCKETS) if len(f) > BUCKETS else None
-                if n is None:
-                    np.add.at(raw, f, 1)
-                    if good.as_py() == 1:
-                        np.add.at(target, f, 1)
-                else:
+                if len(f) > BUCKETS:
+                    n = np.bincount(f, minlength=2 * BUCKETS)
                     raw += n
-                    target += n * (good.as_py() == 1)
+                    if own is not None:
+                        own += n
+                else:
+                    np.add.at(raw, f, 1)
+                    if own is not None:
+                        np.add.at(own, f, 1)
     some = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
+    yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(x[some]) for x in (raw, *target))], names=["bucket", "raw", "target0", "target1"])
 
 
 def ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -101,15 +107,22 @@ def sortable(x: np.ndarray) -> np.ndarray:
     return np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
 
 
+def _log_ratio(text: str | None, table: np.ndarray, hashes: dict) -> tuple[int, float]:
+    """A text's number of n-grams and the sum of their log ratios."""
+    n, total = 0, 0.0
+    for f in features(text or "", hashes):
+        n += len(f)
+        total += table[f].sum(dtype=np.float64)
+    return n, total
+
+
 def _scores(table: np.ndarray, seed: int, sharpness: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
             n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             for k, text in enumerate(batch.column(1)):
-                for f in features(text.as_py() or "", hashes):
-                    n[k] += len(f)
-                    total[k] += table[f].sum(dtype=np.float64)
+                n[k], total[k] = _log_ratio(text.as_py(), table, hashes)
             weight = total if sharpness is None else sharpness * total / np.maximum(n, 1)
             ids = batch.column(0).fill_null(-1).to_numpy()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(weight), pa.array(sortable(weight + gumbel(ids, seed)))], names=["doc_id", "n_grams", "log_weight", "key"])
@@ -117,6 +130,28 @@ def _scores(table: np.ndarray, seed: int, sharpness: float | None):
     return run
 
 
+def _means(tables: list[np.ndarray]):
+    """(id, quality, mean): mean log ratios of labelled texts, each by the table of its half."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            sums = [_log_ratio(text.as_py(), tables[half.as_py()], hashes) for text, half in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([total / max(1, n) for n, total in sums], pa.float64())], names=["id", "quality", "mean"])
+
+    return run
+
+
+def fitted(labelled: DataFrame, raw: np.ndarray, targets: np.ndarray) -> float:
+    """The factor of the mean log ratio that calibrates the weights: a logistic slope, 0 at least. ``labelled`` (id, quality, text, half) has some row for each id."""
+    tables = [ratios(raw, targets[1]), ratios(raw, targets[0])]
+    means = labelled.mapInArrow(_means(tables), "id long, quality int, mean double").groupBy("id").agg(F.max("quality").alias("quality"), F.avg("mean").alias("mean"))
+    rows = np.array([(r["mean"], r["quality"] == 1) for r in means.collect()], float).reshape(-1, 2)
+    if len(set(rows[:, 1])) < 2:
+        return SHARPNESS
+    return max(0.0, float(logistic(rows[:, :1], rows[:, 1])[1][0]))
+
+
 def kth_largest(scores: DataFrame, k: int) -> int:
     """The k-th largest ``key``, by its 16-bit digits from the first."""
     at = 0
@@ -132,28 +167,32 @@ def kth_largest(scores: DataFrame, k: int) -> int:
     return at
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", max_labels: int = MAX_LABELS, seed: int = 5, sharpness: float | None = SHARPNESS) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", max_labels: int = MAX_LABELS, seed: int = 5, sharpness: float | str | None = "fitted") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_grams, log_weight, key, kept.
 
     ``labels`` (doc_id, quality): of more than ``max_labels`` rows those with
     the smallest hashes of their ids are read; an id with several labels counts
     as good if one of them is 1. Without labels, or without good ones, all
     weights are 0 and all is kept (or k rows by noise alone). A null or empty
-    text has weight 0. ``sharpness`` None gives the plain ratio, of the whole
-    text. Rows whose sums are equal, as repeated rows' are, stand
+    text has weight 0, very long ones are read whole. ``sharpness`` is the
+    factor of the mean log ratio, fitted unless a number is given; None gives
+    the plain ratio, of the whole text. Rows whose sums are equal, as repeated rows' are, stand
     or fall together, so a few more than k may stay. An empty table gives no
     rows; extra columns aren't read.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
-    sample = stored(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels), "quality-labels")
+    sample = stored(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2)).cast("int")), "quality-labels")
     good, n_labels = (x or 0 for x in sample.agg(F.sum((F.col("quality") == 1).cast("long")), F.count(F.lit(1))).first())
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    raw, target = np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
+    raw, targets = np.zeros(2 * BUCKETS, np.int64), np.zeros((2, 2 * BUCKETS), np.int64)
     if good:
-        counts = texts.join(F.broadcast(sample), "doc_id", "left").select("text", "quality").mapInArrow(_counts, "bucket long, raw long, target long")
-        for r in counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
-            raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
-    scores = stored(texts.mapInArrow(_scores(ratios(raw, target), seed, sharpness), "doc_id long, n_grams long, log_weight double, key long"), "quality-scores")
+        counts = texts.join(F.broadcast(sample), "doc_id", "left").select("text", "quality", "half").mapInArrow(_counts, "bucket long, raw long, target0 long, target1 long")
+        for r in counts.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("raw", "target0", "target1"))).collect():
+            raw[r["bucket"]], targets[0, r["bucket"]], targets[1, r["bucket"]] = r["raw"], r["target0"], r["target1"]
+    if sharpness == "fitted":
+        labelled = texts.join(F.broadcast(sample), "doc_id").select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("quality"), "text", "half")
+        sharpness = fitted(labelled, raw, targets) if good else SHARPNESS
+    scores = stored(texts.mapInArrow(_scores(ratios(raw, targets.sum(axis=0)), seed, sharpness), "doc_id long, n_grams long, log_weight double, key long"), "quality-scores")
     n = scores.count()
     if k is None:
         k = round(n * good / n_labels) if good else n

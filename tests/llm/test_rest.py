@@ -116,6 +116,26 @@ def test_mix_row_by_row(spark, options):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("partitions", ["1", "13"])
+def test_mix_orders_rows_without_ids_by_number(spark, partitions):
+    """Rows that tie in id and length are dealt to all shards, and taken alike however they are shuffled."""
+    rows = [(None, f"w{i % 10} " + "x " * 9, "a", i) for i in range(4000)] + [(5, f"v{i % 10} y", "b", 4000 + i) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, row bigint")
+
+    def decided(given):
+        return sorted((r["row"], r["taken"], r["epochs"], [tuple(x) for x in r["runs"]]) for r in mixing.mix(given, row_col="row", shard_words=4000).collect())
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    want = decided(df.coalesce(1))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        assert decided(df.orderBy(F.desc("row")).repartition(11)) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    shares = {len(r[3]) for r in want if r[0] < 4000}
+    assert len(want) == 4300 and len(shares) > 1  # a run begins and ends in each of ten shards
+
+
 def test_mix_of_nothing(spark):
     assert mixed(spark, []).count() == 0
     assert [r["taken"] for r in mixed(spark, [(1, None, None), (2, "", "a")]).collect()] == [0, 0]
@@ -370,6 +390,40 @@ def test_resampling_against_a_loop(spark, sharpness):
     assert {i for i in got if got[i]["kept"]} == set(sorted(sums, key=lambda i: -sums[i])[:k])
 
 
+def test_the_fitted_factor_is_a_logistic_slope(spark):
+    """Labelled texts measured with the other half's counts, by dictionaries; the slope by bisection of its equations."""
+    rng, n = np.random.default_rng(8), quality.BUCKETS
+    texts = [" ".join(rng.choice(["sun", "rain", "mill", "buy", "win"], 12, p=[0.3, 0.3, 0.2, 0.1, 0.1] if i % 3 else [0.1, 0.2, 0.1, 0.3, 0.3])) for i in range(90)]
+    labels = {i: int(i % 3 > 0) for i in range(80)}
+    df, given = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), spark.createDataFrame(list(labels.items()), "doc_id bigint, quality int")
+    halves = {r["doc_id"]: r["h"] for r in given.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).alias("h")).collect()}
+    raw, targets = np.zeros(2 * n, np.int64), np.zeros((2, 2 * n), np.int64)
+    held = {i: np.concatenate(list(quality.features(t, quality._Hashes()))) for i, t in enumerate(texts)}
+    for i, f in held.items():
+        np.add.at(raw, f, 1)
+        if labels.get(i):
+            np.add.at(targets[halves[i]], f, 1)
+    x = np.array([quality.ratios(raw, targets[1 - halves[i]])[held[i]].mean(dtype=np.float64) for i in labels])
+    y = np.array([labels[i] for i in labels], float)
+    z = (x - x.mean()) / x.std()
+
+    def bias_of(w):  # the bias at which the sum of probabilities is that of labels
+        lo, hi = -50.0, 50.0
+        for _ in range(200):
+            lo, hi = ((lo + hi) / 2, hi) if (1 / (1 + np.exp(-(z * w + (lo + hi) / 2)))).sum() < y.sum() else (lo, (lo + hi) / 2)
+        return lo
+
+    lo, hi = 0.0, 100.0
+    for _ in range(200):
+        w = (lo + hi) / 2
+        rest = (z * (y - 1 / (1 + np.exp(-(z * w + bias_of(w)))))).sum() - w
+        lo, hi = (w, hi) if rest > 0 else (lo, w)
+    got = {r["doc_id"]: r["log_weight"] for r in quality.resample(df, given).collect()}
+    plain = quality.ratios(raw, targets.sum(axis=0))
+    for i in (0, 1, 85):
+        assert got[i] == pytest.approx(lo / x.std() * plain[held[i]].mean(dtype=np.float64), rel=1e-3)
+
+
 def test_quality_on_held_out_labels(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     seen = labels.where("doc_id % 2 = 0")

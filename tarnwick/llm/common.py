@@ -66,27 +66,23 @@ def forest(ids: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 HOT_NODES = 2000
 
 
-def join_unique(left: DataFrame, right: DataFrame, key: str, unique: str) -> DataFrame:
-    """``left`` with the row of ``right``, if there is one, whose ``unique`` is its ``key``.
+def join_unique(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", hot: DataFrame | None = None) -> DataFrame:
+    """``left`` joined with the row of ``right``, where there is at most one, that has its key ``on``.
 
     Keys with more than one in ``HOT_NODES`` of the rows, of which there can't
     be more than that, meet their rows of ``right`` by broadcast, so no task
-    gets a hot key; the others meet by a shuffle. Rows with a null key stay.
-    ``left`` is read twice more, so it should be a written table.
+    gets a hot key; the others meet by a shuffle. Unless the ``hot`` keys are
+    given, rows of ``left`` are counted by key, so it should be a written table.
     """
-    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    total = left.count()
-    hot = counts.where((F.col("__n") > max(1, total // HOT_NODES)) & F.col(key).isNotNull()).select(F.col(key).alias("__hot"))
-    keys = [r[0] for r in hot.collect()]
-    if not keys:
-        return left.join(right, left[key] == right[unique], "left")
-    named = right.sparkSession.createDataFrame([(k,) for k in keys], hot.schema)
-    own = stored(right.join(F.broadcast(named), right[unique] == named["__hot"], "left_semi"), "hot-keys")
-    is_hot = F.coalesce(F.col("__hot").isNotNull(), F.lit(False))
-    marked = left.join(F.broadcast(named), left[key] == named["__hot"], "left").withColumn("__is_hot", is_hot).drop("__hot")
-    some = marked.where("__is_hot").drop("__is_hot")
-    rest = marked.where(~F.col("__is_hot")).drop("__is_hot")
-    return some.join(F.broadcast(own), some[key] == own[unique], "left").unionByName(rest.join(right, rest[key] == right[unique], "left"))
+    if hot is None:
+        total = left.count()
+        hot = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max(1, total // HOT_NODES)).select(*on)
+    hot = stored(hot, "hot-keys")
+    if not hot.limit(1).count():
+        return left.join(right, on, how)
+    keys = F.broadcast(hot)
+    own = F.broadcast(right.join(keys, on, "left_semi"))
+    return left.join(keys, on, "left_semi").join(own, on, how).unionByName(left.join(keys, on, "left_anti").join(right, on, how))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

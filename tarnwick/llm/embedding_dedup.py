@@ -7,8 +7,9 @@ verified in any pass is united. Each row has its own number of passes. A few
 passes show how many first bits of its signature must agree before no more rows
 than its window share them; from these and the widest angle at which its cell
 may link follows how often a pair is missed in a pass, however vectors cluster.
-A row for which comparing it with all of its label costs less than its passes
-(all rows of small labels, rows of dense topics) is compared with all of them.
+Two kinds of rows are compared with all of their label instead: those of labels
+that one window holds whole, and those of topics so dense that they need more
+than ``PASSES`` passes and these would cost more.
 
 Dense groups link in numbers that grow with the square of their size, so links
 are counted and never listed. Before the passes vectors are gathered in cells: a
@@ -32,10 +33,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forest, small_enough, stored, unite
+from .common import HOT_NODES, components, forest, join_unique, small_enough, stored, unite
 
 THRESHOLD = 0.93
 #: Rows in a tile (a window is the tile and those beside it), and the chance to find a pair at the widest angle that sets the number of passes.
@@ -44,8 +45,8 @@ TILE, RECALL = 64, 0.9999
 ROUNDS, RECENT = 3, 48
 #: Rows of a task of a pass; members of a cell in a block, and rows of a block compared at a time.
 TASK_ROWS, BLOCK, SLICE = 20_000, 1024, 256
-#: Passes that show the crowding, comparisons that cost as much as a row in a pass, and rows in a block of those compared with all.
-PROBES, WORTH, SPAN = 8, 1024, 4096
+#: Passes that show the crowding, comparisons that cost as much as a row in a pass, passes that no row is spared, and rows in a block of those compared with all.
+PROBES, WORTH, PASSES, SPAN = 8, 1024, 64, 4096
 #: Blocks that a set is cut into before its blocks grow beyond a tile.
 SHARES = 16
 #: Vectors from which a cell is one unit when links are counted.
@@ -99,23 +100,53 @@ def _ordered(leaders: DataFrame, passes: list[int] | None, seed: int, rows: int)
     return signed.repartitionByRange(max(1, rows // TASK_ROWS), "pass", "grp", "sig", "lead").sortWithinPartitions("pass", "grp", "sig", "lead").select("pass", "grp", "lead", "r", "vec")
 
 
-def passes_needed(leaders: DataFrame, threshold: float, window: int, recall: float, seed: int) -> DataFrame:
-    """(lead, upto): passes after which a leader met each that its cell may link with, with a chance of ``recall``.
+def _bits(x: np.ndarray) -> np.ndarray:
+    """Bits of 64-bit numbers up to the highest that is set."""
+    high = x >> np.uint64(32)
+    return np.frexp(np.where(high > 0, high, x & np.uint64(0xFFFFFFFF)).astype(float))[1] + 32 * (high > 0)
+
+
+def _missed(window: int):
+    """(lead, missed): the log of the chance that a pass misses a row's link at its widest angle; rows come sorted by pass, group and signature.
 
     A row's window holds all rows that share its first d bits, d being one more
     than it shares with the nearer of the rows ``window`` before and after it.
+    Where a task's range cuts the order, the other side stands for both; where
+    that is cut too, the farthest row that the task holds, which shares no fewer bits.
     """
-    probed = leaders.withColumn("upto", F.lit(PROBES)).select("lead", "grp", "dim", "angle", "vec", "upto")
-    rows = probed.mapInArrow(_signatures(list(range(PROBES)), seed, bare=True), "pass int, sig long, lead long, grp string, dim int, angle double")
-    order = Window.partitionBy("pass", "grp").orderBy("sig", "lead")
 
-    def depth(other):
-        apart = F.col("sig").bitwiseXOR(other)
-        return F.when(other.isNull(), 0).when(apart == 0, 64).otherwise(65 - F.length(F.bin(apart)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).combine_chunks()
+        keys = list(zip(*(rows.column(k).to_pylist() for k in range(2))))
+        sig, angle = rows.column(2).to_numpy().view(np.uint64), rows.column(4).to_numpy()
+        depth = np.zeros(len(sig))
+        runs = _runs(keys)
+        for lo, hi in runs:
+            own, at = sig[lo:hi], np.arange(hi - lo)
+            sides = []
+            for other in (at - window, at + window):
+                clipped = np.clip(other, 0, hi - lo - 1)
+                sides.append((clipped == other, np.minimum(65 - _bits(own ^ own[clipped]), 64), clipped != at))
+            known = [np.where(inside, depth_of, 0) for inside, depth_of, _ in sides]
+            far = [np.where(apart & end, depth_of, 0) for (_, depth_of, apart), end in zip(sides, (lo == 0, hi == len(sig)))]
+            neither = ~sides[0][0] & ~sides[1][0]
+            depth[lo:hi] = np.where(neither, np.maximum(*far), np.maximum(*known))
+        missed = np.log(np.maximum(1 - (1 - angle / math.pi) ** depth, 1e-12))
+        yield pa.RecordBatch.from_arrays([rows.column(3).combine_chunks(), pa.array(missed)], names=["lead", "missed"])
+
+    return run
+
 
-    depths = rows.withColumn("before", F.lag("sig", window).over(order)).withColumn("after", F.lead("sig", window).over(order)).withColumn("d", F.greatest(depth(F.col("before")), depth(F.col("after"))))
-    missed = F.log(F.greatest(1 - F.pow(1 - F.col("angle") / math.pi, F.col("d")), F.lit(1e-12)))
-    return depths.groupBy("lead").agg(F.greatest(F.lit(1), F.ceil(F.least(F.lit(1e9), PROBES * math.log(1 - recall) / F.least(F.sum(missed), F.lit(-1e-9))))).cast("int").alias("upto"))
+def passes_needed(leaders: DataFrame, threshold: float, window: int, recall: float, seed: int, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(lead, upto): passes after which a leader met each that its cell may link with, with a chance of ``recall``. The order of a pass is cut into ranges, whatever its groups."""
+    probed = stored(leaders.withColumn("upto", F.lit(PROBES)).select("lead", "grp", "dim", "angle", "vec", "upto").mapInArrow(_signatures(list(range(PROBES)), seed, bare=True), "pass int, sig long, lead long, grp string, dim int, angle double"), "vec-probes")
+    ranges = max(1, probed.count() // task_rows)
+    order = probed.repartitionByRange(ranges, "pass", "grp", "sig", "lead").sortWithinPartitions("pass", "grp", "sig", "lead").select("pass", "grp", "sig", "lead", "angle")
+    missed = order.mapInArrow(_missed(window), "lead long, missed double")
+    return missed.groupBy("lead").agg(F.greatest(F.lit(1), F.ceil(F.least(F.lit(1e9), PROBES * math.log(1 - recall) / F.least(F.sum("missed"), F.lit(-1e-9))))).cast("int").alias("upto"))
 
 
 def _gather(limit: float):
@@ -342,8 +373,9 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     # passes over leaders
     group = leaders.groupBy("grp").agg(F.count(F.lit(1)).alias("all"), F.max("r").alias("most"))
     leaders = leaders.join(group, "grp").withColumn("angle", F.least(math.acos(threshold) + F.col("r") + F.col("most"), F.lit(math.pi)))
-    needed = passes_needed(leaders.where(F.col("all") > worth + 3 * tile), threshold, tile, recall, seed)
-    leaders = leaders.join(needed, "lead", "left").withColumn("upto", F.coalesce("upto", F.lit(1))).withColumn("crowded", F.col("upto").cast("long") * (worth + 3 * tile) >= F.col("all"))
+    needed = passes_needed(leaders.where(F.col("all") > 3 * tile), threshold, tile, recall, seed)
+    dense = (F.col("upto") > PASSES) & (F.col("upto").cast("long") * (worth + 3 * tile) >= F.col("all"))
+    leaders = leaders.join(needed, "lead", "left").withColumn("upto", F.coalesce("upto", F.lit(1))).withColumn("crowded", (F.col("all") <= 3 * tile) | dense)
     leaders = stored(leaders.select("lead", "grp", "dim", "r", "vec", "upto", "crowded"), "vec-passes")
     spread = leaders.where("not crowded")
     copies = spread.agg(F.sum(F.col("upto").cast("long"))).first()[0] or 0
@@ -389,7 +421,8 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     partial = some.groupBy("cls").agg(F.sum("links").alias("more"))
     of_class = held.select("cls", "unit").join(of_unit, "unit").join(partial, "cls", "left").select("cls", (F.col("links") + F.coalesce("more", F.lit(0))).alias("n_links"), "component_id")
     keyed = classes.select("cls", "grp", "vec").join(of_class, "cls")
-    linked = usable.select("id", "grp", "vec").join(keyed, ["grp", "vec"]).select("id", "n_links", "component_id")
+    copied = classes.where(F.col("n") > max(1, usable.count() // HOT_NODES)).select("grp", "vec")
+    linked = join_unique(usable.select("id", "grp", "vec"), keyed.drop("cls"), ["grp", "vec"], "inner", copied).select("id", "n_links", "component_id")
     alone = rows.where("not good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.union(alone).select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 

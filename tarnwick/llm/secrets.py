@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_path, small_enough, stored
+from .common import join_unique, shared_path, small_enough, stored
 
 
 def _any_case(word: str) -> str:
@@ -154,7 +154,7 @@ def secret_digests(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[R
 
     digests = by_blob.select("sha", *(number(r.kind) for r in BASE), F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("all")).alias("spans"))
     none = F.lit(0).cast("long")
-    return at.join(digests, "sha", "left").select(
+    return join_unique(at, digests, ["sha"]).select(
         "doc_id", *(F.coalesce(f"n_{r.kind}", none).alias(f"n_{r.kind}") for r in BASE), F.coalesce("base_sha256", F.sha2(F.lit(""), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans")
     )
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, small_enough, stored, unite
+from .common import components, join_unique, small_enough, stored, unite
 
 SEED, SHINGLE, BITS = 42, 3, 3
 #: Rows of a cell before it is dealt again; rows a worker compares at a time.
@@ -214,7 +214,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prints = stored(hashed.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
     roots = components(simhash_links(prints.where("rep is not null"), bits, tile))
     named = prints.join(roots, prints["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return hashed.join(named, "fp").select(
+    return join_unique(hashed, named, ["fp"], "inner").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",

@@ -125,7 +125,7 @@ def roots(links: DataFrame) -> DataFrame:
     """
     now = stored(links.select("word", "to"), "spelling-links")
     while True:
-        step = join_unique(now, now.select(F.col("word").alias("__at"), F.col("to").alias("__to")), "to", "__at")
+        step = join_unique(now.select("word", "to"), now.select(F.col("word").alias("to"), F.col("to").alias("__to")), ["to"])
         now = stored(step.select("word", F.coalesce("__to", "to").alias("to"), F.col("__to").isNotNull().alias("moved")), "spelling-roots")
         if not now.where("moved").limit(1).count():
             return now.select("word", F.col("to").alias("root"))

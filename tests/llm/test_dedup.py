@@ -293,6 +293,41 @@ def test_embeddings_of_a_dense_topic(spark, monkeypatch):
         assert [got[i] for i in range(len(x))] == want.tolist(), options
 
 
+def test_passes_find_planted_pairs_in_a_large_label(spark, monkeypatch):
+    """20,000 vectors of one label, pairs at cosine 0.93 to 0.99 among them: all go through the passes, and the pairs that are found are counted."""
+    rng, n, pairs = np.random.default_rng(12), 20_000, 500
+    x = rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cos = np.linspace(0.9305, 0.99, pairs)
+    away = rng.standard_normal((pairs, 64))
+    away -= (away * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    x[n - pairs :] = cos[:, None] * x[:pairs] + np.sqrt(1 - cos**2)[:, None] * away
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int").repartition(8)
+    whole, seen = embedding_dedup._with_all, []
+
+    def watched(leaders, *more):
+        seen.append(tuple(leaders.agg(F.count_if("crowded"), F.max("upto"), F.count(F.lit(1))).first()))
+        return whole(leaders, *more)
+
+    monkeypatch.setattr(embedding_dedup, "_with_all", watched)
+    got = {r["vec_id"]: r["component_id"] for r in embedding_dedup.embedding_dedup(df).where("n_links > 0").collect()}
+    found = sum(got.get(n - pairs + k) == k for k in range(pairs))
+    crowded, most, leaders = seen[0]
+    print(f"{found} of {pairs} pairs, {leaders} leaders, {crowded} compared with all, {most} passes at most")
+    assert crowded <= leaders // 100 and leaders > 19_000
+    assert found >= 0.9 * pairs and len(got) == 2 * found
+
+
+def test_labels_of_more_than_a_window_go_through_passes(spark):
+    d = spark.createDataFrame([(i, np.random.default_rng(i).standard_normal(16).tolist(), i % 2 if i < 400 else 2) for i in range(420)], "vec_id bigint, embedding array<double>, label int")
+    rows = d.select(F.col("vec_id").alias("lead"), F.col("label").cast("string").alias("grp"), F.lit(16).alias("dim"), F.lit(0.4).alias("angle"), F.col("embedding").alias("vec"))
+    needed = {r["lead"]: r["upto"] for r in embedding_dedup.passes_needed(rows, 0.93, 64, 0.999, 1).collect()}
+    cut = {r["lead"]: r["upto"] for r in embedding_dedup.passes_needed(rows, 0.93, 64, 0.999, 1, task_rows=150).collect()}
+    assert len(needed) == len(cut) == 420 and all(needed[i] == 1 for i in range(400, 420))
+    assert min(cut.values()) >= 1 and sum(needed[i] for i in range(400)) <= 1.3 * sum(cut[i] for i in range(400))  # what a cut hides is not taken for less
+
+
 @pytest.mark.parametrize("options", [{"worth": -190, "recall": 0.9}, {}])
 def test_embeddings_of_a_shell(spark, monkeypatch, options):
     """All pairs link, none shares a cell, and the group is cut over ten tasks: every link is counted, and rows that are handed on grow with the vectors."""

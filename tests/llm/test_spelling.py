@@ -89,9 +89,11 @@ def test_roots(spark, monkeypatch, hot):
 
 def test_join_unique(spark):
     left = spark.createDataFrame([(k, 1 if k < 900 else k % 7 if k % 5 else None) for k in range(1000)], "id int, key int")
-    right = spark.createDataFrame([(k, f"r{k}") for k in range(5)], "u int, r string")
-    got = {(r["id"], r["r"]) for r in common.join_unique(left, right, "key", "u").collect()}
+    right = spark.createDataFrame([(k, f"r{k}") for k in range(5)], "key int, r string")
+    got = {(r["id"], r["r"]) for r in common.join_unique(left, right, ["key"]).collect()}
     assert got == {(r["id"], f"r{r['key']}" if r["key"] is not None and r["key"] < 5 else None) for r in left.collect()}
+    inner = common.join_unique(left, right, ["key"], "inner", left.where("key = 1").select("key").limit(1))
+    assert {(r["id"], r["r"]) for r in inner.collect()} == {x for x in got if x[1]} and inner.count() == len([x for x in got if x[1]])
 
 
 def test_variants_empty(spark):

@@ -36,6 +36,8 @@ from .logistic import logistic
 BUCKETS, MAX_LABELS = 1 << 16, 50_000
 #: Counts added to each bucket of both models, in proportion to the raw model; the factor of the mean where no label is 0, or none is 1, so that none can be fitted.
 PRIOR, SHARPNESS = 1 << 14, 100.0
+#: Pull of the factor to zero: none to speak of, but an end to it where the labels part without error.
+FLAT = 1e-6
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Tokens a worker remembers; tokens of a text it holds at a time.
 _REMEMBERED, _STEP = 300_000, 1 << 18
@@ -149,7 +151,7 @@ def fitted(labelled: DataFrame, raw: np.ndarray, targets: np.ndarray) -> float:
     rows = np.array([(r["mean"], r["quality"] == 1) for r in means.collect()], float).reshape(-1, 2)
     if len(set(rows[:, 1])) < 2:
         return SHARPNESS
-    return max(0.0, float(logistic(rows[:, :1], rows[:, 1])[1][0]))
+    return max(0.0, float(logistic(rows[:, :1], rows[:, 1], FLAT)[1][0]))
 
 
 def kth_largest(scores: DataFrame, k: int) -> int:

@@ -416,7 +416,7 @@ def test_the_fitted_factor_is_a_logistic_slope(spark):
     lo, hi = 0.0, 100.0
     for _ in range(200):
         w = (lo + hi) / 2
-        rest = (z * (y - 1 / (1 + np.exp(-(z * w + bias_of(w)))))).sum() - w
+        rest = (z * (y - 1 / (1 + np.exp(-(z * w + bias_of(w)))))).sum() - quality.FLAT * w
         lo, hi = (w, hi) if rest > 0 else (lo, w)
     got = {r["doc_id"]: r["log_weight"] for r in quality.resample(df, given).collect()}
     plain = quality.ratios(raw, targets.sum(axis=0))

@@ -6,10 +6,8 @@ import math
 import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Resamples, seed, confidence level, and the difference that counts as none.
 RESAMPLES, SEED, LEVEL, TOLERANCE = 10_000, 20260917, 0.95, 1e-12
@@ -29,10 +27,31 @@ def derived_seed_column(base: int, label: Column) -> Column:
     return F.pmod(F.lit(base) + F.crc32(label.cast("binary")), F.lit(1 << 32))
 
 
-@F.pandas_udf(T.DoubleType())
-def round_4(x: pd.Series) -> pd.Series:
-    """Four places, half to even on the exact binary value, as Python rounds."""
-    return x.map(lambda v: round(v, 4), na_action="ignore")
+def round_half_even(x: Column, places: int = 4) -> Column:
+    """``x`` to some decimal places, to the nearest value and on exact ties to the even one, of the exact binary value, as Python rounds.
+
+    The product with the power of ten is taken with its rounding error: a double
+    splits into halves whose products are exact (Veltkamp, Dekker), so a tie is
+    told from what only looks like one. Beyond 2**39 doubles lie too far apart
+    for four places to matter.
+    """
+    if not 0 <= places <= 4:
+        raise ValueError("places must be 0 to 4")
+    ten, a = F.lit(10.0**places), F.abs(x)
+    spread = a * F.lit(134217729.0)  # 2**27 + 1
+    high = spread - (spread - a)
+    low = a - high
+    product = a * ten
+    error = (high * ten - product) + low * ten
+    down = F.floor(product).cast("double")
+    over = (product - down - F.lit(0.5)) + error
+    up = F.when(over > 0, 1.0).when(over < 0, 0.0).otherwise(F.pmod(down, F.lit(2.0)))
+    return F.when(F.isnan(x) | (a >= F.lit(float(1 << 39))), x).otherwise((down + up) / ten * F.signum(x))
+
+
+def round_4(x: Column | str) -> Column:
+    """Four places, as values are stored."""
+    return round_half_even(F.col(x) if isinstance(x, str) else x, 4)
 
 
 def _resampled_means(rng: np.random.Generator, values: np.ndarray, resamples: int) -> np.ndarray:
@@ -69,9 +88,17 @@ def sign_test(better: int, worse: int) -> float:
 
 
 def sign_test_column(better: Column, worse: Column) -> Column:
-    """``sign_test`` as a Column: the binomial tail by a running product, in doubles."""
-    n, k = (better + worse).cast("double"), F.least(better, worse)
-    start = F.struct(F.pow(F.lit(0.5), n).alias("term"), F.lit(0.0).alias("sum"))
-    step = lambda s, i: F.struct((s["term"] * (n - i) / (i + F.lit(1.0))).alias("term"), (s["sum"] + s["term"]).alias("sum"))
-    tail = F.aggregate(F.sequence(F.lit(0), k.cast("int")), start, step, lambda s: s["sum"])
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), tail * 2))
+    """``sign_test`` as a Column, in doubles: the binomial tail by a running product, and beyond a thousand pairs, where its first term would vanish, as its largest term by logarithms times the sum of the terms' ratios to it."""
+    n, k = (better + worse).cast("double"), F.least(better, worse).cast("int")
+    upto = F.sequence(F.lit(0), k)
+
+    def summed(first: Column, factor) -> Column:
+        start = F.struct(first.alias("term"), F.lit(0.0).alias("sum"))
+        step = lambda s, i: F.struct((s["term"] * factor(i)).alias("term"), (s["sum"] + s["term"]).alias("sum"))
+        return F.aggregate(upto, start, step, lambda s: s["sum"])
+
+    few = summed(F.pow(F.lit(0.5), n), lambda i: (n - i) / (i + F.lit(1.0)))
+    # the term of index 0 adds nothing
+    largest = F.aggregate(upto, F.lit(0.0), lambda s, i: s + F.when(i > 0, F.log((n - i + F.lit(1.0)) / i)).otherwise(F.lit(0.0)))
+    many = F.exp(largest - n * F.lit(math.log(2))) * summed(F.lit(1.0), lambda i: (k - i) / (n - k + i + F.lit(1.0)))
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.lit(2.0) * F.when(n <= 1000, few).otherwise(many)))

@@ -66,10 +66,14 @@ def _indented(lines: list[str], comments: dict) -> list[Declaration]:
     def end(k: int, indent: int) -> int:
         last = k
         for i in range(k + 1, len(lines)):
-            if lines[i].strip() and not lines[i].lstrip().startswith(("#", ")", "]", "}")) and len(lines[i].expandtabs(8)) - len(lines[i].expandtabs(8).lstrip()) <= indent:
-                break
-            if lines[i].strip():
+            text = lines[i].expandtabs(8)
+            start = text.lstrip()
+            if not start:
+                continue
+            if len(text) - len(start) > indent or start[0] in ")]}":
                 last = i
+            elif start[0] != "#":  # a comment that stands as far left may belong to what follows
+                break
         return last
 
     def take(lo: int, hi: int, scope: str, in_class: bool) -> list[Declaration]:

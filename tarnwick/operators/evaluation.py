@@ -8,15 +8,17 @@ from __future__ import annotations
 
 import random
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import statistics as st
 from ..functions.text import is_documentation
+from ..session import stored
 from ..sources.corpus import project_of
-from .retrieval import cap, small
+from . import bootstrap
+from .places import placed, small
+from .retrieval import cap
 
 # The depth that is scored, the cuts of the metrics, the caps to choose from (largest first, none before all).
 DEPTH, CUTS, CAPS = 10, (1, 3, 5, 10), (None, 3, 2, 1)
@@ -80,22 +82,53 @@ def long_form(metrics: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return metrics.unpivot([*keys, "qid"], [f"`{m}`" for m in schemas.METRICS], "metric", "value").withColumn("metric", F.regexp_replace("metric", "`", ""))
 
 
-def _interval(seed: int, resamples: int, sep: str):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord")
-        low, high = st.bootstrap_interval(rows["value"].to_numpy(), st.derived_seed(seed, sep.join(key)), resamples)
-        return pd.DataFrame([(*key, float(rows["value"].mean()), low, high)])
+def with_intervals(values: DataFrame, keys: tuple[str, ...] = ("key", "metric"), seed: int = st.SEED, resamples: int = st.RESAMPLES, sep: str = "/") -> DataFrame:
+    """(keys, value, low, high): means and bootstrap intervals of rows (keys, ord, value); the seed depends on the joined keys.
 
-    return run
+    The resamples of a group are drawn in slices by many tasks, each from its place in the group's one stream.
+    """
+    return bootstrap.intervals(values, keys, st.derived_seed_column(seed, F.concat_ws(sep, *keys)), resamples=resamples)
 
 
-def with_intervals(values: DataFrame, keys: tuple[str, ...] = ("key", "metric"), seed: int = st.SEED, resamples: int = st.RESAMPLES, sep: str = "/") -> DataFrame:
-    """(keys, value, low, high): means and bootstrap intervals of rows (keys, ord, value); the seed depends on the joined keys.
+#: Resamples that a task draws of a group by hashes, and values of a group that it adds up.
+HASH_RANGE, HASH_BLOCK = 512, 1 << 14
+
 
-    A group is one question set's values, and one task resamples it, in slices of bounded memory.
+def _hash_means(values: DataFrame, keys: tuple[str, ...], resamples: int, modulus: int, factor: int, step: int) -> DataFrame:
+    """(keys, __b, n, mean): means of resamples of values (keys, ord, value).
+
+    Value k of a group of n is drawn by all draws j of resample b with
+    (b * factor + j * step + b * j * 31) mod modulus mod n = k, so resamples go
+    in ranges and draws in blocks, and no task has a group whole.
     """
-    schema = ", ".join(f"{k} string" for k in keys) + ", value double, low double, high double"
-    return values.select(*keys, "ord", "value").groupBy(*keys).applyInPandas(_interval(seed, resamples, sep), schema)
+    own = stored(placed(values.select(*keys, "ord", "value"), keys, ("ord",)), "hash-values")
+    sizes = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    lo = (F.floor(F.col("at") / HASH_BLOCK) * HASH_BLOCK).alias("lo")
+    blocks = own.groupBy(*keys, lo).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("v"))
+    work = _null_join(blocks, small(sizes), keys)
+    work = work.withColumn("from", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.lit(HASH_RANGE)))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(HASH_BLOCK).cast("long"))))
+    work = work.repartition(*keys, "from", "part", "lo").withColumn("__b", F.explode(F.sequence(F.col("from").cast("long"), F.least(F.col("from") + HASH_RANGE, F.lit(resamples)).cast("long") - 1)))
+    b, n, size = F.col("__b"), F.col("n"), F.size("v")
+
+    def picked(j):
+        at = F.pmod(F.pmod(b * factor + j * step + b * j * 31, F.lit(modulus)), n) - F.col("lo")
+        return F.when((at >= 0) & (at < size), F.get("v", at.cast("int"))).otherwise(F.lit(0.0))
+
+    draws = F.sequence(F.col("part"), F.least(F.col("part") + HASH_BLOCK, n) - 1)
+    sums = work.select(*keys, "__b", "n", F.aggregate(draws, F.lit(0.0), lambda s, j: s + picked(j)).alias("sum"))
+    return sums.groupBy(*keys, "__b", "n").agg((F.sum("sum") / n).alias("mean"))
+
+
+def _null_join(left: DataFrame, right: DataFrame, keys: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` on keys that may be null."""
+    named = right.select(*(F.col(k).alias(f"__{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return left.join(named, on, how).drop(*(f"__{k}" for k in keys))
+
+
+def _quantiles(means: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    q = F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975)))
+    return means.groupBy(*keys).agg(q.alias("q")).select(*keys, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def bootstrap_hash(values: DataFrame, keys: tuple[str, ...], resamples: int = 1000, modulus: int = 1_000_003, factor: int = 7919, step: int = 104_729) -> DataFrame:
@@ -103,15 +136,18 @@ def bootstrap_hash(values: DataFrame, keys: tuple[str, ...], resamples: int = 10
 
     Draw j of resample b is row (b * factor + j * step + b * j * 31) mod modulus mod n of the group, by ``ord`` from 0.
     """
-    sized = values.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    order = sized.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy("ord")) - 1)
-    lists = order.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("v"), F.avg("value").alias("value"))
-    b, n = F.col("b"), F.size("v")
-    pick = lambda j: F.element_at("v", (F.pmod(F.pmod(b * factor + j * step + b * j * 31, F.lit(modulus)), n) + 1).cast("int"))
-    draws = lists.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))
-    means = draws.select(*keys, "value", (F.aggregate(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), F.lit(0.0), lambda s, j: s + pick(j)) / n).alias("mean"))
-    q = F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975)))
-    return means.groupBy(*keys, "value").agg(q.alias("q")).select(*keys, "value", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    means = values.groupBy(*keys).agg(F.avg("value").alias("value"))
+    spans = _quantiles(_hash_means(values, keys, resamples, modulus, factor, step), keys)
+    return _null_join(means, spans, keys).select(*keys, "value", "low", "high")
+
+
+def difference_hash(values: DataFrame, keys: tuple[str, ...], side: str, resamples: int = 1000, modulus: int = 1_000_003, factor: int = 7919, step: int = 104_729) -> DataFrame:
+    """(keys, low, high): intervals of the mean where ``side`` is false less the mean where it is true, each side drawn as in ``bootstrap_hash``; (0, 0) without one of them."""
+    means = _hash_means(values.withColumn("__side", F.col(side)), (*keys, "__side"), resamples, modulus, factor, step)
+    both = means.groupBy(*keys, "__b").agg((F.max(F.when(~F.col("__side"), F.col("mean"))) - F.max(F.when(F.col("__side"), F.col("mean")))).alias("mean"))
+    spans = _quantiles(both.where("mean is not null"), keys)
+    every = values.select(*keys).distinct()
+    return _null_join(every, spans, keys, "left").select(*keys, F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(0.0)).alias("high"))
 
 
 def paired(values: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -187,15 +223,13 @@ def failure_summary(shares: DataFrame, keys: tuple[str, ...] = ("key",)) -> Data
 
 
 def difference_intervals(shares: DataFrame, names: tuple[str, ...] = ("doc_share", "wrong_project_share"), seed: int = st.SEED, resamples: int = st.RESAMPLES) -> DataFrame:
-    """(key, name, low, high): intervals of the mean on misses less the mean on hits, of shares (key, ord, hit, names)."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord")
-        own = st.derived_seed(seed, f"{key[0]}/failure") + names.index(key[1])
-        low, high = st.difference_interval(*(rows.loc[rows["hit"] == hit, "value"].to_numpy() for hit in (False, True)), own, resamples)
-        return pd.DataFrame([(*key, low, high)])
+    """(key, name, low, high): intervals of the mean on misses less the mean on hits, of shares (key, ord, hit, names).
 
-    return shares.unpivot(["key", "ord", "hit"], list(names), "name", "value").groupBy("key", "name").applyInPandas(run, "key string, name string, low double, high double")
+    Both groups are drawn from one stream for each key and name, misses first.
+    """
+    values = shares.unpivot(["key", "ord", "hit"], list(names), "name", "value")
+    own = st.derived_seed_column(seed, F.concat(F.coalesce("key", F.lit("None")), F.lit("/failure"))) + F.array_position(F.array(*(F.lit(n) for n in names)), F.col("name")) - 1
+    return bootstrap.differences(values, ("key", "name"), "hit", own, resamples=resamples)
 
 
 def make_split(ids_by_project: dict[str, list[str]], seed: int) -> dict:
@@ -226,6 +260,47 @@ def split_by_hash(questions: DataFrame, stratum: str, seed: int) -> DataFrame:
     return placed.select("qid", stratum, F.when(F.col("before") + F.col("place") <= F.floor(F.col("all") / 2), "dev").otherwise("test").alias("half"))
 
 
+#: A log of labels and decisions: who said of a pair whether it is relevant, ``seq`` growing; the decision's ``who`` is ``DECISION``.
+LOG, DECISION = "id string, path string, who string, relevant boolean, reason string, seq long", "decision"
+
+
+def adjudicated(log: DataFrame, a: str, b: str) -> DataFrame:
+    """(id, path, labeller_a, labeller_b, decision, reason, relevant): the pairs that either labeller listed, from an append-only log.
+
+    Of several entries of one person for a pair the last by ``seq`` holds. A
+    labeller who never listed a pair said no to it. ``decision`` is null until a
+    disagreement is decided; ``relevant`` is what both say, or the decision, or
+    null where it is still open.
+    """
+    last = log.groupBy("id", "path", "who").agg(F.max_by(F.struct("relevant", "reason"), "seq").alias("x"))
+    said = lambda who: F.max(F.when(F.col("who") == who, F.col("x.relevant")))
+    pairs = last.groupBy("id", "path").agg(
+        F.coalesce(said(a), F.lit(False)).alias("labeller_a"), F.coalesce(said(b), F.lit(False)).alias("labeller_b"), said(DECISION).alias("decision"), F.max(F.when(F.col("who") == DECISION, F.col("x.reason"))).alias("reason")
+    )
+    agreed = F.col("labeller_a") == F.col("labeller_b")
+    return pairs.withColumn("relevant", F.when(agreed, F.col("labeller_a")).otherwise(F.col("decision")))
+
+
+def disagreements(log: DataFrame, a: str, b: str) -> DataFrame:
+    """The pairs that the labellers see differently and nobody has decided, to be put before them."""
+    return adjudicated(log, a, b).where("labeller_a <> labeller_b AND decision IS NULL").select("id", "path", "labeller_a", "labeller_b")
+
+
+def agreement(log: DataFrame, a: str, b: str) -> DataFrame:
+    """(stage, n, agreement, expected, kappa): agreement over the union of listed pairs, as labelled and after decisions, which stand for both."""
+    pairs = adjudicated(log, a, b).withColumn("__x", F.col("labeller_a").cast("int")).withColumn("__y", F.col("labeller_b").cast("int"))
+    settled = pairs.withColumn("__x", F.coalesce(F.col("decision").cast("int"), "__x")).withColumn("__y", F.coalesce(F.col("decision").cast("int"), "__y"))
+    return kappa(pairs, "__x", "__y").withColumn("stage", F.lit("labelled")).unionByName(kappa(settled, "__x", "__y").withColumn("stage", F.lit("decided"))).select("stage", "n", "agreement", "expected", "kappa")
+
+
+def frozen(log: DataFrame, a: str, b: str) -> DataFrame:
+    """(qid, path): the relevant pairs once every disagreement is decided; an open one is an error."""
+    pairs = stored(adjudicated(log, a, b), "adjudicated")
+    if (left := pairs.where("relevant IS NULL").count()):
+        raise RuntimeError(f"{left} disagreements are open")
+    return pairs.where("relevant").select(F.col("id").alias("qid"), "path")
+
+
 def kappa(ratings: DataFrame, a: str, b: str) -> DataFrame:
     """Cohen's kappa of two raters of 0 and 1: n, agreement, expected, kappa (null where only one answer occurs)."""
     x, y = F.col(a).cast("double"), F.col(b).cast("double")

@@ -8,6 +8,7 @@ the part of the file.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,9 @@ from ..operators import chunking as ch
 from ..operators import evaluation as ev
 from ..operators import labels as lb
 from ..operators import retrieval as rt
-from ..session import spread, stored
+from ..operators import sections as sc
+from ..operators import windows as wn
+from ..session import kept, spread, stored
 from ..sources import corpus, manifest
 from . import oracle as sql
 
@@ -59,50 +62,60 @@ def _questions(spark, sf_dir):
     return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), third.alias("q"))
 
 
-_SHARED: dict[tuple, object] = {}
+def _stamp(spark, sf_dir) -> str:
+    """What tells one state of the tables that the stored indexes are made of from another: size and time of each table's file or folder.
 
-
-def _shared(spark, sf_dir, name, make):
-    """What several queries of a session read, made and written once for each state of the tables' files."""
-    fs, at = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
-    stamps = []
+    Where the store keeps no times for folders, nothing is shared between sessions.
+    """
+    jvm, at = spark._jvm, spark._jsc.hadoopConfiguration()
+    stamps = [sf_dir]
     for table in ("documents", "benchmark"):
-        for file in sorted(spark.read.parquet(f"{sf_dir}/{table}.parquet").inputFiles()):
-            path = fs.Path(spark._jvm.java.net.URI(file))
-            status = path.getFileSystem(at).getFileStatus(path)
-            stamps.append((file, status.getLen(), status.getModificationTime()))
-    key = (spark.sparkContext.applicationId, id(spark), name, *stamps)
-    if key not in _SHARED:
-        _SHARED[key] = make()
-    return _SHARED[key]
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+        status = path.getFileSystem(at).getFileStatus(path)
+        stamps.append(f"{status.getLen()}:{status.getModificationTime() or spark.sparkContext.applicationId}")
+    return hashlib.sha256("|".join(stamps).encode()).hexdigest()[:16]
+
+
+def _kept(spark, sf_dir, **tables: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Tables that several queries read: found in the shared folder, or made and written there."""
+    stamp = _stamp(spark, sf_dir)
+    return [kept(spark, f"{name}-{stamp}", make) for name, make in tables.items()]
 
 
 def _qrels(spark, sf_dir):
-    return _shared(spark, sf_dir, "qrels", lambda: _labels(spark, sf_dir))
+    return _kept(spark, sf_dir, qrels=lambda: _labels(spark, sf_dir))[0]
 
 
 def _labels(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     held = lb.containment(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), _table(spark, sf_dir, "benchmark"))
     paths = corpus.documents_as_files(docs).select("doc_id", "path")
-    return stored(held.join(paths, "doc_id").select(F.col("item_id").alias("qid"), "path"), "qrels")
+    return held.join(paths, "doc_id").select(F.col("item_id").alias("qid"), "path")
 
 
 def _lexical(spark, sf_dir):
-    return _shared(spark, sf_dir, "lexical", lambda: rt.Lexical.build(_chunks(spark, sf_dir), stem=False).stored())
+    def built():
+        return rt.Lexical.build(_chunks(spark, sf_dir), stem=False)
+
+    postings, lengths = _kept(spark, sf_dir, postings=lambda: built().postings, lengths=lambda: built().lengths)
+    weighed = rt.Lexical.weigh(postings, lengths)
+    terms, averages = _kept(spark, sf_dir, terms=lambda: weighed.terms, averages=lambda: weighed.averages)
+    return rt.Lexical(postings, lengths, terms, averages)
 
 
 def _bm25(spark, sf_dir, k):
-    ranked = _shared(spark, sf_dir, "bm25", lambda: stored(rt.bm25_rank(_lexical(spark, sf_dir), _questions(spark, sf_dir), rt.FUSION_DEPTH, stem=False, digits=6), "bm25"))
-    return ranked.where(F.col("rank") <= k)
+    def ranked():
+        return rt.bm25_rank(_lexical(spark, sf_dir), _questions(spark, sf_dir), rt.FUSION_DEPTH, stem=False, digits=6)
+
+    return _kept(spark, sf_dir, bm25=ranked)[0].where(F.col("rank") <= k)
 
 
 def _dense(spark, sf_dir, k):
-    def make():
+    def ranked():
         vectors = pv.hashing_vectors(_chunks(spark, sf_dir), "idx", "text")
-        return stored(rt.dense_rank(vectors, pv.hashing_vectors(_questions(spark, sf_dir), "qid", "q"), rt.FUSION_DEPTH, digits=6), "dense")
+        return rt.dense_rank(vectors, pv.hashing_vectors(_questions(spark, sf_dir), "qid", "q"), rt.FUSION_DEPTH, digits=6)
 
-    return _shared(spark, sf_dir, "dense", make).where(F.col("rank") <= k)
+    return _kept(spark, sf_dir, dense=ranked)[0].where(F.col("rank") <= k)
 
 
 def _lists(spark, sf_dir):
@@ -120,7 +133,10 @@ def _lists(spark, sf_dir):
 
 
 def _metrics(spark, sf_dir):
-    return _shared(spark, sf_dir, "metrics", lambda: stored(ev.question_metrics(stored(_lists(spark, sf_dir), "lists"), _qrels(spark, sf_dir), _questions(spark, sf_dir), ("key",)), "metrics"))
+    def scored():
+        return ev.question_metrics(stored(_lists(spark, sf_dir), "lists"), _qrels(spark, sf_dir), _questions(spark, sf_dir), ("key",))
+
+    return _kept(spark, sf_dir, metrics=scored)[0]
 
 
 def _six(df: DataFrame, *skip: str) -> DataFrame:
@@ -179,9 +195,11 @@ def tokens_topk(spark, sf_dir):
 
 @query(sql.IDENTIFIER_PARTS)
 def identifier_parts(spark, sf_dir):
-    """Parts of identifiers of every shape."""
-    given = spark.createDataFrame([(t,) for t in sql.IDENTIFIERS], "token string")
-    return given.select("token", F.array_join(tx.identifier_parts(F.col("token")), ",").alias("parts"))
+    """Parts of all distinct tokens of the documents, and of identifiers of every shape that name them."""
+    docs = _table(spark, sf_dir, "documents")
+    named = F.array(*(F.format_string(f, F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("x")), F.col("doc_id")) for f in sql.IDENTIFIERS))
+    found = docs.select(F.explode(F.concat(tx.tokens(F.coalesce("text", F.lit(""))), named)).alias("token")).distinct()
+    return found.select("token", F.array_join(tx.identifier_parts(F.col("token")), ",").alias("parts"))
 
 
 @query()
@@ -193,27 +211,26 @@ def stem_terms(spark, sf_dir):
 
 @query(sql.DERIVED_SEEDS)
 def derived_seeds(spark, sf_dir):
-    """The seeds of some labels."""
-    labels = spark.createDataFrame([(k,) for k in sql.SEED_LABELS], "label string")
+    """The seeds of labels made of each source and language."""
+    labels = _table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang", F.lit("mrr")).alias("label")).distinct()
     return labels.select("label", st.derived_seed_column(st.SEED, F.col("label")).alias("seed"))
 
 
 # ---------------------------------------------------------------- chunks
 
 
-def _document_chunks(spark, sf_dir, chunking, suffix, budget=60):
-    files = _files(spark, sf_dir).withColumn("path", F.concat("path", F.lit(suffix))).withColumn("parts", F.split("path", "/"))
-    return ch.build_chunks(files, chunking, budget=budget)
-
-
-def _windows_of(rows):
-    return rows.groupBy("path").agg(F.count(F.lit(1)).alias("n_windows"), F.min("start_line").alias("first"), F.max("end_line").alias("last"))
+def _window_rows(spark, sf_dir):
+    """(project, path, start_line, end_line) of the documents' windows, pieces of lines beyond the budget among them."""
+    lines = wn.file_lines(_files(spark, sf_dir).withColumn("parts", F.split("path", "/")), wn.count_words, 254)
+    heads = lines.where("i = 0").select("f", "project", "path")
+    return stored(wn.windows(lines).join(heads, "f").select("project", "path", (F.col("first") + 1).cast("int").alias("start_line"), (F.col("last") + 1).cast("int").alias("end_line")), "windows")
 
 
 @query(sql.WINDOW_CHUNKS)
 def window_chunks(spark, sf_dir):
     """Windows of the documents, pieces of lines beyond the budget among them: their number and bounds."""
-    return _windows_of(_document_chunks(spark, sf_dir, "window", "", 254))
+    rows = _window_rows(spark, sf_dir)
+    return rows.groupBy("path").agg(F.count(F.lit(1)).alias("n_windows"), F.min("start_line").alias("first"), F.max("end_line").alias("last"))
 
 
 @query(sql.MERGED)
@@ -226,22 +243,51 @@ def merge_chunks(spark, sf_dir):
 
 @query(sql.MARKDOWN_SECTIONS)
 def markdown_sections(spark, sf_dir):
-    """Sections of a Markdown text."""
-    files = spark.createDataFrame([(sql.MARKDOWN_PATH, "demo", sql.MARKDOWN_PATH.split("/"), sql.MARKDOWN)], "path string, project string, parts array<string>, source string")
-    return ch.build_chunks(files, "structural").select("name", "kind", "start_line", "end_line")
+    """Sections of the documents as Markdown: an opening line, then each line under a heading whose level and title follow from it."""
+    heading = lambda x, i: F.concat(F.repeat(F.lit("#"), F.length(x) % 6 + 1), F.format_string(" h%d\n> ", i % 9), x)
+    files = _files(spark, sf_dir).select("path", F.array_join(F.concat(F.array(F.lit("intro")), F.transform(tx.lines(F.col("source")), heading)), "\n").alias("source"))
+    return sc.heading_sections(files)
+
+
+def _rendered(spark, sf_dir):
+    """Python and Java sources that say of each document what lines it has: a class with a method a line, comments and nested types; every seventh doesn't parse."""
+    docs = _files(spark, sf_dir).select("doc_id", F.transform(tx.lines(F.col("source")), lambda x: F.length(x)).alias("l"))
+    joined = lambda f: F.array_join(F.transform("l", f), "")
+    broken = F.col("doc_id") % 7 == 0
+    python = F.concat(
+        F.format_string("import re\n\n\n# about %d\nclass D%d:\n    size = %d\n", F.col("doc_id"), F.col("doc_id"), F.size("l")),
+        joined(lambda x, i: F.format_string("\n    # line %d\n    def m%d(self):\n        return %d\n", i, i, x)),
+        F.format_string("\n\n@traced\nasync def f%d(x):\n    def inner():\n        return x\n    return inner\n", F.col("doc_id")),
+        F.when(broken, "\n\nx = (1,\n").otherwise(""),
+    )
+    java = F.concat(
+        F.format_string("package demo;\n\n/** About %d. */\npublic class D%d {\n    int size = %d;\n", F.col("doc_id"), F.col("doc_id"), F.size("l")),
+        joined(lambda x, i: F.format_string("\n    // line %d\n    public int m%d() {\n        return %d;\n    }\n", i, i, x)),
+        F.lit("\n    enum Kind { ONE, TWO }\n"),
+        F.when(broken, "").otherwise("}\n"),
+    )
+    files = [docs.select(F.format_string(f"corpus/demo/D%d.{suffix}", F.col("doc_id")).alias("path"), source.alias("source")) for suffix, source in (("py", python), ("java", java))]
+    return files[0].unionByName(files[1]).select("path", F.lit("demo").alias("project"), F.split("path", "/").alias("parts"), "source")
 
 
 @query(sql.CODE_UNITS)
 def code_units(spark, sf_dir):
-    """Declarations of a Python and a Java source."""
-    rows = [(p, "demo", p.split("/"), s) for p, s in sql.SOURCES.items()]
-    return ch.build_chunks(spark.createDataFrame(rows, "path string, project string, parts array<string>, source string"), "structural").select("path", "name", "kind", "start_line", "end_line")
+    """Declarations of sources rendered from the documents, broken ones among them."""
+    return ch.build_chunks(spread(_rendered(spark, sf_dir)), "structural", budget=1_000_000).select("path", "name", "kind", "start_line", "end_line")
+
+
+@query(sql.PAYLOADS)
+def payload_tokens(spark, sf_dir):
+    """Tokens of what an encoder reads of the documents' windows: chunks of each project, the largest, and how many exceed the budget."""
+    files = _files(spark, sf_dir).withColumn("parts", F.split("path", "/"))
+    sized = wn.counted(wn.window_chunks(files, budget=254), ch.payload(), wn.count_words, "tokens")
+    return sized.groupBy("project").agg(F.count(F.lit(1)).alias("n_chunks"), F.max("tokens").alias("max_tokens"), F.sum("tokens").alias("tokens"), F.sum((F.col("tokens") > 254).cast("long")).alias("over"))
 
 
 @query(sql.CHUNK_SIZES)
 def chunk_size_summary(spark, sf_dir):
     """Sizes of the documents' windows, by project."""
-    return ch.size_summary(stored(_document_chunks(spark, sf_dir, "window", "", 254).select("project", "path", "start_line", "end_line"), "windows"), "project")
+    return ch.size_summary(_window_rows(spark, sf_dir), "project")
 
 
 @query(sql.CHUNK_IDS)
@@ -268,12 +314,23 @@ def bm25_topk(spark, sf_dir):
     return _bm25(spark, sf_dir, 10).select("qid", "idx", "score", "rank")
 
 
+@query(sql.BM25_BOUNDED)
+def bm25_bounded(spark, sf_dir):
+    """The ten best documents with a hit for each question, from blocks of postings: those whose bounds stay below a question's threshold are skipped."""
+    best, _ = rt.Blocks.build(_lexical(spark, sf_dir)).top(_questions(spark, sf_dir), 10, stem=False, digits=6)
+    return best
+
+
 @query(sql.BM25_FILLERS)
 def bm25_fillers(spark, sf_dir):
-    """A question of one rare word: chunks without it fill the list up, by position."""
+    """Lists that chunks without a hit fill up, by position: a question of one rare word for each document that has one, one of a frequent word, and one of no word at all."""
     index = _lexical(spark, sf_dir)
-    rare = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df <= 3 AND term RLIKE '^[a-z]+$'").agg(F.min("term").alias("q")).withColumn("qid", F.lit(0).cast("long"))
-    return rt.bm25_rank(index, rare, 10, stem=False, digits=6).select("idx", "rank")
+    df = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rare = df.where("df <= 3 AND term RLIKE '^[a-z]+$'").join(index.postings, "term").groupBy(F.col("idx").alias("qid")).agg(F.min("term").alias("q"))
+    often = df.where("term RLIKE '^[a-z]+$'").agg(F.min_by("term", F.struct(-F.col("df"), "term")).alias("q")).select(F.lit(-1).cast("long").alias("qid"), "q")
+    none = often.select(F.lit(-2).cast("long").alias("qid"), F.lit("???").alias("q"))
+    asked = stored(rare.unionByName(often).unionByName(none), "asked")
+    return rt.bm25_rank(index, asked, 10, stem=False, digits=6).select("qid", "idx", "rank")
 
 
 @query(sql.HASH_EMBED)
@@ -340,8 +397,12 @@ def search_unstemmed(spark, sf_dir):
 
 @query(sql.STEMMED_TERMS)
 def stemmed_terms(spark, sf_dir):
-    """Questions of words that share a stem: their terms and how often they have them."""
-    return rt.query_terms(spark.createDataFrame(sql.STEMMED, "qid long, q string"))
+    """Terms of questions of words whose stems are published: each document asks for as many of those as it has lines, from a place of its own."""
+    lines = tx.lines(F.coalesce("text", F.lit("")))
+    word = F.element_at(F.array(*(F.lit(w) for w in sql.STEM_WORDS)), (F.pmod(F.col("doc_id") * 31 + F.col("i") * 7, F.lit(len(sql.STEM_WORDS))) + 1).cast("int"))
+    asked = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(lines).alias("i", "line")).select("doc_id", "i", word.alias("w"))
+    questions = asked.groupBy(F.col("doc_id").alias("qid")).agg(F.array_join(F.collect_list("w"), " ").alias("q"))
+    return rt.query_terms(questions)
 
 
 # ---------------------------------------------------------------- evaluation
@@ -385,11 +446,37 @@ def paired_comparison(spark, sf_dir):
     return _six(ev.paired(_long(spark, sf_dir), _pairs(spark)))
 
 
+@query(sql.PAIRED_INTERVALS)
+def paired_intervals(spark, sf_dir):
+    """Intervals of the strategies' differences, from values as they are stored, and whether they hold 0; draws that any engine can repeat."""
+    rows = ev.long_form(ev.stored_values(_metrics(spark, sf_dir)), ("key",)).withColumn("ord", F.col("qid"))
+    diffs = ev.paired_differences(stored(rows, "values"), _pairs(spark))
+    # means of values with four places have ties at six
+    spans = ev.bootstrap_hash(diffs, ("label", "a", "b", "metric")).select("label", "a", "b", "metric", *(F.round(c, 9).alias(c) for c in ("value", "low", "high")))
+    return spans.withColumn("within_noise", (F.col("low") <= 0) & (F.col("high") >= 0))
+
+
+@query()
+def paired_intervals_numpy(spark, sf_dir):
+    """The same intervals with the published draws and 10,000 resamples."""
+    rows = ev.long_form(ev.stored_values(_metrics(spark, sf_dir)), ("key",)).withColumn("ord", F.col("qid"))
+    diffs = ev.paired_differences(stored(rows, "values"), _pairs(spark))
+    return ev.with_intervals(diffs, ("a", "b", "metric"), sep="|").withColumn("within_noise", (F.col("low") <= 0) & (F.col("high") >= 0))
+
+
+@query(sql.STORED_METRICS)
+def stored_metrics(spark, sf_dir):
+    """The metrics of each question and strategy as they are stored: four places, exact ties to even."""
+    rows = ev.stored_values(_metrics(spark, sf_dir))
+    return rows.select(*(F.col(f"`{c}`").alias(c.replace("@", "_at_")) for c in rows.columns))
+
+
 @query(sql.SIGN_TEST)
 def sign_test(spark, sf_dir):
-    """The sign test for every split of up to forty pairs."""
-    n = spark.range(41).select(F.col("id").alias("better")).crossJoin(spark.range(41).select(F.col("id").alias("worse"))).where("better + worse <= 40")
-    return n.select("better", "worse", F.round(st.sign_test_column(F.col("better"), F.col("worse")), 9).alias("p"))
+    """The sign test of each source and language: documents that are good and not toxic against those that are toxic and not good, and the same after the first hundred ids."""
+    rows = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id")
+    counts = rows.groupBy("source", "lang").agg(F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("better"), F.count_if((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("worse"))
+    return counts.select("source", "lang", "better", "worse", F.round(st.sign_test_column(F.col("better"), F.col("worse")), 9).alias("p"))
 
 
 @query(sql.BOOTSTRAP_HASH)
@@ -424,9 +511,36 @@ def cap_selection(spark, sf_dir):
 @query(sql.FAILURE_SHARES)
 def failure_shares(spark, sf_dir):
     """Shares of the first five results from documentation (documents whose id ends in 0, 1 or 2) and from other projects, on hits and misses."""
+    return _six(ev.failure_summary(_shares(spark, sf_dir)))
+
+
+def _shares(spark, sf_dir):
     lists, rels = (df.withColumn("path", F.when(F.col("path").rlike("[0-2]$"), F.concat("path", F.lit(".md"))).otherwise(F.col("path"))) for df in (stored(_lists(spark, sf_dir), "lists"), _qrels(spark, sf_dir)))
-    shares = ev.failure_shares(lists, rels, _questions(spark, sf_dir))
-    return _six(ev.failure_summary(shares))
+    return ev.failure_shares(lists, rels, _questions(spark, sf_dir))
+
+
+@query(sql.FAILURE_DIFFERENCES)
+def failure_differences(spark, sf_dir):
+    """Intervals of the shares on misses less those on hits, with draws that any engine can repeat."""
+    values = _shares(spark, sf_dir).withColumn("ord", F.col("qid")).unpivot(["key", "ord", "hit"], ["doc_share", "wrong_project_share"], "name", "value")
+    return _six(ev.difference_hash(values, ("key", "name"), "hit"))
+
+
+@query()
+def failure_differences_numpy(spark, sf_dir):
+    """The same intervals with the published draws, both sides from one stream."""
+    return ev.difference_intervals(_shares(spark, sf_dir).withColumn("ord", F.col("qid")))
+
+
+@query(sql.ADJUDICATION)
+def adjudication(spark, sf_dir):
+    """Agreement of two labellers before and after decisions, from a log that is made of the labels: one changes some answers later, and two of three disagreements are decided."""
+    rows = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").where("quality IS NOT NULL AND toxic IS NOT NULL")
+    good, clean = F.col("quality") == 1, F.col("toxic") == 0
+    entry = lambda who, said, seq, where: rows.where(where).select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("path"), F.lit(who).alias("who"), said.alias("relevant"), F.lit(None).cast("string").alias("reason"), (F.col("doc_id") + seq).alias("seq"))
+    log = entry("a", good, 0, "true").unionByName(entry("b", clean, 0, "true")).unionByName(entry("a", clean, 1, "doc_id % 5 = 0"))
+    log = log.unionByName(entry(ev.DECISION, good, 2, "doc_id % 3 > 0 AND (quality = 1) <> (toxic = 0)"))
+    return _six(ev.agreement(stored(log, "adjudication"), "a", "b"))
 
 
 @query(sql.SPLIT)

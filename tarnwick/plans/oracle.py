@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions.text import STOPWORDS
 
 # ---------------------------------------------------------------- shared pieces
@@ -119,19 +121,21 @@ TOKENS_TOPK = f"""
 WITH w AS (SELECT unnest({_words("coalesce(text, '')")}) AS term FROM documents)
 SELECT term, count(*) AS n FROM w GROUP BY term ORDER BY n DESC, term LIMIT 50
 """
-_IDENTIFIERS = {
-    "HTTPServer": "httpserver,http,server",
-    "set_relay": "set_relay,set,relay",
-    "relay": "relay",
-    "__init__": "__init__,init",
-    "parseXML2Json": "parsexml2json,parse,xml,2,json",
-    "MAX_ATTEMPTS": "max_attempts,max,attempts",
-    "A": "a",
-    "_": "_",
-    "ioError_NOW": "ioerror_now,io,error,now",
-}
-IDENTIFIERS = list(_IDENTIFIERS)
-IDENTIFIER_PARTS = f"SELECT * FROM (VALUES {_values(_IDENTIFIERS.items())}) v(token, parts)"
+#: Shapes of identifiers that name a document by its source, language and number.
+IDENTIFIERS = ("HTTP%2$sServer%3$d", "set_%1$s", "__%1$s__", "parseXML%3$dJson", "MAX_%2$s_%1$s", "_", "io%1$sError_NOW", "%2$sOf%1$s_%3$d")
+
+
+def _format(shape: str) -> str:
+    """A shape as DuckDB joins it."""
+    parts = re.split(r"(%\d\$[sd])", shape)
+    names = {"%1$s": "coalesce(source, 'none')", "%2$s": "coalesce(lang, 'x')", "%3$d": "doc_id"}
+    return "concat(" + ", ".join(names.get(p, f"'{p}'") for p in parts if p) + ")"
+
+
+IDENTIFIER_PARTS = f"""
+WITH t AS (SELECT DISTINCT unnest(list_concat(regexp_extract_all(coalesce(text, ''), '[A-Za-z_][A-Za-z0-9_]*'), [{", ".join(map(_format, IDENTIFIERS))}])) AS t FROM documents)
+SELECT t AS token, array_to_string({_PARTS}, ',') AS parts FROM t
+"""
 # Words of the published sample vocabulary of the English stemmer, with their stems.
 _STEMS = {
     "consign": "consign consigned consigning consignment", "consist": "consist consisted consistency consistent consistently consisting consists", "consol": "consolation consolations console consoled consoles consoling consolingly consols",
@@ -139,22 +143,16 @@ _STEMS = {
     "constabl": "constable constables", "constanc": "constance constancy", "constant": "constant", "knack": "knack knacks", "knackeri": "knackeries", "knag": "knag", "knave": "knave knaves", "knavish": "knavish", "knead": "kneaded kneading", "knee": "knee knees", "kneel": "kneel kneeled kneeling kneels",
     "knell": "knell", "knelt": "knelt", "knew": "knew", "knick": "knick", "knif": "knif", "knife": "knife", "knight": "knight knightly knights", "knit": "knit knits knitted knitting", "knive": "knives", "knob": "knob knobs", "knock": "knock knocked knocking knocks", "knocker": "knocker knockers", "knot": "knot knots",
 }
-STEMMED = [(k, words) for k, words in enumerate(_STEMS.values())]
-STEMMED_TERMS = f"SELECT * FROM (VALUES {_values((k, stem, len(words.split())) for k, (stem, words) in enumerate(_STEMS.items()))}) v(qid, term, qtf)"
-# CRC-32 of the labels by hand, so that the SQL needs no such function
-SEED_LABELS = ["structural_merged/hybrid/mrr", "window/bm25/failure", ""]
-
-
-def _seed(label: str) -> int:
-    crc = 0xFFFFFFFF
-    for byte in label.encode():
-        crc ^= byte
-        for _ in range(8):
-            crc = crc >> 1 ^ (0xEDB88320 if crc & 1 else 0)
-    return (20260917 + (crc ^ 0xFFFFFFFF)) % (1 << 32)
-
-
-DERIVED_SEEDS = f"SELECT * FROM (VALUES {_values((k, _seed(k)) for k in SEED_LABELS)}) v(label, seed)"
+STEM_WORDS = sorted(w for words in _STEMS.values() for w in words.split())
+_DOC_LINES = f"SELECT doc_id, {_LINES} AS l FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"
+STEMMED_TERMS = f"""
+WITH s(place, stem) AS (VALUES {_values((STEM_WORDS.index(w), stem) for stem, words in _STEMS.items() for w in words.split())}),
+d AS (SELECT doc_id, unnest(range(len(l))) AS i FROM ({_DOC_LINES}))
+SELECT doc_id AS qid, stem AS term, count(*) AS qtf FROM d JOIN s ON place = (doc_id * 31 + i * 7) % {len(STEM_WORDS)} GROUP BY ALL
+"""
+# DuckDB has no CRC-32: its bits are spelled out
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(label, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda i: 0::BIGINT)), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END)), 4294967295::BIGINT)"
+DERIVED_SEEDS = f"SELECT label, (20260917 + {_CRC}) % 4294967296 AS seed FROM (SELECT DISTINCT concat_ws('/', source, lang, 'mrr') AS label FROM documents)"
 
 # ---------------------------------------------------------------- chunks
 
@@ -190,82 +188,34 @@ pieces AS (SELECT h.path, 'part (' || k || '/' || n || ')' AS name, 2 * h.i AS f
   FROM (SELECT *, unnest(range(2, n + 1)) AS k FROM heads) h JOIN e ON e.path = h.path AND e.i = h.i)
 SELECT path || '::markdown_section::' || name || '::' || first AS chunk_id, 'markdown_section' AS kind, first::INT AS start_line, last::INT AS end_line, n_chars::INT AS n_chars FROM (SELECT * FROM sized UNION ALL SELECT * FROM pieces)
 """
-MARKDOWN_PATH = "corpus/demo/GUIDE.md"
-MARKDOWN = "intro words\n\n# Guide\nabout it\n\n## Setup\nrun it\n```\n# not fenced off\n```\n## Use\n---\n### Flags\n-v\n\n# End\nlast\n"
-MARKDOWN_SECTIONS = f"""SELECT * FROM (VALUES {
-    _values(
-        [
-            ("(preamble)", "markdown_section", 1, 1),
-            ("Guide", "markdown_section", 3, 4),
-            ("Guide > Setup", "markdown_section", 6, 7),
-            ("not fenced off", "markdown_section", 9, 9),
-            ("not fenced off > Use", "markdown_section", 11, 11),
-            ("not fenced off > Use > Flags", "markdown_section", 13, 14),
-            ("End", "markdown_section", 16, 17),
-        ]
-    )
-}) v(name, kind, start_line, end_line)"""
-_PYTHON = '''"""Jobs."""
-
-LIMIT = 3
-
-
-class Job:
-    """One job."""
-
-    tries: int = 0
-
-    # when to try again
-    def delay(self):
-        return self.tries * 2
-
-
-@traced
-def submit(job):
-    def inner():
-        return job
-    return inner()
-
-
-if LIMIT:
-    submit(Job())
-'''
-_JAVA = """package demo;
-
-/** Makes reports. */
-public class Reports {
-    private final Store store;
-
-    Reports(Store store) {
-        this.store = store;
-    }
-
-    /** Where it is. */
-    public List<String> where(String id) {
-        return store.find(id);
-    }
-
-    enum Kind { DAILY, WEEKLY }
-}
+# line i of a document stands under a heading of level length % 6 + 1; headings above one are those that none of their level or a lower one follows before it
+MARKDOWN_SECTIONS = f"""
+WITH f AS (SELECT path, {_LINES} AS l FROM ({_FILES})),
+d AS (SELECT path, list_transform(l, lambda x: length(x) % 6 + 1) AS v, list_transform(l, lambda x: regexp_matches(x, '[A-Za-z0-9]')) AS w FROM f WHERE len(l) > 0),
+h AS (SELECT path, v, w, unnest(range(1, len(v) + 1)) AS i FROM d)
+SELECT path, array_to_string(list_transform(list_filter(range(1, i + 1), lambda g: g = i OR list_min(v[g + 1:i]) > v[g]), lambda g: 'h' || ((g - 1) % 9)), ' > ') AS name, (2 * i)::INT AS start_line, (CASE WHEN w[i] THEN 2 * i + 1 ELSE 2 * i END)::INT AS end_line FROM h
+UNION ALL SELECT path, '(preamble)', 1, 1 FROM d
+"""
+# what is declared where in the sources that are rendered for a document of n lines
+CODE_UNITS = f"""
+WITH d AS (SELECT doc_id, len(l) AS n FROM ({_DOC_LINES})),
+m AS (SELECT doc_id, n, unnest(range(n)) AS k FROM d),
+u AS (SELECT 'py' AS s, doc_id, 'module level' AS name, 'preamble' AS kind, 1 AS lo, 1 AS hi FROM d
+  UNION ALL SELECT 'py', doc_id, 'D' || doc_id, 'class', 4, CASE WHEN n > 0 THEN 7 ELSE 6 END FROM d
+  UNION ALL SELECT 'py', doc_id, 'D' || doc_id || '.m' || k, 'method', 8 + 4 * k, 10 + 4 * k FROM m
+  UNION ALL SELECT 'py', doc_id, 'f' || doc_id, 'function', 9 + 4 * n, 13 + 4 * n FROM d
+  UNION ALL SELECT 'py', doc_id, 'module level', 'preamble', 16 + 4 * n, 16 + 4 * n FROM d WHERE doc_id % 7 = 0
+  UNION ALL SELECT 'java', doc_id, 'module level', 'preamble', 1, 1 FROM d
+  UNION ALL SELECT 'java', doc_id, 'D' || doc_id, 'class', 3, 6 FROM d
+  UNION ALL SELECT 'java', doc_id, 'D' || doc_id || '.m' || k, 'method', 7 + 5 * k, 10 + 5 * k FROM m
+  UNION ALL SELECT 'java', doc_id, 'D' || doc_id || '.Kind', 'enum', 7 + 5 * n, 7 + 5 * n FROM d)
+SELECT 'corpus/demo/D' || doc_id || '.' || s AS path, name, kind, lo::INT AS start_line, hi::INT AS end_line FROM u
+"""
+PAYLOADS = f"""
+WITH {_WINDOWS}, one AS (SELECT w.project, CASE WHEN big > 250 THEN least(242, big - 242 * k) + 5 ELSE words + 4 END AS tokens
+  FROM (SELECT project, pieces, big, words, unnest(range(pieces)) AS k FROM (SELECT *, CASE WHEN lo = hi THEN words ELSE 0 END AS big FROM (SELECT x.*, d.c[hi + 1] - CASE WHEN lo = 0 THEN 0 ELSE d.c[lo] END AS words FROM windows x JOIN d USING (path)))) w)
+SELECT project, count(*) AS n_chunks, max(tokens)::BIGINT AS max_tokens, sum(tokens)::BIGINT AS tokens, count(*) FILTER (tokens > 254) AS over FROM one GROUP BY project
 """
-SOURCES = {"corpus/demo/jobs.py": _PYTHON, "corpus/demo/Reports.java": _JAVA}
-_P, _J = SOURCES
-CODE_UNITS = f"""SELECT * FROM (VALUES {
-    _values(
-        [
-            (_P, "module level", "preamble", 1, 3),
-            (_P, "Job", "class", 6, 10),
-            (_P, "Job.delay", "method", 11, 13),
-            (_P, "submit", "function", 16, 20),
-            (_P, "module level", "preamble", 23, 24),
-            (_J, "module level", "preamble", 1, 1),
-            (_J, "Reports", "class", 3, 6),
-            (_J, "Reports.Reports", "constructor", 7, 9),
-            (_J, "Reports.where", "method", 11, 14),
-            (_J, "Reports.Kind", "enum", 16, 16),
-        ]
-    )
-}) v(path, name, kind, start_line, end_line)"""
 CHUNK_SIZES = f"""
 WITH {_WINDOWS}, one AS (SELECT project, path, hi - lo + 1 AS n, unnest(range(pieces)) FROM windows WHERE pieces > 0),
 g AS (SELECT project, list_sort(list(n)) AS s, count(*) AS k, count(DISTINCT path) AS files FROM one GROUP BY project)
@@ -280,10 +230,12 @@ SELECT doc_id, CASE WHEN n > 0 THEN id || '#' || n ELSE id END AS chunk_id FROM
 
 BM25_TERMS = f"WITH {_LEXICAL} SELECT term, df::BIGINT AS df, round(idf, 6) AS idf FROM terms"
 BM25_TOPK = f"WITH {_BM25} SELECT qid, idx, score, rank::INT AS rank FROM bm25 WHERE rank <= 10"
+BM25_BOUNDED = f"WITH {_BM25}, hit AS (SELECT qid, idx, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, idx) AS rank FROM sc) SELECT qid, idx, score, rank::INT AS rank FROM hit WHERE rank <= 10"
 BM25_FILLERS = f"""
-WITH {_LEXICAL}, rare AS (SELECT min(term) AS term FROM terms WHERE df <= 3 AND regexp_full_match(term, '[a-z]+')),
-sc AS (SELECT idx, round(sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM rare JOIN terms USING (term) JOIN post USING (term) JOIN lens USING (idx), av GROUP BY ALL)
-SELECT idx, rank::INT AS rank FROM (SELECT idx, row_number() OVER (ORDER BY coalesce(score, 0) DESC, idx) AS rank FROM lens LEFT JOIN sc USING (idx)) WHERE rank <= 10
+WITH {_LEXICAL}, ask AS (SELECT idx AS qid, min(term) AS term FROM terms JOIN post USING (term) WHERE df <= 3 AND regexp_full_match(term, '[a-z]+') GROUP BY idx
+  UNION ALL SELECT -1, arg_min(term, (-df, term)) FROM terms WHERE regexp_full_match(term, '[a-z]+') UNION ALL SELECT -2, NULL),
+sc AS (SELECT qid, idx, round(sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM ask JOIN terms USING (term) JOIN post USING (term) JOIN lens USING (idx), av GROUP BY ALL)
+SELECT qid, idx, rank::INT AS rank FROM (SELECT qid, idx, row_number() OVER (PARTITION BY qid ORDER BY coalesce(score, 0) DESC, idx) AS rank FROM ask CROSS JOIN lens LEFT JOIN sc USING (qid, idx)) WHERE rank <= 10
 """
 HASH_EMBED = f"""
 WITH {_buckets("dv", "doc_id", "coalesce(text, '')", "documents")},
@@ -348,8 +300,28 @@ SELECT label, a_key AS a, b_key AS b, metric, round(a_value, 6) AS a_value, roun
 FROM (SELECT *, b + w AS n FROM s) t
 """
 SIGN_TEST = f"""
-WITH g AS (SELECT a.i AS b, c.i AS w, a.i + c.i AS n FROM range(41) a(i), range(41) c(i) WHERE a.i + c.i <= 40)
-SELECT b AS better, w AS worse, round({_SIGN}, 9) AS p FROM g
+WITH g AS (SELECT source, lang, count(*) FILTER (quality = 1 AND toxic = 0) AS b, count(*) FILTER (quality = 0 OR toxic = 1) AS w FROM labels JOIN documents USING (doc_id) GROUP BY ALL)
+SELECT source, lang, b AS better, w AS worse, round({_SIGN}, 9) AS p FROM (SELECT *, b + w AS n FROM g)
+"""
+_ROUNDED = "rm AS (SELECT key, qid, first_hit_rank, " + ", ".join(f"printf('%.4f', {m}::DOUBLE)::DOUBLE AS {m}" for m in _NAMES) + " FROM m)"
+STORED_METRICS = f"{_ALL}, {_ROUNDED} SELECT key, qid, first_hit_rank::INT AS first_hit_rank, {', '.join(_NAMES)} FROM rm"
+
+
+def _resampled(rows: str, keys: str, resamples: int) -> str:
+    """``m`` (keys, b, mean) of rows (keys, ord, value), by draws in whole numbers."""
+    same = " AND ".join(f"p.{k.strip()} IS NOT DISTINCT FROM v.{k.strip()}" for k in keys.split(","))
+    named = ", ".join(f"p.{k.strip()}" for k in keys.split(","))
+    return f"""v AS (SELECT {keys}, value, row_number() OVER (PARTITION BY {keys} ORDER BY ord) - 1 AS pos, count(*) OVER (PARTITION BY {keys}) AS n FROM {rows}),
+p AS (SELECT {keys}, b, ((b * 7919 + pos * 104729 + b * pos * 31) % 1000003) % n AS pick FROM v, range({resamples}) r(b)),
+rs AS (SELECT {named}, b, avg(v.value) AS mean FROM p JOIN v ON {same} AND v.pos = p.pick GROUP BY ALL)"""
+
+
+PAIRED_INTERVALS = f"""{_ALL}, {_ROUNDED}, {_LONG.replace(" FROM m", " FROM rm")}, pairs(label, a, b, metric) AS (VALUES {_values((label, a, b, m) for label, a, b, ms in PAIRS for m in ms)}),
+j AS (SELECT p.label, p.a AS ka, p.b AS kb, p.metric, x.qid AS ord, x.value - y.value AS value FROM pairs p JOIN long x ON x.key = p.a AND x.metric = p.metric JOIN long y ON y.key = p.b AND y.metric = p.metric AND y.qid = x.qid),
+{_resampled("j", "label, ka, kb, metric", 1000)},
+span AS (SELECT label, ka, kb, metric, round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high FROM rs GROUP BY ALL),
+mean AS (SELECT label, ka, kb, metric, round(avg(value), 9) AS value FROM j GROUP BY ALL)
+SELECT label, ka AS a, kb AS b, metric, value, low, high, low <= 0 AND high >= 0 AS within_noise FROM span JOIN mean USING (label, ka, kb, metric)
 """
 BOOTSTRAP_HASH = """
 WITH v AS (SELECT lang, quality::DOUBLE AS value, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM labels JOIN documents USING (doc_id)),
@@ -365,14 +337,21 @@ a AS (SELECT cap, half, avg(mrr) AS mrr, avg(hit_rate_at_5) AS h, avg(recall_at_
 best AS (SELECT cap FROM a WHERE half = 'dev' ORDER BY round(mrr, 6) DESC, round(r, 6) DESC, cap = 0 DESC, cap DESC LIMIT 1)
 SELECT nullif(cap, 0) AS per_file, half, round(mrr, 6) AS mrr, round(h, 6) AS hit_rate_at_5, round(r, 6) AS recall_at_5, cap = (SELECT cap FROM best) AS chosen FROM a
 """
-FAILURE_SHARES = f"""
-WITH {_FUSED}, {_NAMED}, {_RELS}, {_LISTS}, pr AS (SELECT DISTINCT qid, string_split(path, '/')[2] AS project FROM rels),
+_SHARES = f"""WITH {_FUSED}, {_NAMED}, {_RELS}, {_LISTS}, pr AS (SELECT DISTINCT qid, string_split(path, '/')[2] AS project FROM rels),
 t AS (SELECT key, l.qid, l.path, pr.project IS NULL AS wrong, rels.path IS NOT NULL AS hit, regexp_matches(l.path, '[0-2]$') AS doc
       FROM lists l LEFT JOIN rels ON rels.qid = l.qid AND rels.path = l.path LEFT JOIN pr ON pr.qid = l.qid AND pr.project = string_split(l.path, '/')[2] WHERE rank <= 5),
-s AS (SELECT key, qid, count(*) FILTER (doc) / 5.0::DOUBLE AS d, count(*) FILTER (wrong) / 5.0::DOUBLE AS w, bool_or(hit) AS hit FROM t GROUP BY ALL)
+s AS (SELECT key, qid, count(*) FILTER (doc) / 5.0::DOUBLE AS d, count(*) FILTER (wrong) / 5.0::DOUBLE AS w, bool_or(hit) AS hit FROM t GROUP BY ALL)"""
+FAILURE_SHARES = f"""{_SHARES}
 SELECT key, count(*) FILTER (NOT hit) AS n_misses, count(*) FILTER (hit) AS n_hits,
   {", ".join(f"round(coalesce(avg({c}){f}, 0), 6) AS {n}_share_{k}" for c, n in (("d", "doc"), ("w", "wrong_project")) for k, f in (("misses", " FILTER (NOT hit)"), ("hits", " FILTER (hit)"), ("all", "")))} FROM s GROUP BY key
 """
+FAILURE_DIFFERENCES = f"""{_SHARES},
+x AS (SELECT key, qid AS ord, hit, 'doc_share' AS name, d AS value FROM s UNION ALL SELECT key, qid, hit, 'wrong_project_share', w FROM s),
+{_resampled("x", "key, name, hit", 1000)},
+both_sides AS (SELECT a.key, a.name, a.mean - c.mean AS mean FROM rs a JOIN rs c ON a.key = c.key AND a.name = c.name AND a.b = c.b WHERE NOT a.hit AND c.hit),
+span AS (SELECT key, name, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM both_sides GROUP BY ALL)
+SELECT key, name, coalesce(low, 0) AS low, coalesce(high, 0) AS high FROM (SELECT DISTINCT key, name FROM x) LEFT JOIN span USING (key, name)
+"""
 SPLIT = """
 SELECT doc_id AS qid, lang, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY md5('7:' || doc_id), doc_id) <= count(*) OVER (PARTITION BY lang) // 2 THEN 'dev' ELSE 'test' END AS half FROM documents
 """
@@ -381,3 +360,11 @@ WITH o AS (SELECT count(*) AS n, avg((quality = toxic)::INT::DOUBLE) AS agreemen
 x AS (SELECT *, pa * pb + (1 - pa) * (1 - pb) AS expected FROM o)
 SELECT n, round(agreement, 6) AS agreement, round(expected, 6) AS expected, round(CASE WHEN expected < 1 THEN (agreement - expected) / (1 - expected) END, 6) AS kappa FROM x
 """
+ADJUDICATION = """
+WITH r AS (SELECT doc_id, (CASE WHEN doc_id % 5 = 0 THEN toxic = 0 ELSE quality = 1 END)::INT AS x, (toxic = 0)::INT AS y, CASE WHEN doc_id % 3 > 0 AND (quality = 1) <> (toxic = 0) THEN (quality = 1)::INT END AS z
+  FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL),
+s AS (SELECT 'labelled' AS stage, x, y FROM r UNION ALL SELECT 'decided', coalesce(z, x), coalesce(z, y) FROM r),
+o AS (SELECT stage, count(*) AS n, avg((x = y)::INT::DOUBLE) AS agreement, avg(x::DOUBLE) AS pa, avg(y::DOUBLE) AS pb FROM s GROUP BY stage),
+e AS (SELECT *, pa * pb + (1 - pa) * (1 - pb) AS expected FROM o)
+SELECT stage, n, round(agreement, 6) AS agreement, round(expected, 6) AS expected, round(CASE WHEN expected < 1 THEN (agreement - expected) / (1 - expected) END, 6) AS kappa FROM e
+"""

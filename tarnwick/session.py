@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +57,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept(spark: SparkSession, key: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table kept under ``key`` in the shared folder; made, written and published there where it isn't, or no longer is.
+
+    A table is written under a name of its own and renamed when it is whole, so
+    a write that was broken off is never read, and of two sessions that write at
+    once one publishes. Tables go with the folder's retention and are made again.
+    """
+    jvm, path = spark._jvm, f"{shared_folder(spark)}/kept-{key}"
+    to, done = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(done):
+        own = shared_path(spark, key)
+        make().write.parquet(own)
+        if fs.exists(to) or not fs.rename(jvm.org.apache.hadoop.fs.Path(own), to):
+            path = path if fs.exists(done) else own
+    return spark.read.parquet(path)

@@ -6,7 +6,7 @@ import pytest
 
 from tarnwick import cli
 from tarnwick.plans import experiment, report
-from tarnwick.plans.oracle import MARKDOWN, SOURCES
+from tests.samples import MARKDOWN, SOURCES
 from tarnwick.sources import corpus, manifest
 from tarnwick.streaming import ingest
 

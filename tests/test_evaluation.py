@@ -2,7 +2,9 @@ import math
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tarnwick.functions import statistics as st
 from tarnwick.operators import evaluation as ev
@@ -125,3 +127,66 @@ def test_bootstrap_hash_with_all_resamples(spark, sf_dir):
         b, j = np.arange(10_000)[:, None], np.arange(len(v))[None, :]
         means = np.array(v)[(b * 7919 + j * 104_729 + b * j * 31) % 1_000_003 % len(v)].mean(axis=1)
         assert np.allclose(got[k], (np.mean(v), *np.quantile(means, [0.025, 0.975])), atol=2e-6)
+
+
+def test_rounding_is_pythons(spark):
+    """Ties of the binary value and what only looks like one, all sizes and signs, a million values."""
+    rng = np.random.default_rng(5)
+    ties = (np.arange(-400, 400) * 2 + 1) * 625 / 2**5 / 1e4
+    near = np.concatenate([np.nextafter(ties, np.inf), np.nextafter(ties, -np.inf), (np.arange(20_000) + 0.5) / 1e4])
+    wide = rng.standard_normal(400_000) * 10.0 ** rng.integers(-8, 14, 400_000)
+    x = np.concatenate([ties, near, wide, rng.random(600_000), [0.0, -0.0, 5e-324, 1e300, -1e300, math.inf, -math.inf, 2.0**39, 2.0**39 - 0.00005]])
+    got = spark.createDataFrame(pd.DataFrame({"x": x})).select("x", st.round_4("x").alias("y")).toPandas()
+    assert len(got) > 1_000_000 and got["y"].tolist() == [round(v, 4) for v in got["x"].tolist()]
+    for places in (0, 1, 3):
+        some = spark.createDataFrame(pd.DataFrame({"x": x[:5000]})).select("x", st.round_half_even(F.col("x"), places).alias("y")).toPandas()
+        assert some["y"].tolist() == [round(v, places) for v in some["x"].tolist()]
+    assert math.isnan(spark.createDataFrame([(math.nan,)], "x double").select(st.round_4("x")).first()[0])
+
+
+def test_sign_test_of_many_pairs(spark):
+    pairs = [(0, 0), (3, 0), (500, 700), (9000, 9100), (40_000, 0), (0, 1), (7, 7)]
+    got = spark.createDataFrame(pairs, "b long, w long").select("b", "w", st.sign_test_column(F.col("b"), F.col("w")).alias("p")).collect()
+    assert {(r["b"], r["w"]): r["p"] for r in got} == {p: pytest.approx(st.sign_test(*p), rel=1e-9, abs=1e-300) for p in pairs}
+
+
+def log(spark, rows):
+    return spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], ev.LOG)
+
+
+def test_adjudication(spark):
+    said = [
+        ("q1", "f1", "ann", True, None), ("q1", "f1", "bo", True, None), ("q1", "f2", "ann", True, None), ("q1", "f3", "bo", True, None), ("q2", "f1", "ann", True, None), ("q2", "f1", "bo", False, None),
+        ("q2", "f1", "ann", False, "second thoughts"), ("q2", "f4", "ann", True, None), ("q1", "f2", "decision", True, "first"), ("q1", "f2", "decision", False, "it only names it"),
+    ]
+    rows = {(r["id"], r["path"]): (r["labeller_a"], r["labeller_b"], r["decision"], r["reason"], r["relevant"]) for r in ev.adjudicated(log(spark, said), "ann", "bo").collect()}
+    assert rows == {
+        ("q1", "f1"): (True, True, None, None, True), ("q1", "f2"): (True, False, False, "it only names it", False), ("q1", "f3"): (False, True, None, None, None),
+        ("q2", "f1"): (False, False, None, None, False), ("q2", "f4"): (True, False, None, None, None),
+    }
+    assert sorted((r["id"], r["path"]) for r in ev.disagreements(log(spark, said), "ann", "bo").collect()) == [("q1", "f3"), ("q2", "f4")]
+    with pytest.raises(RuntimeError):
+        ev.frozen(log(spark, said), "ann", "bo")
+    done = [*said, ("q1", "f3", "decision", True, "x"), ("q2", "f4", "decision", False, "y")]
+    assert sorted(map(tuple, ev.frozen(log(spark, done), "ann", "bo").collect())) == [("q1", "f1"), ("q1", "f3")]
+    got = {r["stage"]: r for r in ev.agreement(log(spark, done), "ann", "bo").collect()}
+    assert got["labelled"]["n"] == 5 and got["labelled"]["agreement"] == pytest.approx(0.4) and got["decided"]["agreement"] == 1.0
+    assert got["labelled"]["kappa"] == pytest.approx((0.4 - (0.6 * 0.4 + 0.4 * 0.6)) / (1 - 0.48))
+    assert ev.adjudicated(log(spark, []), "ann", "bo").count() == 0
+
+
+def test_hash_differences_against_a_loop(spark, monkeypatch):
+    monkeypatch.setattr(ev, "HASH_BLOCK", 7)
+    monkeypatch.setattr(ev, "HASH_RANGE", 16)
+    rng = np.random.default_rng(2)
+    sides = {"x": {False: rng.random(23), True: rng.random(9)}, "y": {False: rng.random(4), True: []}}
+    rows = [(k, s, i, float(v)) for k, both in sides.items() for s, values in both.items() for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "key string, hit boolean, ord long, value double")
+
+    def means(v):
+        return np.array([np.mean([v[(b * 7919 + j * 104_729 + b * j * 31) % 1_000_003 % len(v)] for j in range(len(v))]) for b in range(50)])
+
+    got = {r["key"]: (r["low"], r["high"]) for r in ev.difference_hash(df, ("key",), "hit", resamples=50).collect()}
+    assert got["x"] == pytest.approx(tuple(np.quantile(means(sides["x"][False]) - means(sides["x"][True]), [0.025, 0.975]))) and got["y"] == (0.0, 0.0)
+    one = {r["key"]: (r["value"], r["low"], r["high"]) for r in ev.bootstrap_hash(df.where("hit"), ("key",), resamples=50).collect()}
+    assert one["x"] == pytest.approx((sides["x"][True].mean(), *np.quantile(means(sides["x"][True]), [0.025, 0.975])))

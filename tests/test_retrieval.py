@@ -168,3 +168,71 @@ def test_fillers_of_questions_that_hit_most(spark):
     scores = {r["idx"]: r["score"] for r in rt.bm25_scores(index, rt.query_terms(asked, stem=False)).collect()}
     want = sorted(range(400), key=lambda k: (-scores.get(k, 0.0), k))[:5]
     assert got == {1: want, 2: [0, 1, 2, 3, 4], 3: [0, 1, 2, 3, 4]}
+
+
+def test_bounds_skip_blocks_and_lose_nothing(spark):
+    """The best by blocks are those of all hits, with blocks of all sizes; texts of topics leave most blocks below the threshold."""
+    rng = random.Random(4)
+    words = [[f"t{k}w{i}" for i in range(12)] for k in range(20)]
+    rows = [(i, " ".join(rng.choice(words[i // 30] + ["common", "often"]) for _ in range(rng.randint(3, 30)))) for i in range(600)]
+    index = rt.Lexical.build(spark.createDataFrame(rows, "idx long, text string"), stem=False).stored()
+    asked = spark.createDataFrame([(k, " ".join(rng.sample(words[k], 3)) + " common") for k in range(20)] + [(50, "nowhere"), (51, "common common often")], "qid long, q string")
+    want = rt.top(rt.bm25_scores(index, rt.query_terms(asked, stem=False)).withColumn("score", F.round("score", 6)), 10, F.desc("score"), F.col("idx")).select("qid", "idx", "score", "rank")
+    for size in (1, 16, 1000):
+        best, met = rt.Blocks.build(index, size).top(asked, 10, stem=False, digits=6)
+        assert sorted(map(tuple, best.collect())) == sorted(map(tuple, want.collect())), size
+        if size == 16:
+            counts = {r["qid"]: (r["met"], r["ranges"]) for r in met.collect()}
+            assert sum(m for m, _ in counts.values()) < sum(n for _, n in counts.values()) / 3
+
+
+def test_fillers_by_gaps(spark):
+    """Questions that hit all chunks, all but some, the first ones, and none; ids with gaps."""
+    rng = random.Random(6)
+    ids = sorted(rng.sample(range(10_000), 300))
+    rows = [(i, "allhit " + ("tophit " if k % 50 else "") + ("headhit " if k < 7 else "") + f"u{k}") for k, i in enumerate(ids)]
+    index = rt.Lexical.build(spark.createDataFrame(rows, "idx long, text string"), stem=False).stored()
+    asked = spark.createDataFrame([(0, "allhit"), (1, "tophit"), (2, "headhit"), (3, "nowhere"), (4, "u5")], "qid long, q string")
+    short = asked.select("qid")
+    hits = rt.bm25_scores(index, rt.query_terms(asked, stem=False)).select("qid", "idx")
+    got = {}
+    for r in rt._fillers(index, hits, short, 10).collect():
+        got.setdefault(r["qid"], []).append(r["idx"])
+    held = {0: set(ids), 1: {i for k, i in enumerate(ids) if k % 50}, 2: set(ids[:7]), 3: set(), 4: {ids[5]}}
+    assert {q: sorted(v) for q, v in got.items()} == {q: [i for i in ids if i not in h][:10] for q, h in held.items() if len(h) < len(ids)}
+
+
+def test_kept_tables_are_made_again(spark, tmp_path, monkeypatch):
+    """A table that retention took is made again; one that was broken off is not read; what is whole is not made twice."""
+    import pathlib
+    import shutil
+    import uuid
+
+    from tarnwick import session
+
+    key, made = uuid.uuid4().hex, []
+
+    def make():
+        made.append(1)
+        return spark.range(5)
+
+    folder = pathlib.Path(session.shared_folder(spark).removeprefix("file://")) / f"kept-{key}"
+    assert session.kept(spark, key, make).count() == session.kept(spark, key, make).count() == 5 and len(made) == 1
+    shutil.rmtree(folder)
+    assert session.kept(spark, key, make).count() == 5 and len(made) == 2
+    shutil.rmtree(folder)
+    (folder / "_temporary" / "0").mkdir(parents=True)
+    assert session.kept(spark, key, make).count() == 5 and len(made) == 3
+
+
+def test_queries_outlive_retention(spark, sf_dir):
+    import pathlib
+    import shutil
+
+    from tarnwick import session
+    from tarnwick.plans import catalog
+
+    before = sorted(map(tuple, catalog.bm25_topk(spark, sf_dir).collect()))
+    for kept in pathlib.Path(session.shared_folder(spark).removeprefix("file://")).glob("kept-*"):
+        shutil.rmtree(kept)
+    assert sorted(map(tuple, catalog.bm25_topk(spark, sf_dir).collect())) == before

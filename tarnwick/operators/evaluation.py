@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,12 +83,30 @@ def long_form(metrics: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return metrics.unpivot([*keys, "qid"], [f"`{m}`" for m in schemas.METRICS], "metric", "value").withColumn("metric", F.regexp_replace("metric", "`", ""))
 
 
+#: Values of a group up to which one task draws its whole stream; larger groups are drawn in slices by many, with the same result.
+GROUP = 10_000
+
+
+def _few(values: DataFrame, keys: tuple[str, ...]) -> bool:
+    """Whether no group has more than ``GROUP`` values."""
+    return not values.groupBy(*keys).count().where(F.col("count") > GROUP).limit(1).count()
+
+
 def with_intervals(values: DataFrame, keys: tuple[str, ...] = ("key", "metric"), seed: int = st.SEED, resamples: int = st.RESAMPLES, sep: str = "/") -> DataFrame:
     """(keys, value, low, high): means and bootstrap intervals of rows (keys, ord, value); the seed depends on the joined keys.
 
-    The resamples of a group are drawn in slices by many tasks, each from its place in the group's one stream.
+    The resamples of a large group are drawn in slices by many tasks, each from its place in the group's one stream.
     """
-    return bootstrap.intervals(values, keys, st.derived_seed_column(seed, F.concat_ws(sep, *keys)), resamples=resamples)
+    if not _few(values, keys):
+        return bootstrap.intervals(values, keys, st.derived_seed_column(seed, F.concat_ws(sep, *keys)), resamples=resamples)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ord")
+        own = st.derived_seed(seed, sep.join(k for k in key if k is not None))
+        return pd.DataFrame([(*key, float(rows["value"].mean()), *st.bootstrap_interval(rows["value"].to_numpy(), own, resamples))])
+
+    schema = ", ".join(f"{k} string" for k in keys) + ", value double, low double, high double"
+    return values.select(*keys, "ord", "value").groupBy(*keys).applyInPandas(run, schema)
 
 
 #: Resamples that a task draws of a group by hashes, and values of a group that it adds up.
@@ -225,11 +244,20 @@ def failure_summary(shares: DataFrame, keys: tuple[str, ...] = ("key",)) -> Data
 def difference_intervals(shares: DataFrame, names: tuple[str, ...] = ("doc_share", "wrong_project_share"), seed: int = st.SEED, resamples: int = st.RESAMPLES) -> DataFrame:
     """(key, name, low, high): intervals of the mean on misses less the mean on hits, of shares (key, ord, hit, names).
 
-    Both groups are drawn from one stream for each key and name, misses first.
+    Both sides are drawn from one stream for each key and name, misses first; those of large groups in slices, by many tasks.
     """
     values = shares.unpivot(["key", "ord", "hit"], list(names), "name", "value")
-    own = st.derived_seed_column(seed, F.concat(F.coalesce("key", F.lit("None")), F.lit("/failure"))) + F.array_position(F.array(*(F.lit(n) for n in names)), F.col("name")) - 1
-    return bootstrap.differences(values, ("key", "name"), "hit", own, resamples=resamples)
+    if not _few(values, ("key", "name")):
+        own = st.derived_seed_column(seed, F.concat(F.coalesce("key", F.lit("None")), F.lit("/failure"))) + F.array_position(F.array(*(F.lit(n) for n in names)), F.col("name")) - 1
+        return bootstrap.differences(values, ("key", "name"), "hit", own, resamples=resamples)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ord")
+        own = st.derived_seed(seed, f"{key[0]}/failure") + names.index(key[1])
+        sides = (rows.loc[rows["hit"] == hit, "value"].to_numpy() for hit in (False, True))
+        return pd.DataFrame([(*key, *st.difference_interval(*sides, own, resamples))])
+
+    return values.groupBy("key", "name").applyInPandas(run, "key string, name string, low double, high double")
 
 
 def make_split(ids_by_project: dict[str, list[str]], seed: int) -> dict:

@@ -190,3 +190,15 @@ def test_hash_differences_against_a_loop(spark, monkeypatch):
     assert got["x"] == pytest.approx(tuple(np.quantile(means(sides["x"][False]) - means(sides["x"][True]), [0.025, 0.975]))) and got["y"] == (0.0, 0.0)
     one = {r["key"]: (r["value"], r["low"], r["high"]) for r in ev.bootstrap_hash(df.where("hit"), ("key",), resamples=50).collect()}
     assert one["x"] == pytest.approx((sides["x"][True].mean(), *np.quantile(means(sides["x"][True]), [0.025, 0.975])))
+
+
+def test_intervals_alike_in_one_task_and_in_many(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    values = spark.createDataFrame([(k, "mrr", i, float(v)) for k in "ab" for i, v in enumerate(rng.random(40))], "key string, metric string, ord long, value double")
+    shares = spark.createDataFrame([("a", i, i % 3 == 0, float(v), float(v) / 2) for i, v in enumerate(rng.random(30))], "key string, ord long, hit boolean, doc_share double, wrong_project_share double")
+    both = lambda: (sorted(map(tuple, ev.with_intervals(values, resamples=200).collect())), sorted(map(tuple, ev.difference_intervals(shares, resamples=200).collect())))
+    one = both()
+    monkeypatch.setattr(ev, "GROUP", 5)
+    many = both()
+    assert [r[:2] + r[3:] for r in one[0]] == [r[:2] + r[3:] for r in many[0]] and one[1] == many[1]
+    assert [r[2] for r in one[0]] == pytest.approx([r[2] for r in many[0]])

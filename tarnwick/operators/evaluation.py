@@ -7,8 +7,11 @@ counts once, at its first rank. Lists are cut at ``DEPTH`` before they are score
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,33 +112,69 @@ def with_intervals(values: DataFrame, keys: tuple[str, ...] = ("key", "metric"),
     return values.select(*keys, "ord", "value").groupBy(*keys).applyInPandas(run, schema)
 
 
-#: Resamples that a task draws of a group by hashes, and values of a group that it adds up.
-HASH_RANGE, HASH_BLOCK = 512, 1 << 14
+#: Resamples that a task draws of a group by hashes, and draws that it lays out in a row.
+HASH_RANGE, HASH_BLOCK = 256, 1 << 12
+
+
+def _hash_sums(drawn: np.ndarray, b: int, n: int, modulus: int, factor: int, step: int) -> np.ndarray:
+    """Sums of the columns of ``drawn`` (a row for each residue of ``modulus``) over the ``n`` draws of resample ``b``.
+
+    Draw j is residue (b * factor + j * (step + b * 31)) mod modulus, which
+    repeats after ``modulus`` draws, so those are drawn once and counted as often.
+    """
+    begin, by = b * factor % modulus, (step + b * 31) % modulus
+    cycles, rest = divmod(n, modulus)
+    own = np.arange(HASH_BLOCK, dtype=np.int64) * by % modulus
+    rows = (np.arange(-(-min(n, modulus) // HASH_BLOCK), dtype=np.int64) * (HASH_BLOCK * by % modulus) + begin) % modulus
+    at = rows.astype(np.uint32)[:, None] + own.astype(np.uint32)
+    # below the modulus the difference wraps around and is the larger one
+    at = np.minimum(at, at - np.uint32(modulus)).ravel()[: min(n, modulus)]
+    out = [c[at[:rest]].sum() + (cycles * c[at].sum() if cycles else 0) for c in drawn.T]
+    return np.array(out, float)
+
+
+def _hash_draws(modulus: int, factor: int, step: int):
+    """(keys, b, mean) of ranges of resamples (keys, n, from, to, v)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, rest = batch.column("v"), batch.drop_columns(["v", "n", "from", "to"])
+            for k, (n, begin, to) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n", "from", "to")))):
+                own = lists[k].values
+                columns = [own.fill_null(0.0).to_numpy(zero_copy_only=False)]
+                if own.null_count:
+                    columns.append(own.is_valid().to_numpy(zero_copy_only=False).astype(float))
+                # residue r picks value r mod n
+                drawn = np.asfortranarray(np.stack([np.resize(c, modulus) for c in columns], axis=1))
+                sums = np.array([_hash_sums(drawn, b, n, modulus, factor, step) for b in range(begin, to)])
+                counts = sums[:, 1] if own.null_count else np.full(len(sums), float(n))
+                means = pa.array(sums[:, 0] / np.where(counts > 0, counts, 1), mask=counts == 0)
+                keys = rest.take(pa.array(np.full(to - begin, k)))
+                yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(np.arange(begin, to)), means], names=[*rest.schema.names, "__b", "mean"])
+
+    return run
 
 
 def _hash_means(values: DataFrame, keys: tuple[str, ...], resamples: int, modulus: int, factor: int, step: int) -> DataFrame:
-    """(keys, __b, n, mean): means of resamples of values (keys, ord, value).
+    """(keys, __b, mean): means of resamples of values (keys, ord, value); nulls among the picks don't count.
 
     Value k of a group of n is drawn by all draws j of resample b with
-    (b * factor + j * step + b * j * 31) mod modulus mod n = k, so resamples go
-    in ranges and draws in blocks, and no task has a group whole.
+    (b * factor + j * step + b * j * 31) mod modulus mod n = k. So at most the
+    ``modulus`` first values of a group can be drawn, and a resample takes so
+    many draws at most however large the group is; resamples go in ranges.
     """
-    own = stored(placed(values.select(*keys, "ord", "value"), keys, ("ord",)), "hash-values")
-    sizes = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    lo = (F.floor(F.col("at") / HASH_BLOCK) * HASH_BLOCK).alias("lo")
-    blocks = own.groupBy(*keys, lo).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("v"))
-    work = _null_join(blocks, small(sizes), keys)
-    work = work.withColumn("from", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.lit(HASH_RANGE)))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(HASH_BLOCK).cast("long"))))
-    work = work.repartition(*keys, "from", "part", "lo").withColumn("__b", F.explode(F.sequence(F.col("from").cast("long"), F.least(F.col("from") + HASH_RANGE, F.lit(resamples)).cast("long") - 1)))
-    b, n, size = F.col("__b"), F.col("n"), F.size("v")
-
-    def picked(j):
-        at = F.pmod(F.pmod(b * factor + j * step + b * j * 31, F.lit(modulus)), n) - F.col("lo")
-        return F.when((at >= 0) & (at < size), F.get("v", at.cast("int"))).otherwise(F.lit(0.0))
-
-    draws = F.sequence(F.col("part"), F.least(F.col("part") + HASH_BLOCK, n) - 1)
-    sums = work.select(*keys, "__b", "n", F.aggregate(draws, F.lit(0.0), lambda s, j: s + picked(j)).alias("sum"))
-    return sums.groupBy(*keys, "__b", "n").agg((F.sum("sum") / n).alias("mean"))
+    if not 0 < modulus < 1 << 31:
+        raise ValueError("the modulus must be positive and below 2^31")
+    own = stored(placed(values.select(*keys, "ord", F.col("value").cast("double").alias("value")), keys, ("ord",)), "hash-values")
+    sizes = stored(own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "hash-sizes")
+    one = F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"])
+    lists = own.where(F.col("at") < modulus).groupBy(*keys).agg(one.alias("v"))
+    work = _null_join(stored(lists, "hash-lists"), small(sizes), keys).withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"), F.lit(HASH_RANGE).cast("long"))))
+    work = work.withColumn("to", F.least(F.col("from") + HASH_RANGE, F.lit(resamples).cast("long"))).select(*keys, "n", "from", "to", "v")
+    # a task for each range, as far as hashes part them: its values are up to ``modulus`` numbers
+    tasks = min(4096, max(1, sizes.count() * -(-resamples // HASH_RANGE)))
+    named = ", ".join(f"`{k}` {own.schema[k].dataType.simpleString()}" for k in keys)
+    return work.repartition(tasks, *keys, "from").mapInArrow(_hash_draws(modulus, factor, step), f"{named}, __b long, mean double")
 
 
 def _null_join(left: DataFrame, right: DataFrame, keys: tuple[str, ...], how: str = "inner") -> DataFrame:

@@ -6,7 +6,8 @@ reads off, and its length says where the next window begins. That makes a table
 of jumps from line to line. Which windows there are follows by doubling: after k
 rounds all lines are known that the first line reaches in less than 2^k jumps,
 and the jumps are 2^k long. A file is rows of lines all the way, so one huge file
-is work for many tasks.
+is work for many tasks. Files of up to ``WHOLE`` characters, whose lines needn't be
+shuffled, run through the same table within a batch.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ from .places import placed, running, small
 #: Words as Python parts them: runs of what isn't white space.
 WORD = "[^\\t-\\r\\x1c- \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 
+#: Characters of a file up to which one task takes it whole.
+WHOLE = 1 << 17
+
 
 def counted(df: DataFrame, text: Column, count: TokenCounter, name: str) -> DataFrame:
     """``df`` with the number of tokens of ``text``: words by an expression, tokens of any other counter in batches."""
@@ -108,8 +112,46 @@ def windows(lines: DataFrame, count: TokenCounter = count_words) -> DataFrame:
     return plain.unionByName(_pieces(long, count).select("f", F.col("i").alias("first"), F.col("i").alias("last"), "k", "pieces", "piece"))
 
 
+def _parted(files: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(files that a task takes whole, larger ones; None if there are none)."""
+    size = F.coalesce(F.length("source"), F.lit(0))
+    large = files.where(size > WHOLE)
+    return files.where(size <= WHOLE), large if large.limit(1).count() else None
+
+
+def window_bounds(files: DataFrame, count: TokenCounter = count_words, budget: int = BUDGET) -> DataFrame:
+    """(project, path, start_line, end_line) of the windows of files (path, project, parts, source), without their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, first, last = [], [], []
+            for k, (path, source) in enumerate(zip(b.column(1), b.column(2))):
+                path = path.as_py()
+                for s in ch.window_spans(ch.Budgeted(path, tx.split_lines(source.as_py() or ""), count, budget)):
+                    own.append(k)
+                    first.append(s.first + 1)
+                    last.append(s.last + 1)
+            kept = pa.RecordBatch.from_arrays(b.columns[:2], names=["project", "path"]).take(pa.array(own, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=["project", "path", "start_line", "end_line"])
+
+    small_files, large = _parted(files)
+    out = small_files.select("project", "path", "source").mapInArrow(run, "project string, path string, start_line int, end_line int")
+    if large is None:
+        return out
+    lines = file_lines(large, count, budget)
+    heads = lines.where("i = 0").select("f", "project", "path")
+    return out.unionByName(windows(lines, count).join(heads, "f").select("project", "path", (F.col("first") + 1).cast("int").alias("start_line"), (F.col("last") + 1).cast("int").alias("end_line")))
+
+
 def window_chunks(files: DataFrame, count: TokenCounter = count_words, budget: int = BUDGET) -> DataFrame:
     """Window chunks of files, with ``parts`` and ``ord``, as ``chunking.build_chunks`` gives them."""
+    small_files, large = _parted(files)
+    whole = ch.build_chunks(small_files, "window", count, budget)
+    return whole if large is None else whole.unionByName(_jumped_chunks(large, count, budget))
+
+
+def _jumped_chunks(files: DataFrame, count: TokenCounter, budget: int) -> DataFrame:
+    """Window chunks of files of any size, by the table of jumps over all their lines."""
     lines = file_lines(files, count, budget)
     found = stored(windows(lines, count), "windows")
     spread = found.where("k IS NULL").select("f", "first", F.explode(F.sequence("first", "last")).alias("i"))

@@ -221,9 +221,8 @@ def derived_seeds(spark, sf_dir):
 
 def _window_rows(spark, sf_dir):
     """(project, path, start_line, end_line) of the documents' windows, pieces of lines beyond the budget among them."""
-    lines = wn.file_lines(_files(spark, sf_dir).withColumn("parts", F.split("path", "/")), wn.count_words, 254)
-    heads = lines.where("i = 0").select("f", "project", "path")
-    return stored(wn.windows(lines).join(heads, "f").select("project", "path", (F.col("first") + 1).cast("int").alias("start_line"), (F.col("last") + 1).cast("int").alias("end_line")), "windows")
+    files = _files(spark, sf_dir).withColumn("parts", F.split("path", "/"))
+    return stored(wn.window_bounds(files, budget=254), "windows")
 
 
 @query(sql.WINDOW_CHUNKS)

@@ -324,7 +324,7 @@ def bm25_bounded(spark, sf_dir):
 def bm25_fillers(spark, sf_dir):
     """Lists that chunks without a hit fill up, by position: a question of one rare word for each document that has one, one of a frequent word, and one of no word at all."""
     index = _lexical(spark, sf_dir)
-    df = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = stored(index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
     rare = df.where("df <= 3 AND term RLIKE '^[a-z]+$'").join(index.postings, "term").groupBy(F.col("idx").alias("qid")).agg(F.min("term").alias("q"))
     often = df.where("term RLIKE '^[a-z]+$'").agg(F.min_by("term", F.struct(-F.col("df"), "term")).alias("q")).select(F.lit(-1).cast("long").alias("qid"), "q")
     none = often.select(F.lit(-2).cast("long").alias("qid"), F.lit("???").alias("q"))

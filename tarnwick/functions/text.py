@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,7 +34,10 @@ STOPWORDS = frozenset(
     """.split()
 )
 
-_LINE_END = re.compile(LINE_END)
+_LINE_END, _TOKEN, _CAMEL = re.compile(LINE_END), re.compile(TOKEN), re.compile(CAMEL)
+#: What a token holds that has parts of its own.
+PARTED = "_|.[A-Z0-9]"
+_PARTED = re.compile(PARTED)
 
 
 def split_lines(text: str) -> list[str]:
@@ -68,10 +73,33 @@ def identifier_parts(token: Column) -> Column:
 def words(text: Column) -> Column:
     """Array of a text's search words: identifier parts without stopwords, in order, repeats included."""
     # only a token with an underscore, or with a capital or digit after its first letter, has parts of its own
-    split = F.transform(tokens(text), lambda t: F.when(t.rlike("_|.[A-Z0-9]"), identifier_parts(t)).otherwise(F.array(F.lower(t))))
+    split = F.transform(tokens(text), lambda t: F.when(t.rlike(PARTED), identifier_parts(t)).otherwise(F.array(F.lower(t))))
     return F.filter(F.flatten(split), lambda w: ~w.isin(*sorted(STOPWORDS)))
 
 
+def token_words(token: str) -> tuple[str, ...]:
+    """The search words of one token, as the Column ``words`` gives them."""
+    low = token.lower()
+    out = [low]
+    if _PARTED.search(token):
+        for piece in filter(None, token.split("_")):
+            camel = _CAMEL.findall(piece)
+            if len(camel) > 1:
+                out += [c.lower() for c in camel]
+            elif piece.lower() != low:
+                out.append(piece.lower())
+    return tuple(w for w in out if w not in STOPWORDS)
+
+
+def word_counts(text: str, words_of: Callable[[str], Iterable[str]] = token_words) -> dict[str, int]:
+    """A text's search words with their numbers; ``words_of`` gives a token's words."""
+    out: dict[str, int] = {}
+    for token, n in Counter(_TOKEN.findall(text)).items():
+        for w in words_of(token):
+            out[w] = out.get(w, 0) + n
+    return out
+
+
 def joined_name(names: Column) -> Column:
     """Distinct names in order, joined by bars, cut to the longest name allowed."""
     return F.left(F.array_join(F.array_distinct(names), " | "), F.lit(NAME_CHARS))

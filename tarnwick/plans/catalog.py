@@ -94,13 +94,10 @@ def _labels(spark, sf_dir):
 
 
 def _lexical(spark, sf_dir):
-    def built():
-        return rt.Lexical.build(_chunks(spark, sf_dir), stem=False)
-
-    postings, lengths = _kept(spark, sf_dir, postings=lambda: built().postings, lengths=lambda: built().lengths)
-    weighed = rt.Lexical.weigh(postings, lengths)
-    terms, averages = _kept(spark, sf_dir, terms=lambda: weighed.terms, averages=lambda: weighed.averages)
-    return rt.Lexical(postings, lengths, terms, averages)
+    (counts,) = _kept(spark, sf_dir, counts=lambda: rt.Lexical.count(_chunks(spark, sf_dir), stem=False))
+    index = rt.Lexical.of_counts(counts)
+    index.terms, index.averages = _kept(spark, sf_dir, terms=lambda: index.terms, averages=lambda: index.averages)
+    return index
 
 
 def _bm25(spark, sf_dir, k):

@@ -96,7 +96,7 @@ def _labels(spark, sf_dir):
 def _lexical(spark, sf_dir):
     (counts,) = _kept(spark, sf_dir, counts=lambda: rt.Lexical.count(_chunks(spark, sf_dir), stem=False))
     index = rt.Lexical.of_counts(counts)
-    index.terms, index.averages = _kept(spark, sf_dir, terms=lambda: index.terms, averages=lambda: index.averages)
+    index.terms, index.averages = _kept(spark, sf_dir, weights=lambda: index.terms, averages=lambda: index.averages)
     return index
 
 
@@ -299,9 +299,7 @@ def chunk_id_dedupe(spark, sf_dir):
 @query(sql.BM25_TERMS)
 def bm25_terms(spark, sf_dir):
     """Weights of all terms."""
-    index = _lexical(spark, sf_dir)
-    df = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.join(index.terms, "term").select("term", "df", F.round("idf", 6).alias("idf"))
+    return _lexical(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(sql.BM25_TOPK)
@@ -321,9 +319,12 @@ def bm25_bounded(spark, sf_dir):
 def bm25_fillers(spark, sf_dir):
     """Lists that chunks without a hit fill up, by position: a question of one rare word for each document that has one, one of a frequent word, and one of no word at all."""
     index = _lexical(spark, sf_dir)
-    df = stored(index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
-    rare = df.where("df <= 3 AND term RLIKE '^[a-z]+$'").join(index.postings, "term").groupBy(F.col("idx").alias("qid")).agg(F.min("term").alias("q"))
-    often = df.where("term RLIKE '^[a-z]+$'").agg(F.min_by("term", F.struct(-F.col("df"), "term")).alias("q")).select(F.lit(-1).cast("long").alias("qid"), "q")
+    plain = "term RLIKE '^[a-z]+$'"
+    # the least, the largest and the XOR of at most three positions tell them all, so that no posting is dealt
+    ends = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.bit_xor("idx").alias("all")).where(f"df <= 3 AND {plain}")
+    third = F.when(F.col("df") == 3, F.col("lo").bitwiseXOR(F.col("hi")).bitwiseXOR(F.col("all"))).otherwise(F.col("lo"))
+    rare = ends.select("term", F.explode(F.array_distinct(F.array("lo", "hi", third))).alias("qid")).groupBy("qid").agg(F.min("term").alias("q"))
+    often = index.terms.where(plain).agg(F.min_by("term", F.struct(-F.col("df"), "term")).alias("q")).select(F.lit(-1).cast("long").alias("qid"), "q")
     none = often.select(F.lit(-2).cast("long").alias("qid"), F.lit("???").alias("q"))
     asked = stored(rare.unionByName(often).unionByName(none), "asked")
     return rt.bm25_rank(index, asked, 10, stem=False, digits=6).select("qid", "idx", "rank")
